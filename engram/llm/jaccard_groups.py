@@ -7,10 +7,13 @@
     classes of size; a set also gives the parts of the next class where its partners may be.
 3.  Groups: each node joins the leader (the smallest node) it shares most parts with, if their
     exact similarity reaches the threshold; the components of these links are the groups.
-4.  A group's row of the matrix is the union of its members' tokens.  A node's overlap with a group
-    is bounded by the tokens it shares with that union: a partner shares 1 + slack parts, less the
-    node's empty ones.  Groups below that, or of other sizes, hold no partner and stay closed.
-5.  The members of open groups that share a part are compared exactly; the links join the groups.
+4.  Nodes with as many parts as a partner would share in parts that several groups have stay open.
+    For them the matrix holds, by group, the union of its members' shingles.  A node's partner in
+    another group has all but a few of its shingles, so its rarest ones bound the overlap: those
+    in no other group's union come first, then the others, fewest nodes first.  If a union lacks
+    all of the first n - ceil(share * n) + 1, that group stays closed for the node.
+5.  The members of open groups that have such a shingle among their own first are compared exactly;
+    the links join the groups.
 
 Nodes within a group are never paired with each other: what they would add, their component has.
 """
@@ -204,19 +207,36 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
         found = df.join(groups.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left")
         return found.withColumn(name, F.coalesce(name, node))
 
-    # parts whose nodes aren't all of one group
+    # parts whose nodes aren't all of one group, and the nodes with enough of them
     loose = group_of(group_of(stars.select("node", "lead"), "node", "g"), "lead", "h").where("g <> h")
     keys = shared.join(loose.select("node", "lead"), ["node", "lead"], "left_semi").select("key").distinct()
-    open_rows = stage(group_of(shared.join(keys, "key", "left_semi").select("key", "node", "n", "need").distinct(), "node", "g"), "loose")
-    # the matrix of what is left: a row for each part and group, with the sizes of its members
-    union = open_rows.groupBy("key", F.col("g").alias("to")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    open_nodes = shared.join(keys, "key", "left_semi").select("node", "need", "key").distinct().groupBy("node", "need").count().where("count >= need")
+    open_nodes = group_of(open_nodes.select("node"), "node", "g")
+
+    def open_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            n = np.array([len(x) // 8 for x in raw], np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            take = lambda c: batch.column(c).take(pa.array(of))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([take(0), take(1), pa.array(n[of], pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["node", "g", "n", "token"])
+
+    held = sets.join(open_nodes, "node").groupBy("node", "g").agg(F.first("tokens").alias("tokens"))
+    rows_ = stage(held.mapInArrow(open_tokens, "node long, g long, n int, token long"), "open")
+    union = rows_.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("df")).where("g0 < g1").select("token", "df")
+    common = stage(rows_.join(union, "token"), "common")
+    # of n shingles a node needs the first n - ceil(share * n) + 1; those of its group alone come before the common ones
+    left = common.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("m"))
+    left = left.select("node", (F.col("c") - F.ceil(F.col("m") * t.of / t.over - 1e-9) + 1).alias("left")).where("left > 0")
+    order = Window.partitionBy("node").orderBy("df", "token")
+    first_ones = common.join(left, "node").withColumn("at", F.row_number().over(order)).where("at <= left").select("token", "node", "g", "n")
+    first_ones = stage(first_ones, "first")
+    groups_of_token = first_ones.groupBy("token", F.col("g").alias("to")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     fits = (F.col("low") * t.of <= F.col("n") * t.over) & (F.col("high") * t.over >= F.col("n") * t.of)
-    bound = open_rows.join(union, "key").where((F.col("g") < F.col("to")) & fits).groupBy("node", "n", "need", "to").agg(F.count("*").alias("parts"))
-    opened = bound.where("parts >= need").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("need").alias("ma"), "to")
-    asked = opened.join(open_rows.select(F.col("node").alias("a"), "key"), "a")
-    members = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("need").alias("mb"), F.col("g").alias("to"))
-    alike = F.least("na", "nb") * t.over >= F.greatest("na", "nb") * t.of
-    pairs = asked.join(members, ["key", "to"]).where(alike).groupBy("a", "b", "ma", "mb").agg(F.count("*").alias("parts")).where("parts >= greatest(ma, mb)").select("a", "b")
+    opened = first_ones.join(groups_of_token, "token").where((F.col("g") < F.col("to")) & fits)
+    members = first_ones.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("to"))
+    alike = F.least("n", "nb") * t.over >= F.greatest("n", "nb") * t.of
+    pairs = opened.join(members, ["token", "to"]).where(alike).select(F.col("node").alias("a"), "b").distinct()
     tried = best.select(F.col("node").alias("a"), F.col("lead").alias("b"))
     pairs = stage(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs, "a")
