@@ -5,13 +5,18 @@
     over the threshold can differ in tokens, so such sets have equal, non-empty parts.  (A set with
     more empty parts than the slack also gives its empty parts.)  The number of parts goes by
     classes of size; a set also gives the parts of the next class where its partners may be.
-3.  Groups: each node joins the leader (the smallest node) it shares most parts with, if their
-    exact similarity reaches the threshold; the components of these links are the groups.
+3.  Groups: the leader of a part is its node with the best connected parts.  Each node joins the
+    leader it shares most parts with, if their exact similarity reaches the threshold; the
+    components of these links are the groups.
 4.  Nodes with as many parts as a partner would share in parts that several groups have stay open.
     For them the matrix holds, by group, the union of its members' shingles.  A node's partner in
     another group has all but a few of its shingles, so its rarest ones bound the overlap: those
     in no other group's union come first, then the others, fewest nodes first.  If a union lacks
-    all of the first n - ceil(share * n) + 1, that group stays closed for the node.
+    all of the first n - ceil(share * n) + 1, that group stays closed for the node.  Shingles that no
+    other group's union has also bound the similarity of two nodes from above, as each of them is
+    in the union of the two sets, but not in both.  Two nodes are asked about at the first shingle
+    they share in that order; if FEW nodes or more have it, they share none that fewer have, so
+    for this bound such shingles count like those of one group alone.
 5.  The members of open groups that have such a shingle among their own first are compared exactly;
     the links join the groups.
 
@@ -25,13 +30,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm.arrays import U64, distinct, mix, prefix_hash, shingles, slices, span_hash, sum_by, words
 from engram.llm.tables import stage
 
 
+#: Shingles of up to so many nodes count as rare.
+FEW = 8
+
+
 @dataclass(frozen=True)
 class Threshold:
     """Two sets link when over * |both| >= of * |either|, for instance 100 and 85."""
@@ -189,8 +198,11 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     # rows of the matrix whose part two nodes or more have
     part = Window.partitionBy("key")
     matrix = rows.where("id IS NOT NULL").mapInArrow(tokens, "key long, node long, n int, need int")
-    matrix = matrix.withColumns({"lead": F.min("node").over(part), "last": F.max("node").over(part)})
-    shared = stage(matrix.where("lead < last").drop("last"), "matrix")
+    matrix = matrix.withColumns({"low": F.min("node").over(part), "high": F.max("node").over(part), "m": F.count("*").over(part)})
+    shared = stage(matrix.where("low < high").drop("low", "high"), "matrix")
+    ties = shared.groupBy("node").agg(F.sum("m").alias("ties"))
+    lead = shared.join(ties, "node").groupBy("key").agg(F.max(F.struct("ties", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
+    shared = stage(shared.drop("m").join(lead, "key"), "leads")
     stars = stage(shared.where("node <> lead").groupBy("node", "lead").count(), "stars")
 
     best = stars.groupBy("node").agg(F.max(F.struct("count", (-F.col("lead")).alias("lead"))).alias("m")).select("node", (-F.col("m.lead")).alias("lead"))
@@ -226,17 +238,24 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     union = rows_.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("df")).where("g0 < g1").select("token", "df")
     common = stage(rows_.join(union, "token"), "common")
     # of n shingles a node needs the first n - ceil(share * n) + 1; those of its group alone come before the common ones
-    left = common.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("m"))
-    left = left.select("node", (F.col("c") - F.ceil(F.col("m") * t.of / t.over - 1e-9) + 1).alias("left")).where("left > 0")
+    left = common.groupBy("node").agg(F.count("*").cast("int").alias("c"), F.count_if(F.col("df") > FEW).cast("int").alias("often"), F.first("n").alias("m"))
+    left = left.select("node", "c", "often", (F.col("c") - F.ceil(F.col("m") * t.of / t.over - 1e-9) + 1).alias("left")).where("left > 0")
     order = Window.partitionBy("node").orderBy("df", "token")
-    first_ones = common.join(left, "node").withColumn("at", F.row_number().over(order)).where("at <= left").select("token", "node", "g", "n")
+    first_ones = common.join(left, "node").withColumn("at", F.row_number().over(order)).where("at <= left")
+    first_ones = first_ones.select("token", "node", "g", "n", F.when(F.col("df") > FEW, F.col("often")).otherwise(F.col("c")).alias("c"))
     first_ones = stage(first_ones, "first")
-    groups_of_token = first_ones.groupBy("token", F.col("g").alias("to")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    fits = (F.col("low") * t.of <= F.col("n") * t.over) & (F.col("high") * t.over >= F.col("n") * t.of)
-    opened = first_ones.join(groups_of_token, "token").where((F.col("g") < F.col("to")) & fits)
-    members = first_ones.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("to"))
-    alike = F.least("n", "nb") * t.over >= F.greatest("n", "nb") * t.of
-    pairs = opened.join(members, ["token", "to"]).where(alike).select(F.col("node").alias("a"), "b").distinct()
+
+    def can_link(c: str, n: str, c2: str, n2: str) -> Column:
+        """Whether sets of n and n2 shingles, of which they can share c and c2, can reach the threshold."""
+        either = F.greatest(F.col(n) + F.col(n2) - F.col(c2), F.col(n2) + F.col(n) - F.col(c))
+        return F.least(c, c2) * t.over >= either * t.of
+
+    # a group's row: of its members with the token, the most shingles to share, and the fewest others
+    row = first_ones.groupBy("token", F.col("g").alias("to")).agg(F.max("c").alias("c2"), F.min(F.col("n") - F.col("c")).alias("own2"))
+    group_can = (F.least("c", "c2") * t.over >= (F.col("n") + F.col("own2")) * t.of)
+    opened = first_ones.join(row, "token").where((F.col("g") < F.col("to")) & group_can)
+    members = first_ones.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("g").alias("to"))
+    pairs = opened.join(members, ["token", "to"]).where(can_link("c", "n", "cb", "nb")).select(F.col("node").alias("a"), "b").distinct()
     tried = best.select(F.col("node").alias("a"), F.col("lead").alias("b"))
     pairs = stage(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs, "a")
