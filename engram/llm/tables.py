@@ -12,12 +12,23 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/engram-checkpoints").rstrip("/")
 
 
+#: Rows that Spark sends to a Python worker at once: texts are long, and both sides hold a batch in memory.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read again: a lost executor costs no recomputation before it."""
     path = f"{shared_folder(df.sparkSession)}/engram-{name}-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
