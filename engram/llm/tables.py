@@ -21,11 +21,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: a lost executor costs no recomputation before it."""
+def stage(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+    """df, written once to the shared folder and read again: a lost executor costs no recomputation before it.
+
+    Hashes don't compress, and codecs hold memory outside the heap; so nothing is compressed unless asked for.
+    """
     path = f"{shared_folder(df.sparkSession)}/engram-{name}-{uuid.uuid4().hex}"
     small_batches(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
