@@ -76,16 +76,16 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
         e AS (
             SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS escaped,
-                   lag(role) OVER w AS before, row_number() OVER w AS at, count(*) OVER (PARTITION BY conv_id) AS n
+                   lag(role) OVER w AS before, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
             FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length('### ' || role || ': ' || escaped) + 9)::BIGINT AS formatted_chars,
-               bool_and(CASE WHEN at = 1 THEN role IN ('system', 'user')
+               bool_and(CASE WHEN i = 1 THEN role IN ('system', 'user')
                              WHEN role = 'user' THEN before IN ('system', 'assistant')
                              WHEN role = 'assistant' THEN before = 'user' ELSE false END
-                        AND (at < n OR role = 'assistant')) AS valid
+                        AND (i < n OR role = 'assistant')) AS valid
         FROM e GROUP BY conv_id""",
 }
