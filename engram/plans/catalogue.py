@@ -1,10 +1,491 @@
-"""The registered queries of the memory engine and their SQL."""
+"""The registered queries of the memory engine, over whole tables, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from engram.functions import metrics, text
+from engram.functions.vector import blocks, mean_vectors as mean_by_key, vector_topk
+from engram.operators import evaluation, graph, ingest, learning, retrieval
+from engram.plans import inputs
+from engram.plans.inputs import CFG, edges, episodes, queries, sections, semantic, table
+from engram.sources.loaders import sessions_from_turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable:
+    def add(query: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        @wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            """The query, its counts and ranks as long."""
+            df = query(spark, sf_dir)
+            return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+        QUERIES[query.__name__] = run
+        if sql:
+            ORACLES[query.__name__] = sql
+        return run
+
+    return add
+
+
+def _cos(a: str, b: str) -> str:
+    return f"round(list_dot_product({a}.e, {b}.e) / ((sqrt(list_dot_product({a}.e, {a}.e)) + 1e-8) * (sqrt(list_dot_product({b}.e, {b}.e)) + 1e-8)), 6)"
+
+
+_S = "s AS (SELECT vec_id AS id, label::BIGINT AS parent, embedding::DOUBLE[] AS e FROM embeddings)"
+_Q = "q AS (SELECT id AS query_id, parent, e FROM s WHERE id % 50 = 0)"
+_E = f"""p AS (SELECT a.id AS a, b.id AS b, {_cos('a', 'b')} AS w FROM s a JOIN s b ON a.id < b.id),
+  g AS (SELECT a, b, w, CASE WHEN w >= 0.6 THEN 'hard' WHEN w >= 0.4 THEN 'soft' ELSE 'diffuse' END AS t FROM p WHERE w >= 0.25),
+  e AS (SELECT a AS source_id, b AS target_id, w AS weight, t AS edge_type FROM g UNION ALL SELECT b, a, w, t FROM g)"""
+_SEM = f"""sem AS (SELECT q.query_id, s.id, {_cos('q', 's')} AS score FROM q JOIN s ON s.id <> q.query_id
+  QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY score DESC, s.id) <= 10),
+  semr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sem)"""
+_EC = "ec AS (SELECT *, ((source_id + target_id) % 20)::BIGINT AS n FROM e)"
+
+# ---- similarity and graph
+
+
+@register(f"WITH {_S}, {_Q}, {_SEM} SELECT query_id, rank, id, score FROM semr")
+def flat_topk(spark, sf_dir):
+    return semantic(spark, sf_dir).select("query_id", "rank", "id", "score")
+
+
+@register(f"WITH {_S}, {_E} SELECT * FROM e")
+def similarity_edges(spark, sf_dir):
+    return edges(spark, sf_dir)
+
+
+def _pairs_sql(where: str, weight: str, soft: float) -> str:
+    return f"""WITH {_S}, p AS (SELECT a.id AS a, b.id AS b, a.parent AS pa, b.parent AS pb, {_cos('a', 'b')} AS w FROM s a JOIN s b ON a.id < b.id),
+  g AS (SELECT a, b, {weight} AS w, CASE WHEN w >= {soft} THEN 'soft' ELSE 'diffuse' END AS t FROM p WHERE {where})
+  SELECT a AS source_id, b AS target_id, w AS weight, t AS edge_type FROM g UNION ALL SELECT b, a, w, t FROM g"""
+
+
+@register(_pairs_sql("pa = pb", "greatest(p.w, 0.15)", 0.4).replace("CASE WHEN w", "CASE WHEN p.w"))
+def sibling_edges(spark, sf_dir):
+    return graph.sibling_edges(sections(spark, sf_dir), CFG)
+
+
+@register(_pairs_sql("pa <> pb AND p.w >= 0.1", "p.w", 0.5).replace("CASE WHEN w", "CASE WHEN p.w"))
+def cross_section_edges(spark, sf_dir):
+    return graph.cross_edges(sections(spark, sf_dir), CFG)
+
+
+@register(f"WITH {_S}, {_E} SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id) AS rank FROM e WHERE weight >= 0.3 AND edge_type = 'diffuse'")
+def neighbors_filtered(spark, sf_dir):
+    return graph.neighbors(edges(spark, sf_dir), 0.3, "diffuse")
+
+
+@register(f"WITH {_S}, {_E} SELECT edge_type, count(*) AS n_edges, round(avg(weight), 6) AS mean_weight FROM e GROUP BY edge_type")
+def edge_type_histogram(spark, sf_dir):
+    return graph.edge_type_histogram(edges(spark, sf_dir))
+
+
+@register("SELECT parent_id, pos, round(avg(x), 6) AS mean FROM (SELECT label::BIGINT AS parent_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1)::BIGINT - 1 AS pos FROM embeddings) GROUP BY ALL")
+def mean_vectors(spark, sf_dir):
+    df = mean_by_key(sections(spark, sf_dir), "parent_id", "embedding")
+    return df.withColumn("mean", F.round("mean", 6))
+
+
+def _hop(k: int) -> str:
+    prev = "f0" if k == 1 else f"f{k - 1}"
+    seen = " UNION ALL ".join(["SELECT query_id, id FROM f0", *[f"SELECT query_id, id FROM h{j}" for j in range(1, k)]])
+    return f"""h{k} AS (SELECT * FROM (SELECT f.query_id, e.target_id AS id, f.ord, e.weight, f.path * e.weight AS path,
+      row_number() OVER (PARTITION BY f.query_id, e.target_id ORDER BY f.ord, e.weight DESC) AS n
+      FROM {prev} f JOIN e ON e.source_id = f.id WHERE e.weight >= 0.25) x WHERE n = 1
+      AND NOT EXISTS (SELECT 1 FROM ({seen}) v WHERE v.query_id = x.query_id AND v.id = x.id)),
+  r{k} AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS c, row_number() OVER (PARTITION BY query_id ORDER BY ord, weight DESC, id) AS v,
+      row_number() OVER (PARTITION BY query_id ORDER BY round(path, 9) DESC, id) AS pr FROM h{k}),
+  f{k} AS (SELECT query_id, id, CASE WHEN c <= 100 THEN v ELSE pr END AS ord, path FROM r{k} WHERE c <= 100 OR pr <= 100)"""
+
+
+_BFS = f"WITH {_S}, {_Q}, {_E}, {_SEM}, f0 AS (SELECT query_id, id, rank AS ord, 1.0::DOUBLE AS path FROM semr), {_hop(1)}, {_hop(2)}, {_hop(3)}, bfs AS (SELECT query_id, id, 1 AS depth, path FROM h1 UNION ALL SELECT query_id, id, 2, path FROM h2 UNION ALL SELECT query_id, id, 3, path FROM h3)"
+
+
+@register(f"{_BFS} SELECT query_id, id, depth::BIGINT AS depth, round(path, 6) AS path FROM bfs")
+def focused_bfs(spark, sf_dir):
+    return graph.focused_bfs(semantic(spark, sf_dir), edges(spark, sf_dir), CFG).withColumn("path", F.round("path", 6))
+
+
+@register(f"""{_BFS}, sim AS (SELECT b.query_id, b.id, b.path, {_cos('q', 's')} AS sim FROM bfs b JOIN q USING (query_id) JOIN s ON s.id = b.id),
+  near AS (SELECT sim.query_id, sim.id, greatest(0, sim.sim + sim.path * m.best * 0.3) AS score FROM sim JOIN (SELECT query_id, max(score) AS best FROM semr GROUP BY query_id) m USING (query_id) WHERE sim.sim >= 0.05),
+  u AS (SELECT query_id, id, round(max(score), 6) AS score FROM (SELECT query_id, id, score FROM semr UNION ALL SELECT * FROM near) GROUP BY ALL)
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u QUALIFY rank <= 20""")
+def graph_merge_rank(spark, sf_dir):
+    sem = semantic(spark, sf_dir)
+    found = graph.focused_bfs(sem, edges(spark, sf_dir), CFG)
+    return retrieval.merge_graph(sem, found, inputs.pair_sims(found, spark, sf_dir), 20)
+
+
+@register()
+def diffuse_walk(spark, sf_dir):
+    sem, e = semantic(spark, sf_dir), edges(spark, sf_dir)
+    entries = sem.select("query_id", "id")
+    return graph.diffuse_walk(entries, e, entries, None, CFG)
+
+
+# ---- triggers and fusion
+
+_FIRE = f"""fire AS (SELECT q.query_id, s.id AS trigger_id, s.id AS node_id, round((0.4 * (q.parent = s.parent)::INT + 0.6 * {_cos('q', 's')}) * 1.0, 6) AS score FROM q CROSS JOIN s),
+  fired AS (SELECT * FROM fire WHERE score >= 0.15)"""
+_GUARD = """kept AS (SELECT query_id, node_id AS id, score FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, max(score) OVER (PARTITION BY query_id) AS top FROM fired)
+    WHERE n <= 0.3 * (SELECT count(*) FROM s) AND score >= top * 0.5),
+  sup AS (SELECT * FROM kept k WHERE EXISTS (SELECT 1 FROM semr WHERE semr.query_id = k.query_id AND semr.id = k.id AND semr.score >= 0.03)
+    OR EXISTS (SELECT 1 FROM semr JOIN e ON e.source_id = semr.id WHERE semr.query_id = k.query_id AND semr.rank <= 5 AND e.target_id = k.id)),
+  trig AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sup QUALIFY rank <= 5)"""
+
+
+def _fired(spark, sf_dir):
+    return retrieval.fire_triggers(queries(spark, sf_dir), inputs.section_triggers(spark, sf_dir), CFG)
+
+
+def _guarded(spark, sf_dir, sem, e):
+    n = sections(spark, sf_dir).count()
+    return retrieval.guard_triggers(_fired(spark, sf_dir), sem, e, n, CFG)
+
+
+@register(f"WITH {_S}, {_Q}, {_FIRE} SELECT * FROM fired")
+def trigger_fire(spark, sf_dir):
+    return _fired(spark, sf_dir)
+
+
+@register(f"WITH {_S}, {_Q}, {_E}, {_SEM}, {_FIRE}, {_GUARD} SELECT query_id, id, score, rank FROM trig")
+def trigger_guards(spark, sf_dir):
+    return _guarded(spark, sf_dir, semantic(spark, sf_dir), edges(spark, sf_dir))
+
+
+@register(f"""WITH {_S}, {_Q}, {_SEM}, {_FIRE},
+  t AS (SELECT query_id, node_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM fired QUALIFY rank <= 5),
+  n AS (SELECT query_id, count(*) AS n FROM t GROUP BY query_id),
+  u AS (SELECT query_id, id, rank, 0 AS block FROM t UNION ALL SELECT semr.query_id, id, rank, 1 FROM semr LEFT JOIN n USING (query_id) WHERE rank <= greatest(1, 10 - coalesce(n.n, 0))),
+  o AS (SELECT query_id, id, min(block * 1000 + rank) AS ord FROM u GROUP BY ALL)
+  SELECT query_id, id, ord < 1000 AS is_triggered, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS rank FROM o QUALIFY rank <= 10""")
+def trigger_injected(spark, sf_dir):
+    fired = _fired(spark, sf_dir).select("query_id", F.col("node_id").alias("id"), "score")
+    return retrieval.inject(fired, semantic(spark, sf_dir), 10, CFG)
+
+
+_TWO = """ent AS (SELECT query_id, id FROM semr WHERE rank <= 5 UNION SELECT query_id, id FROM trig),
+  one AS (SELECT ent.query_id, e.target_id AS id, max(e.weight) AS path FROM ent JOIN e ON e.source_id = ent.id WHERE e.weight >= 0.10 AND NOT EXISTS (SELECT 1 FROM ent x WHERE x.query_id = ent.query_id AND x.id = e.target_id) GROUP BY ALL),
+  two AS (SELECT one.query_id, e.target_id AS id, max(one.path * e.weight) AS path FROM one JOIN e ON e.source_id = one.id WHERE e.weight >= 0.15
+    AND NOT EXISTS (SELECT 1 FROM ent x WHERE x.query_id = one.query_id AND x.id = e.target_id) AND NOT EXISTS (SELECT 1 FROM one x WHERE x.query_id = one.query_id AND x.id = e.target_id) GROUP BY ALL),
+  hop AS (SELECT * FROM one UNION ALL SELECT * FROM two)"""
+_CHAIN = f"WITH {_S}, {_Q}, {_E}, {_SEM}, {_FIRE}, {_GUARD}, {_TWO}"
+
+
+@register(f"{_CHAIN} SELECT query_id, id, round(path, 6) AS path FROM hop")
+def section_two_hop(spark, sf_dir):
+    sem, e = semantic(spark, sf_dir), edges(spark, sf_dir)
+    return retrieval.section_graph(sem, _guarded(spark, sf_dir, sem, e), e, CFG).withColumn("path", F.round("path", 6))
+
+
+@register(f"""{_CHAIN},
+  u AS (SELECT query_id, id, max(sem) AS sem, max(path) AS path, bool_or(t) AS t FROM (
+    SELECT query_id, id, score AS sem, NULL::DOUBLE AS path, false AS t FROM semr UNION ALL SELECT query_id, id, NULL, NULL, true FROM trig UNION ALL SELECT query_id, id, NULL, path, false FROM hop) GROUP BY ALL),
+  x AS (SELECT u.*, m.best, {_cos('q', 's')} AS sim FROM u JOIN (SELECT query_id, max(score) AS best FROM semr GROUP BY 1) m USING (query_id) JOIN q USING (query_id) JOIN s ON s.id = u.id),
+  y AS (SELECT query_id, id, round(greatest(sem, CASE WHEN t THEN greatest(coalesce(sem, 0), least(coalesce(sem, 0) + 0.15, best + 0.05)) END,
+      CASE WHEN path IS NOT NULL THEN greatest(0, least(sim + path * 0.3, best)) END), 6) AS score,
+      CASE WHEN t THEN 'trigger' WHEN path IS NOT NULL THEN 'graph' ELSE 'semantic' END AS channel FROM x)
+  SELECT query_id, id, score, channel, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM y QUALIFY rank <= 10""")
+def section_fusion(spark, sf_dir):
+    sem, e = semantic(spark, sf_dir), edges(spark, sf_dir)
+    trig = _guarded(spark, sf_dir, sem, e)
+    hops = retrieval.section_graph(sem, trig, e, CFG)
+    return retrieval.fuse(sem, trig, hops, inputs.pair_sims(hops, spark, sf_dir), 10, CFG)
+
+
+@register(f"""{_CHAIN}, gold AS (SELECT q.query_id, s.id FROM q JOIN s ON s.parent = q.parent AND s.id <> q.query_id)
+  SELECT g.query_id, g.id, CASE WHEN t.id IS NOT NULL THEN 'trigger' WHEN h.id IS NOT NULL THEN 'graph' WHEN m.id IS NOT NULL THEN 'semantic' ELSE 'MISS' END AS channel,
+    m.id IS NULL AND (t.id IS NOT NULL OR h.id IS NOT NULL) AS rescued
+  FROM gold g LEFT JOIN trig t ON t.query_id = g.query_id AND t.id = g.id LEFT JOIN hop h ON h.query_id = g.query_id AND h.id = g.id LEFT JOIN semr m ON m.query_id = g.query_id AND m.id = g.id""")
+def channel_attribution(spark, sf_dir):
+    sem, e = semantic(spark, sf_dir), edges(spark, sf_dir)
+    trig = _guarded(spark, sf_dir, sem, e)
+    return evaluation.attribution(_gold(spark, sf_dir), trig, retrieval.section_graph(sem, trig, e, CFG), sem)
+
+
+def _gold(spark, sf_dir):
+    s = sections(spark, sf_dir).select("id", "parent_id")
+    return s.where(F.col("id") % inputs.EVERY == 0).withColumnRenamed("id", "query_id").join(s, "parent_id").where("id <> query_id").select("query_id", "id")
+
+
+# ---- texts
+
+_TOK = "'[a-zA-Z][a-zA-Z0-9_-]+'"
+_STOP = "(" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")"
+
+
+def _numbered(source: str, key: str) -> str:
+    """Tokens of source (key, part, t) numbered within key and part."""
+    return f"SELECT {key}, part, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT {key}, part, regexp_extract_all(t, {_TOK}) AS l FROM {source})"
+
+
+@register(f"""WITH t AS (SELECT doc_id, 1 AS part, lower(text) AS t FROM documents), n AS ({_numbered('t', 'doc_id')}),
+  f AS (SELECT doc_id, w, min(pos) AS pos FROM n WHERE length(w) >= 3 AND w NOT IN {_STOP} GROUP BY ALL)
+  SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS keywords FROM f GROUP BY doc_id""")
+def section_keywords(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
+    return df.where("keywords <> ''")
+
+
+_MD = """l AS (SELECT doc_id AS id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+  p AS (SELECT id, i // 3 AS k, regexp_replace(max(line) FILTER (i % 3 = 0), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS heading, coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (i % 3 > 0), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g'), '') AS body FROM l GROUP BY ALL),
+  md AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::BIGINT AS section, heading, body FROM p WHERE body <> '')"""
+
+
+@register(f"WITH {_MD} SELECT * FROM md")
+def markdown_sections(spark, sf_dir):
+    return text.markdown_sections(inputs.marked_documents(spark, sf_dir), "id", "content")
+
+
+_MARKED = "(regexp_matches(w, '^[A-Z][A-Z0-9_-]*$') OR regexp_matches(w, '[_-]') OR regexp_matches(w, '^[A-Z]'))"
+
+
+@register(f"""WITH {_MD}, t AS (SELECT id || '_' || section AS key, 1 AS part, heading AS t FROM md UNION ALL SELECT id || '_' || section, 2, body FROM md UNION ALL SELECT id || '_' || section, 3, lower(split_part(body, '.', 1)) FROM md),
+  n AS ({_numbered('t', 'key')}),
+  f AS (SELECT key, lower(w) AS w, min(part::BIGINT * 1000000000 + pos) AS ord FROM n WHERE (part <> 2 OR {_MARKED}) AND length(w) >= 3 AND lower(w) NOT IN {_STOP} GROUP BY ALL)
+  SELECT 'trigger_' || key AS id, string_agg(w, ' ' ORDER BY ord) AS pattern FROM f GROUP BY key""")
+def trigger_patterns(spark, sf_dir):
+    md = inputs.marked_documents(spark, sf_dir)
+    return ingest.explicit_triggers(md.select(F.col("id").cast("string").alias("id"), "content"), lambda c: F.lit(None)).select("id", F.array_join("pattern", " ").alias("pattern"))
+
+
+_CHAT = "c AS (SELECT conv_id, string_agg('[' || role || ']: ' || coalesce(text, ''), chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id)"
+
+
+@register(f"WITH {_CHAT} SELECT * FROM c")
+def chat_sessions(spark, sf_dir):
+    return sessions_from_turns(table(spark, sf_dir, "conversations"))
+
+
+@register(f"""WITH {_CHAT}, l AS (SELECT conv_id, unnest(string_split(content, chr(10))[1:20]) AS s FROM c)
+  SELECT conv_id, count(*) FILTER (starts_with(s, '[user]:') OR starts_with(s, '[assistant]:')) >= 2 AS is_chat FROM l GROUP BY conv_id""")
+def chat_detect(spark, sf_dir):
+    c = sessions_from_turns(table(spark, sf_dir, "conversations"))
+    return c.select("conv_id", text.is_chat(F.col("content")).alias("is_chat"))
+
+
+@register(f"""WITH {_CHAT}, l AS (SELECT conv_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, string_split(content, chr(10)) AS x FROM c)),
+  u AS (SELECT conv_id, i, trim(substr(s, 8)) AS s FROM l WHERE starts_with(s, '[user]:')),
+  t AS (SELECT conv_id, 1 AS part, string_agg(s, ' ' ORDER BY i) AS t FROM u GROUP BY conv_id UNION ALL SELECT conv_id, 2, lower(arg_min(s, i)) FROM u GROUP BY conv_id),
+  n AS ({_numbered('t', 'conv_id')}),
+  f AS (SELECT conv_id, lower(w) AS w, min(part::BIGINT * 1000000000 + pos) AS ord FROM n WHERE (part <> 1 OR {_MARKED}) AND length(w) >= 3 AND lower(w) NOT IN {_STOP} GROUP BY ALL)
+  SELECT conv_id, string_agg(w, ' ' ORDER BY ord) AS pattern FROM f GROUP BY conv_id""")
+def chat_triggers(spark, sf_dir):
+    c = sessions_from_turns(table(spark, sf_dir, "conversations"))
+    df = c.select("conv_id", F.array_join(text.chat_keywords(text.user_turns(F.col("content"))), " ").alias("pattern"))
+    return df.where("pattern <> ''")
+
+
+@register(f"""WITH t AS (SELECT doc_id, lang, 1 AS part, lower(text) AS t FROM documents),
+  n AS (SELECT doc_id, lang, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, lang, regexp_extract_all(t, {_TOK}) AS l FROM t)),
+  f AS (SELECT lang, w AS token, count(*) AS n, min(doc_id * 1000000 + pos) AS first FROM n WHERE length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in text.LEARNED_STOP_WORDS)}) GROUP BY ALL)
+  SELECT lang, token, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) AS rank FROM f QUALIFY rank <= 15""")
+def token_frequency_topn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("episode_seq"), F.col("text").alias("context"))
+    return learning.top_keywords(docs, ["lang"], 15, text.LEARNED_STOP_WORDS)
+
+
+_HASH = """v{0} AS (SELECT id, list(coalesce(c, 0)::DOUBLE ORDER BY b) AS e FROM (SELECT id, b FROM (SELECT DISTINCT id FROM t{0}) CROSS JOIN range(64) r(b))
+    LEFT JOIN (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS b, count(*) AS c FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9_-]+')) AS w FROM t{0}) GROUP BY ALL) USING (id, b) GROUP BY id)"""
+
+
+@register(f"""WITH t1 AS (SELECT item_id AS id, text FROM benchmark), t2 AS (SELECT doc_id AS id, text FROM documents), {_HASH.format(1)}, {_HASH.format(2)},
+  m AS (SELECT a.id AS query_id, b.id, {_cos('a', 'b')} AS score FROM v1 a CROSS JOIN v2 b)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM m QUALIFY rank <= 5""")
+def text_topk(spark, sf_dir):
+    q = ingest.hashed_vectors(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
+    d = ingest.hashed_vectors(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id", "text")
+    return vector_topk(blocks(q, "query_id", "embedding"), blocks(d, "id", "embedding"), 5, exclude_self=False).select("query_id", "rank", "id", "score")
+
+
+# ---- learning
+
+_EP = """ev AS (SELECT floor(epoch(ts) / 3600)::BIGINT AS seq, (props->>'$.k')::BIGINT AS k, event_type, event_id FROM events),
+  r AS (SELECT DISTINCT seq, k FROM ev), u AS (SELECT DISTINCT seq, k FROM ev WHERE event_type IN ('purchase', 'signup')), c AS (SELECT DISTINCT seq, k FROM ev WHERE event_type IN ('click', 'purchase')),
+  x AS (SELECT * FROM r EXCEPT SELECT * FROM u)"""
+
+
+@register(f"""WITH {_EP}, ids AS (SELECT seq, string_agg(k, ',' ORDER BY k) AS retrieved FROM r GROUP BY seq),
+  a AS (SELECT seq, string_agg(k, ',' ORDER BY k) AS v FROM u GROUP BY seq), b AS (SELECT seq, string_agg(k, ',' ORDER BY k) AS v FROM x GROUP BY seq),
+  d AS (SELECT seq, string_agg(k, ',' ORDER BY k) AS v FROM (SELECT * FROM c INTERSECT SELECT * FROM u) GROUP BY seq), f AS (SELECT seq, string_agg(k, ',' ORDER BY k) AS v FROM (SELECT * FROM c EXCEPT SELECT * FROM u) GROUP BY seq)
+  SELECT ids.seq AS episode_seq, retrieved, coalesce(a.v, '') AS useful, coalesce(b.v, '') AS useless, coalesce(d.v, '') AS useful_triggers, coalesce(f.v, '') AS useless_triggers
+  FROM ids LEFT JOIN a USING (seq) LEFT JOIN b USING (seq) LEFT JOIN d USING (seq) LEFT JOIN f USING (seq)""")
+def episode_sets(spark, sf_dir):
+    e = learning.episode_sets(episodes(spark, sf_dir))
+    return e.select("episode_seq", *[F.array_join(c, ",").alias(n) for c, n in (("retrieved_ids", "retrieved"), ("useful_ids", "useful"), ("useless_ids", "useless"), ("useful_triggers", "useful_triggers"), ("useless_triggers", "useless_triggers"))])
+
+
+@register(f"WITH {_EP} SELECT seq AS episode_seq, count(*)::BIGINT AS n_retrieved FROM r WHERE seq IN (SELECT seq FROM r WHERE k = 7) GROUP BY seq")
+def episodes_with_node(spark, sf_dir):
+    return learning.with_node(episodes(spark, sf_dir), F.lit(7).cast("long")).select("episode_seq", F.size("retrieved_ids").alias("n_retrieved"))
+
+
+@register(f"WITH {_EP} SELECT seq AS episode_seq FROM u WHERE k = 7 INTERSECT SELECT seq FROM u WHERE k = 11")
+def episodes_with_edge(spark, sf_dir):
+    return learning.with_edge(episodes(spark, sf_dir), F.lit(7).cast("long"), F.lit(11).cast("long"), useful=True).select("episode_seq")
+
+
+@register(f"WITH {_EP} SELECT a.k AS source_id, b.k AS target_id, count(*) AS n FROM u a JOIN u b ON a.seq = b.seq AND a.k <> b.k GROUP BY ALL")
+def coactivation_pairs(spark, sf_dir):
+    return learning.coactivations(episodes(spark, sf_dir)).groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
+
+
+@register(f"WITH {_EP} SELECT a.k AS source_id, b.k AS target_id, count(*) AS n FROM (SELECT *, 1 AS s FROM u UNION ALL SELECT *, 2 FROM x) a JOIN (SELECT *, 1 AS s FROM u UNION ALL SELECT *, 2 FROM x) b ON a.seq = b.seq AND a.s <> b.s GROUP BY ALL")
+def weaken_useless(spark, sf_dir):
+    return learning.contrasts(episodes(spark, sf_dir)).groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
+
+
+@register(f"""WITH RECURSIVE {_S}, {_E}, {_EC}, {_EP},
+  ops AS (SELECT a.k AS source_id, b.k AS target_id, a.seq, true AS up FROM u a JOIN u b ON a.seq = b.seq AND a.k <> b.k
+    UNION ALL SELECT u.k, x.k, u.seq, false FROM u JOIN x USING (seq) UNION ALL SELECT x.k, u.k, u.seq, false FROM u JOIN x USING (seq)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY seq) AS i FROM ops),
+  f AS (SELECT source_id, target_id, 0::BIGINT AS i, weight AS w, n AS c, edge_type AS t FROM ec
+    UNION ALL SELECT DISTINCT o.source_id, o.target_id, 0::BIGINT, NULL::DOUBLE, NULL::BIGINT, NULL::VARCHAR FROM o WHERE NOT EXISTS (SELECT 1 FROM ec WHERE ec.source_id = o.source_id AND ec.target_id = o.target_id)
+    UNION ALL SELECT f.source_id, f.target_id, o.i,
+      CASE WHEN o.up AND f.w IS NULL THEN 0.2 WHEN o.up THEN least(f.w + 0.1, 1.0) WHEN f.w IS NULL THEN NULL ELSE greatest(f.w - 0.05, 0.0) END,
+      CASE WHEN o.up AND f.w IS NULL THEN 0 WHEN o.up THEN f.c + 1 ELSE f.c END,
+      CASE WHEN o.up AND f.w IS NULL THEN 'diffuse' WHEN o.up AND f.t = 'diffuse' AND f.c + 1 >= 3 THEN 'soft' WHEN o.up AND f.t = 'soft' AND f.c + 1 >= 6 THEN 'hard' ELSE f.t END
+    FROM f JOIN o ON o.source_id = f.source_id AND o.target_id = f.target_id AND o.i = f.i + 1)
+  SELECT source_id, target_id, round(w, 6) AS weight, c AS co_activation_count, t AS edge_type FROM f WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY i DESC) = 1""")
+def hebbian_fold(spark, sf_dir):
+    e = learning.fold_edges(inputs.counted_edges(spark, sf_dir), episodes(spark, sf_dir), None, CFG)
+    return e.select("source_id", "target_id", F.round("weight", 6).alias("weight"), "co_activation_count", "edge_type")
+
+
+@register(f"""WITH {_EP} SELECT c.k AS associated_node_id, count(*)::BIGINT AS fire_count, count(u.k)::BIGINT AS useful_count, round(greatest(0.7 - 0.02 * (count(*) - count(u.k)), 0), 6) AS confidence
+  FROM c LEFT JOIN u ON u.seq = c.seq AND u.k = c.k GROUP BY c.k""")
+def trigger_feedback(spark, sf_dir):
+    e = episodes(spark, sf_dir)
+    node = e.select(F.explode("triggered_ids").alias("associated_node_id")).distinct()
+    t = node.select("associated_node_id", F.lit(0).alias("fire_count"), F.lit(0).alias("useful_count"), F.lit(CFG.learned_confidence).alias("confidence"))
+    return learning.trigger_feedback(t, e, CFG).withColumn("confidence", F.round("confidence", 6))
+
+
+@register(f"""WITH {_S}, {_E}, {_EC} SELECT source_id, target_id, weight, n AS co_activation_count, edge_type = 'hard' AND n >= 10 AS wants_trigger,
+  CASE WHEN edge_type = 'diffuse' AND n >= 3 THEN 'soft' WHEN edge_type = 'soft' AND n >= 6 THEN 'hard' ELSE edge_type END AS edge_type FROM ec""")
+def promote_edges(spark, sf_dir):
+    return learning.promote_edges(inputs.counted_edges(spark, sf_dir), CFG)
+
+
+_DECAY = "d AS (SELECT source_id, target_id, edge_type, n, CASE WHEN weight > (CASE WHEN n >= 15 THEN 0.002 ELSE 0.02 END) THEN weight - (CASE WHEN n >= 15 THEN 0.002 ELSE 0.02 END) ELSE weight END AS weight FROM ec)"
+
+
+@register(f"WITH {_S}, {_E}, {_EC}, {_DECAY} SELECT source_id, target_id, round(weight, 6) AS weight FROM d")
+def decay_edges(spark, sf_dir):
+    return learning.decay_edges(inputs.counted_edges(spark, sf_dir), CFG).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
+
+
+@register(f"""WITH {_S}, {_E}, {_EC}, {_DECAY}, pr AS (SELECT *, CASE WHEN weight < 0.05 THEN 0 ELSE weight END AS w FROM d)
+  SELECT source_id, target_id, round(CASE WHEN row_number() OVER (PARTITION BY source_id ORDER BY w DESC, target_id) > 20 THEN 0 ELSE w END, 6) AS weight FROM pr""")
+def decay_cycle(spark, sf_dir):
+    return learning.decay_cycle(inputs.counted_edges(spark, sf_dir), CFG).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
+
+
+@register(f"""WITH {_S}, {_E}, {_EC}, {_EP}, m AS (SELECT a.k AS source_id, b.k AS target_id, count(*)::BIGINT AS m FROM u a JOIN u b ON a.seq = b.seq AND a.k <> b.k GROUP BY ALL)
+  SELECT source_id, target_id, round(least(weight + coalesce(m, 0) * 0.05, 1), 6) AS weight, n + coalesce(m, 0) AS co_activation_count, coalesce(m, 0) AS replayed FROM ec LEFT JOIN m USING (source_id, target_id)""")
+def replay_episodes(spark, sf_dir):
+    e = learning.replay(inputs.counted_edges(spark, sf_dir), episodes(spark, sf_dir), CFG)
+    return e.select("source_id", "target_id", F.round("weight", 6).alias("weight"), "co_activation_count", "replayed")
+
+
+@register(f"""WITH {_S}, {_E}, w AS (SELECT l.target_id AS a, r.target_id AS c, l.source_id AS via, l.weight AS wa, r.weight AS wc FROM e l JOIN e r ON l.source_id = r.source_id AND l.target_id <> r.target_id
+    WHERE l.weight >= 0.25 AND r.weight >= 0.25 AND (l.weight > r.weight OR (l.weight = r.weight AND l.target_id < r.target_id)) AND NOT EXISTS (SELECT 1 FROM e x WHERE x.source_id = l.target_id AND x.target_id = r.target_id))
+  SELECT a, c, via, round(sqrt(wa * wc) * 0.5, 6) AS weight FROM w WHERE sqrt(wa * wc) >= 0.15 QUALIFY row_number() OVER (PARTITION BY least(a, c), greatest(a, c) ORDER BY via, a) = 1""")
+def bridge_discovery(spark, sf_dir):
+    from dataclasses import replace
+
+    return learning.discover_bridges(edges(spark, sf_dir), replace(CFG, bridge_min_weight=0.25))
+
+
+@register(f"""WITH {_EP}, n AS (SELECT seq // 24 AS batch, k AS node_id, count(*) AS n FROM u GROUP BY ALL), z AS (SELECT seq // 24 AS batch, count(DISTINCT seq) AS size FROM ev GROUP BY ALL)
+  SELECT batch, node_id, n FROM n JOIN z USING (batch) WHERE size >= 3 AND n >= greatest(3, size // 5)""")
+def mine_triggers(spark, sf_dir):
+    return learning.minable(episodes(spark, sf_dir), F.floor(F.col("episode_seq") / 24), CFG)
+
+
+@register("SELECT l.doc_id, coalesce(l.quality, -1)::BIGINT AS value FROM labels l UNION ALL SELECT d.doc_id, -1 FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def upsert_nodes(spark, sf_dir):
+    old = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("value"))
+    new = table(spark, sf_dir, "labels").select("doc_id", F.coalesce("quality", F.lit(-1)).cast("int").alias("value"))
+    return learning.upsert(old, new, ["doc_id"])
+
+
+# ---- evaluation
+
+_NORM = r"""trim(regexp_replace(translate(regexp_replace(regexp_replace(lower({0}), '(^|[^\pL\pN\pM_])(an|a|the)($|[^\pL\pN\pM_])', '\1\3', 'g'), '(^|[^\pL\pN\pM_])(an|a|the)($|[^\pL\pN\pM_])', '\1\3', 'g'), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\s+', ' ', 'g'))"""
+
+
+@register(f"SELECT item_id, {_NORM.format('text')} AS normalized FROM benchmark")
+def normalize_answer(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", text.normalize_answer(F.col("text")).alias("normalized"))
+
+
+_TURNS = f"""t AS (SELECT conv_id, turn, {_NORM.format("coalesce(text, '')")} AS x, lag({_NORM.format("coalesce(text, '')")}) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations)"""
+
+
+@register(f"""WITH {_TURNS}, p AS (SELECT conv_id, turn, unnest(string_split(x, ' ')) AS w FROM t WHERE y IS NOT NULL), g AS (SELECT conv_id, turn, unnest(string_split(y, ' ')) AS w FROM t WHERE y IS NOT NULL),
+  pc AS (SELECT conv_id, turn, w, count(*) AS c FROM p WHERE w <> '' GROUP BY ALL), gc AS (SELECT conv_id, turn, w, count(*) AS c FROM g WHERE w <> '' GROUP BY ALL),
+  b AS (SELECT conv_id, turn, sum(least(pc.c, gc.c)) AS shared FROM pc JOIN gc USING (conv_id, turn, w) GROUP BY ALL),
+  n AS (SELECT conv_id, turn, sum(c) AS n FROM (SELECT conv_id, turn, c FROM pc UNION ALL SELECT conv_id, turn, c FROM gc) GROUP BY ALL)
+  SELECT t.conv_id, t.turn, (x = y)::DOUBLE AS em, round(coalesce(2 * shared / n, 0), 6)::DOUBLE AS f1 FROM t LEFT JOIN b USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn) WHERE y IS NOT NULL""")
+def answer_scores(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    c = c.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
+    gold = F.array("before")
+    return c.select("conv_id", "turn", metrics.exact_match(F.col("text"), gold).alias("em"), F.round(metrics.best_f1(F.col("text"), gold), 6).alias("f1"))
+
+
+_VALUES = f"""WITH {_S}, {_Q}, {_SEM}, gold AS (SELECT q.query_id, q.parent, s.id FROM q JOIN s ON s.parent = q.parent AND s.id <> q.query_id),
+  gn AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1), k AS (SELECT unnest([1, 3, 5, 10]) AS k),
+  h AS (SELECT q.query_id, q.parent, k.k, count(m.id) AS r, count(g.id) AS hit FROM q CROSS JOIN k LEFT JOIN semr m ON m.query_id = q.query_id AND m.rank <= k.k LEFT JOIN gold g ON g.query_id = q.query_id AND g.id = m.id GROUP BY ALL),
+  v AS (SELECT query_id, parent, 'recall@' || k AS metric, CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE hit / n END AS value FROM h LEFT JOIN gn USING (query_id)
+    UNION ALL SELECT query_id, parent, 'precision@' || k, CASE WHEN r = 0 THEN 0.0 ELSE hit / r END FROM h
+    UNION ALL SELECT query_id, parent, 'support_f1', CASE WHEN r = 0 AND coalesce(n, 0) = 0 THEN 1.0 WHEN hit = 0 THEN 0.0 ELSE 2 * hit / (r + n) END FROM h LEFT JOIN gn USING (query_id) WHERE k = 10)"""
+
+
+def _values(spark, sf_dir):
+    gold = _gold(spark, sf_dir).groupBy("query_id").agg(F.collect_set("id").alias("gold"))
+    lists = queries(spark, sf_dir).select("query_id", F.regexp_extract("text", "(\\d+)$", 1).cast("long").alias("parent")).join(gold, "query_id", "left").join(evaluation.ranked_lists(semantic(spark, sf_dir)), "query_id", "left")
+    lists = lists.withColumn("gold", F.coalesce("gold", F.array().cast("array<bigint>")))
+    return evaluation.ranking_metrics(lists).join(lists.select("query_id", "parent"), "query_id")
+
+
+@register(f"{_VALUES} SELECT query_id, metric, round(value, 6)::DOUBLE AS value FROM v")
+def ranking_metrics(spark, sf_dir):
+    return _values(spark, sf_dir).select("query_id", "metric", F.round("value", 6).alias("value"))
+
+
+@register(f"{_VALUES} SELECT metric, round(avg(value), 6) AS mean, round(min(value), 6)::DOUBLE AS least, round(max(value), 6)::DOUBLE AS largest, count(*) AS n FROM v GROUP BY metric")
+def aggregate_metrics(spark, sf_dir):
+    return evaluation.summary(_values(spark, sf_dir)).withColumns({"least": F.round("least", 6), "largest": F.round("largest", 6)})
+
+
+@register(f"{_VALUES} SELECT metric, parent, round(avg(value), 6) AS mean, count(*) AS n FROM v GROUP BY ROLLUP (metric, parent) HAVING metric IS NOT NULL")
+def metrics_by_group(spark, sf_dir):
+    return evaluation.by_class_and_overall(_values(spark, sf_dir), "parent")
+
+
+_DAILY = "d AS (SELECT event_type, floor(epoch(ts) / 86400)::BIGINT AS day, count(*) AS n FROM events GROUP BY ALL)"
+
+
+def _daily(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type", (F.unix_timestamp("ts") / 86400).cast("long").alias("day")).agg(F.count("*").alias("n"))
+
+
+@register(f"WITH {_DAILY} SELECT event_type, day, n, round(avg(n) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS average FROM d")
+def running_average(spark, sf_dir):
+    return evaluation.running_average(_daily(spark, sf_dir), "day", "n", 10, "event_type")
+
+
+@register(f"""WITH {_DAILY}, h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, count(*) OVER (PARTITION BY event_type) AS c FROM d)
+  SELECT event_type, round(avg(n) FILTER (i <= c // 2), 6) AS first, round(avg(n) FILTER (i > c // 2), 6) AS second FROM h GROUP BY event_type""")
+def half_means(spark, sf_dir):
+    return evaluation.halves(_daily(spark, sf_dir), "day", "n", "event_type")
