@@ -57,7 +57,7 @@ class Threshold:
         top = np.array(low[1:] + [int(np.ceil(low[-1] / share / share))]) - 1
         # |A| + |B| - 2 |both| <= (|A| + |B|) (over - of) / (over + of)
         apart = 2 * top * (self.over - self.of) // (self.over + self.of)
-        slack = np.maximum(1, apart // 16)
+        slack = np.maximum(1, apart // 8)
         return np.array(low), apart + 1 + slack, slack
 
 
@@ -209,8 +209,10 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     leads = best.select(F.col("lead").alias("node")).distinct()
     candidates = best.join(leads, "node", "full").join(nodes, "node").select("id", "lead")
     sets = stage(rows.join(candidates, "id").select("id", "text", "lead").mapInArrow(full_sets, "node long, tokens binary, lead long"), "sets")
+    if not digests.groupBy("id").count().where("count > 1").isEmpty():  # rows with a repeated id gave their sets again
+        sets = stage(sets.dropDuplicates(["node"]), "sets")
     first = sets.where("lead IS NOT NULL").select(F.col("node").alias("a"), F.col("lead").alias("b"), F.col("tokens").alias("x"))
-    second = sets.join(leads, "node", "left_semi").groupBy(F.col("node").alias("b")).agg(F.first("tokens").alias("y"))
+    second = sets.join(leads, "node", "left_semi").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     links = stage(_compare(first.join(second, "b"), t), "links")
     groups = components(links)
 
@@ -233,7 +235,7 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
             take = lambda c: batch.column(c).take(pa.array(of))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([take(0), take(1), pa.array(n[of], pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["node", "g", "n", "token"])
 
-    held = sets.join(open_nodes, "node").groupBy("node", "g").agg(F.first("tokens").alias("tokens"))
+    held = sets.join(open_nodes, "node").select("node", "g", "tokens")
     rows_ = stage(held.mapInArrow(open_tokens, "node long, g long, n int, token long"), "open")
     union = rows_.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("df")).where("g0 < g1").select("token", "df")
     common = stage(rows_.join(union, "token"), "common")
@@ -260,7 +262,7 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     pairs = stage(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs, "a")
     asked_for = pairs.select(F.col("b").alias("node")).distinct()
-    y = sets.join(asked_for, "node", "left_semi").groupBy(F.col("node").alias("b")).agg(F.first("tokens").alias("y"))
+    y = sets.join(asked_for, "node", "left_semi").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     more = stage(_compare(x.join(y, "b"), t), "more-links")
 
     joined = components(group_of(group_of(more, "a", "g"), "b", "h").select(F.col("g").alias("a"), F.col("h").alias("b")))
