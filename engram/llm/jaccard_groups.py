@@ -110,7 +110,9 @@ def part_keys(h: np.ndarray, bounds: np.ndarray, t: Threshold) -> tuple[np.ndarr
         keys.append(mix(total + mix(tag, 5), 7))
         sets.append(use[at[first]])
         empty = k - np.bincount(at[first], minlength=len(use))
-        need[use] = np.minimum(need[use], np.maximum(1, 1 + slack[level] - np.where(empty > slack[level], 0, empty)))
+        # a partner has n * over / of shingles at most, and so differs in so many parts at most
+        apart = (n + n * t.over // t.of) * (t.over - t.of) // (t.over + t.of)
+        need[use] = np.minimum(need[use], np.maximum(1, k - apart - np.where(empty > slack[level], 0, empty)))
         for i in np.flatnonzero((empty > slack[level]) & (k > 1)).tolist():
             lacking = np.setdiff1d(np.arange(k[i]), part[first][at[first] == i])
             keys.append(mix(mix((level[i] * (1 << 40) + lacking).astype(U64), 5), 9))
@@ -182,13 +184,13 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
             key, at, need = part_keys(h, bounds, t)
             mine = new[at]
             key, at = key[mine], at[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(np.diff(bounds)[at], pa.int32()), pa.array(need[at], pa.int32())], ["key", "node", "n", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(need[at], pa.int32())], ["key", "node", "need"])
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches, 1):
             h, bounds = shingle_sets(data, offs, t.k)
             sets = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node_ids(h, bounds)[0]), pa.array(sets, pa.binary()), batch.column(2)], ["node", "tokens", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(node_ids(h, bounds)[0]), pa.array(sets, pa.binary()), batch.column(2), batch.column(3)], ["node", "tokens", "lead", "leads"])
 
     digests = stage(rows.mapInArrow(digest, "id long, n long, node long, check long"), "digests")
     known = digests.where("n > 0 AND id IS NOT NULL")
@@ -197,22 +199,24 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
 
     # rows of the matrix whose part two nodes or more have
     part = Window.partitionBy("key")
-    matrix = rows.where("id IS NOT NULL").mapInArrow(tokens, "key long, node long, n int, need int")
+    matrix = rows.where("id IS NOT NULL").mapInArrow(tokens, "key long, node long, need int")
     matrix = matrix.withColumns({"low": F.min("node").over(part), "high": F.max("node").over(part), "m": F.count("*").over(part)})
     shared = stage(matrix.where("low < high").drop("low", "high"), "matrix")
-    ties = shared.groupBy("node").agg(F.sum("m").alias("ties"))
+    # a node with fewer shared parts than a partner would share has no partner
+    ties = shared.groupBy("node").agg(F.sum("m").alias("ties"), F.count("*").alias("parts"), F.max("need").alias("least"))
+    ties = ties.where("parts >= least").select("node", "ties")
     lead = shared.join(ties, "node").groupBy("key").agg(F.max(F.struct("ties", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
-    shared = stage(shared.drop("m").join(lead, "key"), "leads")
+    shared = stage(shared.drop("m").join(ties.select("node"), "node", "left_semi").join(lead, "key"), "leads")
     stars = stage(shared.where("node <> lead").groupBy("node", "lead").count(), "stars")
 
     best = stars.groupBy("node").agg(F.max(F.struct("count", (-F.col("lead")).alias("lead"))).alias("m")).select("node", (-F.col("m.lead")).alias("lead"))
     leads = best.select(F.col("lead").alias("node")).distinct()
-    candidates = best.join(leads, "node", "full").join(nodes, "node").select("id", "lead")
-    sets = stage(rows.join(candidates, "id").select("id", "text", "lead").mapInArrow(full_sets, "node long, tokens binary, lead long"), "sets")
+    candidates = best.join(leads.withColumn("leads", F.lit(True)), "node", "full").join(nodes, "node").select("id", "lead", "leads")
+    sets = stage(rows.join(candidates, "id").select("id", "text", "lead", "leads").mapInArrow(full_sets, "node long, tokens binary, lead long, leads boolean"), "sets")
     if not digests.groupBy("id").count().where("count > 1").isEmpty():  # rows with a repeated id gave their sets again
         sets = stage(sets.dropDuplicates(["node"]), "sets")
     first = sets.where("lead IS NOT NULL").select(F.col("node").alias("a"), F.col("lead").alias("b"), F.col("tokens").alias("x"))
-    second = sets.join(leads, "node", "left_semi").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    second = sets.where("leads").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     links = stage(_compare(first.join(second, "b"), t), "links")
     groups = components(links)
 
@@ -236,9 +240,10 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
             yield pa.RecordBatch.from_arrays([take(0), take(1), pa.array(n[of], pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["node", "g", "n", "token"])
 
     held = sets.join(open_nodes, "node").select("node", "g", "tokens")
-    rows_ = stage(held.mapInArrow(open_tokens, "node long, g long, n int, token long"), "open")
-    union = rows_.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("df")).where("g0 < g1").select("token", "df")
-    common = stage(rows_.join(union, "token"), "common")
+    rows_ = held.mapInArrow(open_tokens, "node long, g long, n int, token long")
+    one = Window.partitionBy("token")
+    rows_ = rows_.withColumns({"g0": F.min("g").over(one), "g1": F.max("g").over(one), "df": F.count("*").over(one)})
+    common = stage(rows_.where("g0 < g1").drop("g0", "g1"), "common")
     # of n shingles a node needs the first n - ceil(share * n) + 1; those of its group alone come before the common ones
     left = common.groupBy("node").agg(F.count("*").cast("int").alias("c"), F.count_if(F.col("df") > FEW).cast("int").alias("often"), F.first("n").alias("m"))
     left = left.select("node", "c", "often", (F.col("c") - F.ceil(F.col("m") * t.of / t.over - 1e-9) + 1).alias("left")).where("left > 0")
