@@ -12,11 +12,9 @@
     For them the matrix holds, by group, the union of its members' shingles.  A node's partner in
     another group has all but a few of its shingles, so its rarest ones bound the overlap: those
     in no other group's union come first, then the others, fewest nodes first.  If a union lacks
-    all of the first n - ceil(share * n) + 1, that group stays closed for the node.  Shingles that no
-    other group's union has also bound the similarity of two nodes from above, as each of them is
-    in the union of the two sets, but not in both.  Two nodes are asked about at the first shingle
-    they share in that order; if FEW nodes or more have it, they share none that fewer have, so
-    for this bound such shingles count like those of one group alone.
+    all of the first n - ceil(share * n) + 1, that group stays closed for the node.  Two nodes are
+    asked about at the first shingle they share in that order: what a node has before it, the other
+    lacks, which bounds their similarity from above.
 5.  The members of open groups that have such a shingle among their own first are compared exactly;
     the links join the groups.
 
@@ -37,10 +35,6 @@ from engram.llm.arrays import U64, distinct, mix, prefix_hash, shingles, slices,
 from engram.llm.tables import stage
 
 
-#: Shingles of up to so many nodes count as rare.
-FEW = 8
-
-
 @dataclass(frozen=True)
 class Threshold:
     """Two sets link when over * |both| >= of * |either|, for instance 100 and 85."""
@@ -245,24 +239,21 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     rows_ = rows_.withColumns({"g0": F.min("g").over(one), "g1": F.max("g").over(one), "df": F.count("*").over(one)})
     common = stage(rows_.where("g0 < g1").drop("g0", "g1"), "common")
     # of n shingles a node needs the first n - ceil(share * n) + 1; those of its group alone come before the common ones
-    left = common.groupBy("node").agg(F.count("*").cast("int").alias("c"), F.count_if(F.col("df") > FEW).cast("int").alias("often"), F.first("n").alias("m"))
-    left = left.select("node", "c", "often", (F.col("c") - F.ceil(F.col("m") * t.of / t.over - 1e-9) + 1).alias("left")).where("left > 0")
+    left = common.groupBy("node").agg(F.count("*").cast("int").alias("c"), F.first("n").alias("m"))
+    left = left.select("node", "c", (F.col("c") - F.ceil(F.col("m") * t.of / t.over - 1e-9) + 1).alias("left")).where("left > 0")
     order = Window.partitionBy("node").orderBy("df", "token")
     first_ones = common.join(left, "node").withColumn("at", F.row_number().over(order)).where("at <= left")
-    first_ones = first_ones.select("token", "node", "g", "n", F.when(F.col("df") > FEW, F.col("often")).otherwise(F.col("c")).alias("c"))
-    first_ones = stage(first_ones, "first")
-
-    def can_link(c: str, n: str, c2: str, n2: str) -> Column:
-        """Whether sets of n and n2 shingles, of which they can share c and c2, can reach the threshold."""
-        either = F.greatest(F.col(n) + F.col(n2) - F.col(c2), F.col(n2) + F.col(n) - F.col(c))
-        return F.least(c, c2) * t.over >= either * t.of
-
-    # a group's row: of its members with the token, the most shingles to share, and the fewest others
-    row = first_ones.groupBy("token", F.col("g").alias("to")).agg(F.max("c").alias("c2"), F.min(F.col("n") - F.col("c")).alias("own2"))
-    group_can = (F.least("c", "c2") * t.over >= (F.col("n") + F.col("own2")) * t.of)
-    opened = first_ones.join(row, "token").where((F.col("g") < F.col("to")) & group_can)
-    members = first_ones.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("g").alias("to"))
-    pairs = opened.join(members, ["token", "to"]).where(can_link("c", "n", "cb", "nb")).select(F.col("node").alias("a"), "b").distinct()
+    # rest: what it can share with a node that has none of its shingles before this one
+    first_ones = stage(first_ones.select("token", "node", "g", "n", (F.col("c") - F.col("at") + 1).alias("rest")), "first")
+
+    def can_link(rest: str, n: str, rest2: str, n2: str) -> Column:
+        return F.least(rest, rest2) * (t.over + t.of) >= (F.col(n) + F.col(n2)) * t.of
+
+    # a group's row: of its members with the token, the most they can share and the smallest size
+    row = first_ones.groupBy("token", F.col("g").alias("to")).agg(F.max("rest").alias("rest2"), F.min("n").alias("n2"))
+    opened = first_ones.join(row, "token").where((F.col("g") < F.col("to")) & can_link("rest", "n", "rest2", "n2"))
+    members = first_ones.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("restb"), F.col("g").alias("to"))
+    pairs = opened.join(members, ["token", "to"]).where(can_link("rest", "n", "restb", "nb")).select(F.col("node").alias("a"), "b").distinct()
     tried = best.select(F.col("node").alias("a"), F.col("lead").alias("b"))
     pairs = stage(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs, "a")
