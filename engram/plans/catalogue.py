@@ -468,9 +468,10 @@ def aggregate_metrics(spark, sf_dir):
     return evaluation.summary(_values(spark, sf_dir)).withColumns({"least": F.round("least", 6), "largest": F.round("largest", 6)})
 
 
-@register(f"{_VALUES} SELECT metric, parent, round(avg(value), 6) AS mean, count(*) AS n FROM v GROUP BY ROLLUP (metric, parent) HAVING metric IS NOT NULL")
+@register(f"{_VALUES} SELECT metric, coalesce(parent, -1) AS parent, round(avg(value), 6) AS mean, count(*) AS n FROM v GROUP BY ROLLUP (metric, parent) HAVING metric IS NOT NULL")
 def metrics_by_group(spark, sf_dir):
-    return evaluation.by_class_and_overall(_values(spark, sf_dir), "parent")
+    df = evaluation.by_class_and_overall(_values(spark, sf_dir), "parent")
+    return df.withColumn("parent", F.coalesce("parent", F.lit(-1).cast("long")))  # -1: all of them
 
 
 _DAILY = "d AS (SELECT event_type, floor(epoch(ts) / 86400)::BIGINT AS day, count(*) AS n FROM events GROUP BY ALL)"
