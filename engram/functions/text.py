@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions.expressions import let
+
 TOKEN = r"[a-zA-Z][a-zA-Z0-9_-]+"
 #: Words that make no trigger keyword; fixed values.
 STOP_WORDS = (
@@ -84,24 +86,30 @@ def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Lines of a document are folded in order inside its row, so a document is never spread over rows.
     """
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    starts = F.array_compact(F.transform(lines, lambda s, i: F.when((i == 0) | s.startswith("## "), i)))
-    marks = F.concat(starts, F.array(F.size(lines)))
 
-    def part(i: Column, k: Column) -> Column:
-        """Lines i up to the next mark; "# " lines before any body give the heading while there is none."""
-        own = F.slice(F.col("_lines"), i + 1, F.get(F.col("_marks"), k + 1) - i)
-        h2 = F.get(own, F.lit(0)).startswith("## ")
+    def step(acc: Column, s: Column) -> Column:
+        title = acc["open"] & (acc["heading"] == "") & s.startswith("# ")
+        new = F.struct(strip(F.substr(s, F.lit(3))).alias("heading"), (acc["skip"] + 1).alias("skip"), F.lit(True).alias("open"))
+        return F.when(title, new).otherwise(F.struct(acc["heading"].alias("heading"), acc["skip"].alias("skip"), F.lit(False).alias("open")))
+
+    def headed(x: Column) -> Column:
+        """Heading and body of x: first (the heading line's own) and rest (the lines after it)."""
+        head = F.aggregate(x["rest"], F.struct(x["first"].alias("heading"), F.lit(0).alias("skip"), F.lit(True).alias("open")), step)
+        body = lambda y: F.struct(y["head"]["heading"].alias("heading"), strip(F.array_join(F.slice(y["rest"], y["head"]["skip"] + 1, F.size(y["rest"])), "\n")).alias("body"))
+        return let(body, head=head, rest=x["rest"])
+
+    def part(x: Column) -> Column:
+        """Heading and body of the lines x["own"]; "# " lines before any body give the heading while there is none."""
+        own, h2 = x["own"], F.get(x["own"], F.lit(0)).startswith("## ")
         first = F.when(h2, strip(F.substr(F.get(own, F.lit(0)), F.lit(4)))).otherwise("")
-        rest = F.when(h2, F.slice(own, F.lit(2), F.size(own))).otherwise(own)
-        start = F.struct(first.alias("heading"), F.lit(0).alias("skip"), F.lit(True).alias("open"))
-        step = lambda acc, s: F.when(acc["open"] & (acc["heading"] == "") & s.startswith("# "), F.struct(strip(F.substr(s, F.lit(3))).alias("heading"), (acc["skip"] + 1).alias("skip"), F.lit(True).alias("open"))).otherwise(F.struct(acc["heading"].alias("heading"), acc["skip"].alias("skip"), F.lit(False).alias("open")))
-        head = F.aggregate(rest, start, step)
-        body = strip(F.array_join(F.slice(rest, head["skip"] + 1, F.size(rest)), "\n"))
-        return F.struct(head["heading"].alias("heading"), body.alias("body"))
-
-    df = docs.select(F.col(id_col), lines.alias("_lines"), marks.alias("_marks"))
-    parts = F.transform(F.slice("_marks", F.lit(1), F.size("_marks") - 1), part)
-    df = df.select(id_col, F.filter(parts, lambda p: p["body"] != "").alias("_parts"))
+        return let(headed, first=first, rest=F.when(h2, F.slice(own, F.lit(2), F.size(own))).otherwise(own))
+
+    def parts(x: Column) -> Column:
+        marks = F.concat(F.array_compact(F.transform(x["lines"], lambda s, i: F.when((i == 0) | s.startswith("## "), i))), F.array(F.size(x["lines"])))
+        cut = lambda y: F.transform(F.slice(y["marks"], F.lit(1), F.size(y["marks"]) - 1), lambda i, k: let(part, own=F.slice(y["lines"], i + 1, F.get(y["marks"], k + 1) - i)))
+        return let(cut, marks=marks, lines=x["lines"])
+
+    df = docs.select(F.col(id_col), F.filter(let(parts, lines=lines), lambda p: p["body"] != "").alias("_parts"))
     return df.select(id_col, F.posexplode("_parts").alias("section", "_p")).select(id_col, "section", "_p.heading", "_p.body")
 
 
