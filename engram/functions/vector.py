@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 BLOCK = 2048
 #: Added to each norm when queries are held against a matrix.
@@ -38,24 +39,43 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
+#: The Arrow types of ids, by their type in Spark.
+ARROW = {"bigint": pa.int64(), "string": pa.string()}
+
+
+def _kind(t: DataType) -> str:
+    return "bigint" if isinstance(t, IntegralType) else "string"
+
+
+def _id_kind(packed: DataFrame) -> str:
+    return _kind(packed.schema["ids"].dataType.elementType)
+
+
+def _ids(values: list, kind: str) -> np.ndarray:
+    return np.array(values, np.int64 if kind == "bigint" else object)
+
+
 def blocks(df: DataFrame, id_col: str, vector_col: str, by: str | None = None) -> DataFrame:
-    """part, ids, matrix: rows packed into blocks, by the value of a column if one is named; null vectors are left out."""
-    part = F.col(by).cast("long") if by else F.lit(0).cast("long")
-    rows = df.where(F.col(vector_col).isNotNull()).select(part.alias("part"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """part, ids, matrix: rows packed into blocks, by the value of a column if one is named; null vectors are left out.
+
+    Ids and parts are numbers or texts, and stay what they are; rows of part null are in no part.
+    """
+    part_kind, id_kind = _kind(df.schema[by].dataType) if by else "bigint", _kind(df.schema[id_col].dataType)
+    part = F.col(by).cast(part_kind) if by else F.lit(0).cast(part_kind)
+    rows = df.where(F.col(vector_col).isNotNull()).select(part.alias("part"), F.col(id_col).cast(id_kind).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     if by:
         rows = rows.repartition("part", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions("part")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.column(0).to_numpy()
-            ids = batch.column(1).to_numpy()
+            part, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             m = np.array(batch.column(2).to_pylist(), np.float64)
             m = m / (np.sqrt((m * m).sum(1, keepdims=True)) + EPSILON)
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            cuts = [0, *(i for i in range(1, len(part)) if part[i] != part[i - 1]), len(part)]
             spans = [(a, min(a + BLOCK, stop)) for start, stop in zip(cuts, cuts[1:]) for a in range(start, stop, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], pa.int64()), pa.array([ids[a:b].tolist() for a, b in spans], pa.list_(pa.int64())), pa.array([m[a:b].tobytes() for a, b in spans], pa.binary())], ["part", "ids", "matrix"])
+            yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], ARROW[part_kind]), pa.array([ids[a:b] for a, b in spans], pa.list_(ARROW[id_kind])), pa.array([m[a:b].tobytes() for a, b in spans], pa.binary())], ["part", "ids", "matrix"])
 
-    return rows.mapInArrow(pack, "part long, ids array<long>, matrix binary")
+    return rows.mapInArrow(pack, f"part {part_kind}, ids array<{id_kind}>, matrix binary")
 
 
 def _pairs(left: DataFrame, right: DataFrame, same_part: bool | None) -> DataFrame:
@@ -73,35 +93,41 @@ def vector_join(left: DataFrame, right: DataFrame, threshold: float, ids: tuple[
     same_part: only within a part (true), only across parts (false), or both (none).  ordered keeps a < b.
     """
 
+    ka, kb = _id_kind(left), _id_kind(right)
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ia, ma, ib, mb, same in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if same_part is False and same:
                     continue
                 x, y = np.frombuffer(ma).reshape(len(ia), -1), np.frombuffer(mb).reshape(len(ib), -1)
-                ia, ib = np.array(ia), np.array(ib)
+                ia, ib = _ids(ia, ka), _ids(ib, kb)
                 for k in range(0, len(ia), 256):
                     sim = np.round(x[k : k + 256] @ y.T, 6)
                     ok = sim >= threshold
                     if ordered:
                         ok &= ia[k : k + 256, None] < ib[None, :]
                     i, j = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(ia[k + i]), pa.array(ib[j]), pa.array(sim[i, j])], [*ids, "sim"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ia[k + i], ARROW[ka]), pa.array(ib[j], ARROW[kb]), pa.array(sim[i, j])], [*ids, "sim"])
 
-    return _pairs(left, right, same_part).mapInArrow(multiply, f"{ids[0]} long, {ids[1]} long, sim double")
+    return _pairs(left, right, same_part).mapInArrow(multiply, f"{ids[0]} {ka}, {ids[1]} {kb}, sim double")
 
 
-def vector_topk(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+def vector_topk(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, same_part: bool | None = None) -> DataFrame:
     """query_id, id, rank, score: the k nearest of base for each query, ties by id; both sides are blocks().
 
+    same_part: only within a part.
+
     Each pair of blocks gives k candidates a query, so the shuffle carries k rows for each query and block of base.
     """
 
+    kq, kb = _id_kind(queries), _id_kind(base)
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for iq, mq, ib, mb, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 x, y = np.frombuffer(mq).reshape(len(iq), -1), np.frombuffer(mb).reshape(len(ib), -1)
-                iq, ib = np.array(iq), np.array(ib)
+                iq, ib = _ids(iq, kq), _ids(ib, kb)
                 for a in range(0, len(iq), 256):
                     sim = np.round(x[a : a + 256] @ y.T, 6)
                     if exclude_self:
@@ -110,8 +136,8 @@ def vector_topk(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool
                     top = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]]
                     score = np.take_along_axis(sim, top, 1)
                     ok = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(iq[a : a + 256], top.shape[1]).reshape(top.shape)[ok]), pa.array(ib[top][ok]), pa.array(score[ok])], ["query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(iq[a : a + 256], top.shape[1]).reshape(top.shape)[ok], ARROW[kq]), pa.array(ib[top][ok], ARROW[kb]), pa.array(score[ok])], ["query_id", "id", "score"])
 
-    found = _pairs(queries, base, None).mapInArrow(best, "query_id long, id long, score double")
+    found = _pairs(queries, base, same_part).mapInArrow(best, f"query_id {kq}, id {kb}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -229,21 +229,23 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], seq: str | None = Non
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
-def learn(edges: DataFrame, triggers: DataFrame, episodes: DataFrame, checkpoint, cfg: MemoryConfig = MemoryConfig()) -> tuple[DataFrame, DataFrame]:
+def learn(edges: DataFrame, triggers: DataFrame, episodes: DataFrame, checkpoint, cfg: MemoryConfig = MemoryConfig(), nodes: DataFrame | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges and learned triggers after a batch of episodes, with a decay cycle after every tick_every of them.
 
     checkpoint: a function that cuts a frame's lineage, such as DataFrame.checkpoint.  The driver
-    loops over ticks of the batch, not over rows.
+    loops over ticks of the batch, not over rows.  nodes: ends of new edges must be among them.  history:
+    earlier episodes, for the contexts of learned triggers.
     """
     span = episodes.agg(F.min("episode_seq"), F.max("episode_seq")).first()
     if span[0] is None:
         return edges, triggers
     tick = lambda s: s // cfg.tick_every
+    seen = episodes if history is None else history.unionByName(episodes, allowMissingColumns=True)
     for t in range(tick(span[0]), tick(span[1]) + 1):
         part = episodes.where(F.floor(F.col("episode_seq") / cfg.tick_every) == t)
         triggers = trigger_feedback(triggers, part, cfg)
-        folded = checkpoint(fold_edges(edges, part, None, cfg))
-        triggers = upsert(triggers, learned_triggers(folded, episodes.where(F.floor(F.col("episode_seq") / cfg.tick_every) <= t), cfg).select(*triggers.columns), ["id"])
+        folded = checkpoint(fold_edges(edges, part, nodes, cfg))
+        triggers = upsert(triggers, learned_triggers(folded, seen.where(F.floor(F.col("episode_seq") / cfg.tick_every) <= t), cfg).select(*triggers.columns), ["id"])
         edges = folded.drop("trigger_seq")
         if t < tick(span[1]) or (span[1] + 1) % cfg.tick_every == 0:
             edges, triggers = decay_cycle(edges, cfg), decay_triggers(triggers, cfg)

@@ -34,23 +34,25 @@ def merge_graph(entries: DataFrame, focused: DataFrame, sims: DataFrame, k: int,
     return top_k(merged, k)
 
 
-def keyword_scores(queries: DataFrame, triggers: DataFrame) -> DataFrame:
+def keyword_scores(queries: DataFrame, triggers: DataFrame, scope: str | None = None) -> DataFrame:
     """query_id, trigger_id, kw: share of a trigger's pattern among the query's tokens; pairs without any are left out."""
-    words = queries.select("query_id", F.explode(F.array_distinct(raw_tokens(F.lower("text")))).alias("w"))
-    pattern = triggers.select(F.col("id").alias("trigger_id"), F.size("pattern").alias("n"), F.explode(F.array_distinct("pattern")).alias("w"))
-    return words.join(pattern, "w").groupBy("query_id", "trigger_id", "n").agg((F.count("*") / F.col("n")).alias("kw")).drop("n")
+    own = [scope] if scope else []
+    words = queries.select("query_id", *own, F.explode(F.array_distinct(raw_tokens(F.lower("text")))).alias("w"))
+    pattern = triggers.select(F.col("id").alias("trigger_id"), *own, F.size("pattern").alias("n"), F.explode(F.array_distinct("pattern")).alias("w"))
+    return words.join(pattern, ["w", *own]).groupBy("query_id", "trigger_id", "n").agg((F.count("*") / F.col("n")).alias("kw")).drop("n")
 
 
-def fire_triggers(queries: DataFrame, triggers: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
+def fire_triggers(queries: DataFrame, triggers: DataFrame, cfg: MemoryConfig = MemoryConfig(), scope: str | None = None) -> DataFrame:
     """query_id, trigger_id, node_id, score of the triggers whose combined score reaches the threshold.
 
-    queries: query_id, text, embedding; triggers: id (long), pattern, embedding, node_id, confidence.  A pair
+    queries: query_id, text, embedding; triggers: id, pattern, embedding, node_id, confidence.  A pair
     without a shared word needs threshold / semantic_weight of cosine, so only such pairs and those with a word are scored.
+    scope: a column of both; triggers of other scopes don't fire.
     """
     live = triggers.where(F.col("confidence") >= cfg.confidence_floor)
-    kw = keyword_scores(queries, live)
+    kw = keyword_scores(queries, live, scope)
     floor = cfg.trigger_threshold / cfg.semantic_weight
-    near = vector_join(blocks(queries, "query_id", "embedding"), blocks(live, "id", "embedding"), round(floor, 6), ("query_id", "trigger_id"))
+    near = vector_join(blocks(queries, "query_id", "embedding", scope), blocks(live, "id", "embedding", scope), round(floor, 6), ("query_id", "trigger_id"), same_part=True if scope else None)
     joined = kw.join(near, ["query_id", "trigger_id"], "full")
     vectors = joined.where("sim IS NULL").join(queries.select("query_id", F.col("embedding").alias("qv")), "query_id").join(live.select(F.col("id").alias("trigger_id"), F.col("embedding").alias("tv")), "trigger_id")
     far = vectors.select("query_id", "trigger_id", "kw", F.coalesce(F.round(cosine_to_matrix(F.col("qv"), F.col("tv")), 6), F.lit(0.0)).alias("sim"))
@@ -83,10 +85,10 @@ def inject(triggered: DataFrame, base: DataFrame, k: int, cfg: MemoryConfig = Me
     first = top_k(triggered.select("query_id", "id", "score"), cfg.trigger_max_injections)
     n = first.groupBy("query_id").agg(F.count("*").alias("n"))
     rest = base.join(n, "query_id", "left").where(F.col("rank") <= F.greatest(F.lit(1), k - F.coalesce("n", F.lit(0))))
-    rows = first.select("query_id", "id", "rank", F.lit(0).alias("block")).unionByName(rest.select("query_id", "id", "rank", F.lit(1).alias("block")))
-    once = rows.groupBy("query_id", "id").agg(F.min(F.struct("block", "rank")).alias("at"))
+    rows = first.select("query_id", "id", "rank", "score", F.lit(0).alias("block")).unionByName(rest.select("query_id", "id", "rank", "score", F.lit(1).alias("block")))
+    once = rows.groupBy("query_id", "id").agg(F.min(F.struct("block", "rank", "score")).alias("at"))
     order = Window.partitionBy("query_id").orderBy("at")
-    return once.select("query_id", "id", (F.col("at.block") == 0).alias("is_triggered"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+    return once.select("query_id", "id", F.col("at.score").alias("score"), (F.col("at.block") == 0).alias("is_triggered"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
 def fuse(semantic: DataFrame, triggered: DataFrame, graph: DataFrame, sims: DataFrame, k: int, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:

@@ -169,7 +169,7 @@ def trigger_guards(spark, sf_dir):
   SELECT query_id, id, ord < 1000 AS is_triggered, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS rank FROM o QUALIFY rank <= 10""")
 def trigger_injected(spark, sf_dir):
     fired = _fired(spark, sf_dir).select("query_id", F.col("node_id").alias("id"), "score")
-    return retrieval.inject(fired, semantic(spark, sf_dir), 10, CFG)
+    return retrieval.inject(fired, semantic(spark, sf_dir), 10, CFG).drop("score")
 
 
 _TWO = """ent AS (SELECT query_id, id FROM semr WHERE rank <= 5 UNION SELECT query_id, id FROM trig),

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.config import MemoryConfig
-from engram.functions.vector import blocks, cosine_to_matrix, vector_topk
+from engram.functions.vector import blocks, vector_topk
 from engram.operators import graph
+from engram.operators.search import similarities
 
 #: Every EVERY-th vector is a query, against all.
 EVERY = 50
@@ -50,10 +51,7 @@ def counted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_sims(pairs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, id, sim of given pairs only."""
-    q = queries(spark, sf_dir).select("query_id", F.col("embedding").alias("qv"))
-    s = sections(spark, sf_dir).select("id", F.col("embedding").alias("sv"))
-    df = pairs.select("query_id", "id").distinct().join(q, "query_id").join(s, "id")
-    return df.select("query_id", "id", F.round(cosine_to_matrix(F.col("qv"), F.col("sv")), 6).alias("sim"))
+    return similarities(pairs, queries(spark, sf_dir), sections(spark, sf_dir))
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
