@@ -1,7 +1,8 @@
-"""Whole retrievals, each one plan for all queries: documents by graph passes and injection, sections by fused channels.
+"""Whole retrievals, each for all queries at once: documents by graph passes and injection, sections by fused channels.
 
 With a scope (a column of queries, nodes and triggers) every query sees the nodes of its own scope
-only, so many small memories are searched in one job.
+only, so many small memories are searched in one job.  What several later steps read is checkpointed: plans
+that repeat a graph pass in each of its uses take longer to plan than to run.
 """
 
 from __future__ import annotations
@@ -41,11 +42,11 @@ def retrieve_documents(queries: DataFrame, docs: DataFrame, edges: DataFrame, tr
     triggers: rows of the trigger table.  Without the graph the base is plain similarity.
     """
     if cfg.enable_graph:
-        entries = nearest(queries, docs, cfg.focused_top_k, scope).select("query_id", "id", "score", "rank")
-        focused, diffuse = graph.focused_bfs(entries, edges, cfg), None
+        entries = nearest(queries, docs, cfg.focused_top_k, scope).select("query_id", "id", "score", "rank").checkpoint()
+        focused, diffuse = graph.focused_bfs(entries, edges, cfg).checkpoint(), None
         found = focused.select("query_id", "id")
         if cfg.enable_diffuse:
-            diffuse = graph.diffuse_walk(entries.select("query_id", "id"), edges, entries.select("query_id", "id").unionByName(found), docs.select("id", "access_count"), cfg)
+            diffuse = graph.diffuse_walk(entries.select("query_id", "id"), edges, entries.select("query_id", "id").unionByName(found), docs.select("id", "access_count"), cfg).checkpoint()
             found = found.unionByName(diffuse)
         base = retrieval.merge_graph(entries, focused, similarities(found, queries, docs), k, diffuse, cfg)
     else:
