@@ -2,7 +2,8 @@
 
 Every line, every paragraph and the whole text of a document is a segment.  A segment of a
 distinct bigrams can reach Dice >= t with a template of b only if t / (2 - t) <= a / b <= (2 - t) / t;
-other templates are pruned before anything is compared.
+other templates are pruned before anything is compared.  Where one segment reaches templates of
+several licences (versions of one notice differ in a word), only the nearest licence counts.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from engram.llm.arrays import distinct, mix, prefix_hash, runs, slices, span_hash, spread, utf8
 
-#: Short notices of public licences; fixed values.
-TEMPLATES = {
+#: Notices of public licences; fixed values.
+_NOTICES = {
     "MIT": ("Released under the MIT License.", "This project is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -24,8 +25,39 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
+    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "LGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
 }
 
+#: What a short form calls a licence, and the sentences around it.
+_CALLED = {
+    "MIT": ("the MIT License", "MIT"),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "BSD-2-Clause", "the Simplified BSD License"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "BSD-3-Clause", "the New BSD License"),
+    "ISC": ("the ISC License", "ISC"),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL 2.0"),
+    "EPL-2.0": ("the Eclipse Public License, version 2.0", "the Eclipse Public License 2.0", "EPL 2.0"),
+    "Unlicense": ("the Unlicense", "The Unlicense License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "a Creative Commons Zero 1.0 Universal License"),
+}
+for _short, _long, _versions in (("GPL", "General", ("2", "3")), ("LGPL", "Lesser General", ("2.1", "3")), ("AGPL", "Affero General", ("3",))):
+    for _v in _versions:
+        _full = _v if "." in _v else f"{_v}.0"
+        _CALLED[f"{_short}-{_full}"] = (*(f"the GNU {_long} Public License{x}" for x in (f", version {_v}", f", version {_full}", f" v{_v}", f" v{_full}")), f"the GNU {_short} v{_v}", f"the {_short}v{_v}", f"{_short}v{_v}", f"{_short} {_full}")
+for _short, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _v, _port in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        _CALLED[f"CC-{_short}-{_v}"] = (f"CC {_short} {_v}", f"a CC {_short} {_v} License", f"the CC {_short} {_v} License", *(f"{a} Creative Commons {_long} {_v}{x} License" for a in ("a", "the") for x in (f" {_port}", "")))
+_SENTENCES = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is licensed under {}.")
+
+#: Notices and short forms by SPDX name.
+TEMPLATES = {k: tuple(dict.fromkeys((*_NOTICES.get(k, ()), *(x.format(c) for c in _CALLED.get(k, ()) for x in _SENTENCES), f"SPDX-License-Identifier: {k}"))) for k in {**_NOTICES, **_CALLED}}
+
 #: Bytes of a normalised word: ASCII letters and digits, and all of UTF-8's multi-byte characters.
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -79,6 +111,7 @@ def license_scans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
 
     Words are runs of ASCII letters and digits or non-ASCII characters, A-Z lower-cased.  A null or
     empty text, or one of fewer than two words, gives no row.  Ties go to the earliest, then the shortest segment.
+    A segment counts for the licence of its nearest template; where several licences are equally near, for each.
     Rows with a repeated id are scanned one by one.  Templates are a parameter held in memory.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -106,7 +139,7 @@ def license_scans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
                 n = np.searchsorted(t.h, a, "right") - j
                 both = np.bincount(t.of[spread(j, n)], minlength=len(t.size))
                 dice = np.where(fits, 2 * both / (size + t.size), 0)
-                for k in np.flatnonzero(dice >= threshold).tolist():
+                for k in np.flatnonzero((dice >= threshold) & (dice == dice.max())).tolist():
                     key = (int(d[i]), k)
                     best = (-float(dice[k]), int(s[i] - offs[d[i]]), int(e[i] - offs[d[i]]))
                     found[key] = min(found.get(key, best), best)

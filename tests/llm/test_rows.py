@@ -81,6 +81,30 @@ def test_licenses(spark):
     assert license_scans(odd_docs(spark)).count() == 0 and license_scans(empty_docs(spark)).count() == 0
 
 
+def test_license_lines_of_the_table(spark):
+    """Every line of the sample table that names a licence, found by a plain search, and no other."""
+    from engram.llm.queries import op2_license_scans
+
+    sf_dir = "/root/testdata/sf0.1"
+    names = {"CC BY-NC 4.0": "CC-BY-NC-4.0", "MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "GNU General Public License, version 3": "GPL-3.0"}
+    want = set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect():
+        for m in re.finditer(r"^(?:Licensed|Released|This work is licensed) under (?:the )?(.*)\.$", r["text"], re.M):
+            want.add((r["doc_id"], names[m[1]], len(r["text"][: m.start()].encode()), len(r["text"][: m.end()].encode())))
+    got = {tuple(r) for r in op2_license_scans(spark, sf_dir).select("doc_id", "license", "segment_start", "segment_end").collect()}
+    assert got == want and sum(n == "CC-BY-NC-4.0" for _, n, _, _ in want) > 50
+
+
+def test_each_template_names_its_licence(spark):
+    """Versions and variants of one notice are told apart; licences that share a notice all get a row."""
+    docs = [(t, k) for k, v in TEMPLATES.items() for t in v]
+    want = {(t, k) for t, k in docs}
+    rows = list(dict.fromkeys(t for t, _ in docs))
+    got = license_scans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {(rows[r["doc_id"]], r["license"]) for r in got} == want and all(r["dice"] == 1.0 for r in got)
+    assert {"CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "BSD-2-Clause", "LGPL-2.1", "AGPL-3.0", "GPL-2.0", "ISC"} <= set(TEMPLATES)
+
+
 def brute_repetition(text):
     w = words(text)
     wins = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
