@@ -121,10 +121,10 @@ class LanguageReferences:
     words: np.ndarray
 
 
-def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_share: float = 0.001) -> LanguageReferences:
-    """References of every language with min_share of the labelled rows at least, from all their texts.
+def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageReferences:
+    """References of every language of the labelled rows, from all their texts.
 
-    The driver gets one row of counts for each such language: 1 / min_share rows at most.
+    The driver gets one row of about 1 KB of counts for each language, however few its rows are.
     Rows without language or text are left out; without any, the references are empty.
     """
     common = common_hashes()
@@ -134,7 +134,7 @@ def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
         total: dict[str, np.ndarray] = {}
         for rows, data, offs in slices(batches, 1):
             c, w = histograms(data, offs, common)
-            both = np.hstack([np.ones((len(c), 1), np.int64), c, w])
+            both = np.hstack([c, w])
             langs = np.array(rows.column(0).to_pylist(), object)
             for lang in set(langs):
                 own = both[langs == lang].sum(0)
@@ -146,14 +146,12 @@ def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
     def emit(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *[pa.array([t[i] for t in total.values()], pa.int64()) for i in range(1 + k + v)]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *[pa.array([t[i] for t in total.values()], pa.int64()) for i in range(k + v)]], names)
 
-    names = ["lang", "n", *[f"c{i}" for i in range(k + v)]]
+    names = ["lang", *[f"c{i}" for i in range(k + v)]]
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sums = rows.mapInArrow(count, ", ".join(f"{n} {'string' if n == 'lang' else 'long'}" for n in names)).groupBy("lang").agg(*[F.sum(n).alias(n) for n in names[1:]])
-    all_rows = rows.count()
-    got = sums.where(F.col("n") >= max(1, min_share * all_rows)).orderBy("lang").toPandas()
-    m = got[names[2:]].to_numpy(np.float64)
+    m = sums.orderBy("lang").toPandas()[names[1:]].to_numpy(np.float64)
     return LanguageReferences(m[:, :k], m[:, k:])
 
 

@@ -126,6 +126,18 @@ def test_quality_counts_equal_brute_force(spark):
     assert quality_rules(odd_docs(spark), none).count() == 9 and quality_rules(empty_docs(spark), none).count() == 0
 
 
+def test_rare_languages_are_judged_by_their_own_reference(spark):
+    """Clean documents of a language with two rows in 4002 are kept, as they are in a small table."""
+    rng = random.Random(5)
+    greek = "η θάλασσα και το σπίτι είναι στο νησί με τον ήλιο που ανατέλλει κάθε πρωί".split()
+    rare = [(9000 + i, " ".join(rng.sample(greek, len(greek))) + ".", "el") for i in range(2)]
+    many = [(i, " ".join(rng.choices("the of and to in house water reading wood thing".split(), k=4)) + f" {i} end of the long line here.", "en") for i in range(4000)]
+    for rows in (many[:100] + rare, many + rare):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        kept = {r["doc_id"]: r["kept"] for r in quality_rules(df, fit_references(df)).where("doc_id >= 9000").collect()}
+        assert kept == {9000: True, 9001: True}
+
+
 LANGS = {"en": "the of and to in house water reading wood thing", "de": "der die und ist nicht haus wasser lesen wald ding", "fr": "le la les et est maison eau lire bois chose", "es": "el los una y es casa agua leer bosque cosa"}
 
 
