@@ -106,7 +106,8 @@ def part_keys(h: np.ndarray, bounds: np.ndarray, t: Threshold) -> tuple[np.ndarr
         empty = k - np.bincount(at[first], minlength=len(use))
         # a partner has n * over / of shingles at most, and so differs in so many parts at most
         apart = (n + n * t.over // t.of) * (t.over - t.of) // (t.over + t.of)
-        need[use] = np.minimum(need[use], np.maximum(1, k - apart - np.where(empty > slack[level], 0, empty)))
+        # equal parts that are empty count only if both sets give theirs; one that doesn't has slack of them at most
+        need[use] = np.minimum(need[use], np.maximum(1, k - apart - np.minimum(empty, slack[level])))
         for i in np.flatnonzero((empty > slack[level]) & (k > 1)).tolist():
             lacking = np.setdiff1d(np.arange(k[i]), part[first][at[first] == i])
             keys.append(mix(mix((level[i] * (1 << 40) + lacking).astype(U64), 5), 9))

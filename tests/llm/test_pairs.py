@@ -82,6 +82,25 @@ def test_linked_sets_share_enough_parts(n, more, less, seed, kt):
         assert shared >= max(need)
 
 
+@pytest.mark.parametrize("kt", [(4, 85), (5, 80)])
+def test_pairs_just_over_the_threshold_share_enough_parts(kt):
+    """Many pairs that barely link, at sizes about the edges of the classes, where empty parts are many."""
+    import numpy as np
+
+    t = Threshold(*kt)
+    rng = np.random.default_rng(7)
+    edges = t.classes(200)[0]
+    below = 0
+    for n in sorted({int(e) + d for e in edges for d in (-1, 0, 1)} & set(range(2, 120)) | {28}):
+        apart = max(d for d in range(n) if t.over * (n - d) >= t.of * (n + d))  # both have n, d of them their own
+        pool = rng.integers(0, 2**64, (3000 if n == 28 else 400, n + apart), dtype=np.uint64)
+        for row in pool if apart else ():
+            a, b = np.sort(row[:n]), np.sort(row[apart:])
+            key, at, need = part_keys(np.concatenate([a, b]), np.array([0, n, 2 * n]), t)
+            below += len(np.intersect1d(key[at == 0], key[at == 1])) < max(need)
+    assert below == 0
+
+
 def test_odd_rows(spark):
     got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["n_shingles"], r["component_id"] or -1) for r in jaccard_components(odd_docs(spark)).collect())
     assert [(i, n) for i, n, _ in got] == [(-1, 1), (1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 1), (6, 1), (7, 1)]
