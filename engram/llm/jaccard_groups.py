@@ -206,7 +206,9 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
 
     best = stars.groupBy("node").agg(F.max(F.struct("count", (-F.col("lead")).alias("lead"))).alias("m")).select("node", (-F.col("m.lead")).alias("lead"))
     leads = best.select(F.col("lead").alias("node")).distinct()
-    candidates = best.join(leads.withColumn("leads", F.lit(True)), "node", "full").join(nodes, "node").select("id", "lead", "leads")
+    # a node without a star leads its parts, perhaps without being anybody's best leader; it can be open all the same
+    led = shared.select(F.col("lead").alias("node")).distinct().join(leads.withColumn("leads", F.lit(True)), "node", "left")
+    candidates = best.join(led, "node", "full").join(nodes, "node").select("id", "lead", "leads")
     sets = stage(rows.join(candidates, "id").select("id", "text", "lead", "leads").mapInArrow(full_sets, "node long, tokens binary, lead long, leads boolean"), "sets")
     if not digests.groupBy("id").count().where("count > 1").isEmpty():  # rows with a repeated id gave their sets again
         sets = stage(sets.dropDuplicates(["node"]), "sets")

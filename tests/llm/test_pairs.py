@@ -101,6 +101,36 @@ def test_pairs_just_over_the_threshold_share_enough_parts(kt):
     assert below == 0
 
 
+def test_leader_that_is_nobodys_best(spark, monkeypatch):
+    """N leads its own parts, each neighbour shares more parts with another leader, and N links with one of them."""
+    import numpy as np
+
+    from engram.llm import jaccard_groups
+    from engram.llm.arrays import utf8
+    import pyarrow as pa
+
+    t, p = Threshold(4, 85), [f"p{i}" for i in range(100)]
+    docs = {"N": p[:94] + [f"n{i}" for i in range(6)], "P": p, "L": [f"l{i}" for i in range(6)] + p[6:]}
+    keys = {"N": "a n1 n2 n3", "P": "n1 n2 n3 p1 p2 p3 p4", "L": "p1 p2 p3 p4 f1 f2 f3 f4 f5"}
+    for j in range(10):
+        docs |= {f"D{j}": [f"d{j}.{i}" for i in range(50)], f"E{j}": [f"e{j}.{i}" for i in range(50)]}
+        keys |= {f"D{j}": f"a d{j}.1 d{j}.2", f"E{j}": f"d{j}.1 d{j}.2 f1 f2 f3 f4 f5"}
+    number = {k: i + 1 for i, k in enumerate(dict.fromkeys(" ".join(keys.values()).split()))}
+    own = {}
+    for name, w in docs.items():
+        h, _ = jaccard_groups.shingle_sets(*utf8(pa.array([" ".join(w)], pa.large_string())), t.k)
+        own[int(jaccard_groups.node_ids(h, np.array([0, len(h)]))[0][0])] = [number[k] for k in keys[name].split()]
+
+    def parts(h, bounds, t):
+        lists = [own[int(v)] for v in jaccard_groups.node_ids(h, bounds)[0]]
+        return np.array(sum(lists, []), np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.ones(len(lists), np.int64)
+
+    monkeypatch.setattr(jaccard_groups, "part_keys", parts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs.values())]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), t).collect()}
+    assert got == brute_components(rows, t) and got[0][1] == got[1][1] == got[2][1] == 0
+
+
 def test_odd_rows(spark):
     got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["n_shingles"], r["component_id"] or -1) for r in jaccard_components(odd_docs(spark)).collect())
     assert [(i, n) for i, n, _ in got] == [(-1, 1), (1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 1), (6, 1), (7, 1)]
