@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,14 +151,8 @@ def _compare(pairs: DataFrame, t: Threshold) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id: the smallest id reachable over links, itself included.
-
-    Words are runs without white space, A-Z lower-cased; a text of fewer than k words is one shingle,
-    the whole of it.  A null or empty text has no shingles and links with nothing.  Ids are whole numbers;
-    a null id gives a row with the component of its text's copies, but takes no part.  Rows with a repeated id are
-    linked like others and each gives a row.  Hashes have 64 bits; two sets with one digest raise an error.
-    """
+def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: str) -> DataFrame:
+    """id, n, node, root, component_id of each row: jaccard_components with the digests of the row's set and component."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +180,9 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
         for batch, data, offs in slices(batches, 1):
             h, bounds = shingle_sets(data, offs, t.k)
             sets = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node_ids(h, bounds)[0]), pa.array(sets, pa.binary()), batch.column(2), batch.column(3)], ["node", "tokens", "lead", "leads"])
+            node = pa.array(node_ids(h, bounds)[0])
+            out = pa.RecordBatch.from_arrays([node, pa.array(sets, pa.binary()), batch.column(3), batch.column(4)], ["node", "tokens", "lead", "leads"])
+            yield out.filter(pc.equal(node, batch.column(2)))  # another text of a repeated id is another node
 
     digests = stage(rows.mapInArrow(digest, "id long, n long, node long, check long"), "digests")
     known = digests.where("n > 0 AND id IS NOT NULL")
@@ -208,8 +205,8 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     leads = best.select(F.col("lead").alias("node")).distinct()
     # a node without a star leads its parts, perhaps without being anybody's best leader; it can be open all the same
     led = shared.select(F.col("lead").alias("node")).distinct().join(leads.withColumn("leads", F.lit(True)), "node", "left")
-    candidates = best.join(led, "node", "full").join(nodes, "node").select("id", "lead", "leads")
-    sets = stage(rows.join(candidates, "id").select("id", "text", "lead", "leads").mapInArrow(full_sets, "node long, tokens binary, lead long, leads boolean"), "sets")
+    candidates = best.join(led, "node", "full").join(nodes, "node").select("id", "node", "lead", "leads")
+    sets = stage(rows.join(candidates, "id").select("id", "text", "node", "lead", "leads").mapInArrow(full_sets, "node long, tokens binary, lead long, leads boolean"), "sets")
     if not digests.groupBy("id").count().where("count > 1").isEmpty():  # rows with a repeated id gave their sets again
         sets = stage(sets.dropDuplicates(["node"]), "sets")
     first = sets.where("lead IS NOT NULL").select(F.col("node").alias("a"), F.col("lead").alias("b"), F.col("tokens").alias("x"))
@@ -257,7 +254,7 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     opened = first_ones.join(row, "token").where((F.col("g") < F.col("to")) & can_link("rest", "n", "rest2", "n2"))
     members = first_ones.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("restb"), F.col("g").alias("to"))
     pairs = opened.join(members, ["token", "to"]).where(can_link("rest", "n", "restb", "nb")).select(F.col("node").alias("a"), "b").distinct()
-    tried = best.select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    tried = first.select("a", "b").join(second.select("b"), "b", "left_semi").select("a", "b")
     pairs = stage(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs, "a")
     asked_for = pairs.select(F.col("b").alias("node")).distinct()
@@ -267,13 +264,44 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     joined = components(group_of(group_of(more, "a", "g"), "b", "h").select(F.col("g").alias("a"), F.col("h").alias("b")))
     root = group_of(nodes.select("node", "id"), "node", "g").join(joined.select(F.col("node").alias("g"), "root"), "g", "left")
     root = stage(root.select("node", "id", F.coalesce("root", "g").alias("root")), "roots")
-    named = root.join(root.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
+    named = root.join(root.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "root", "component_id")
     out = digests.join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "n", "node", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id: the smallest id reachable over links, itself included.
+
+    Words are runs without white space, A-Z lower-cased; a text of fewer than k words is one shingle,
+    the whole of it.  A null or empty text has no shingles and links with nothing.  Ids are whole numbers;
+    a null id gives a row with the component of its text's copies, but takes no part.  Rows with a repeated id are
+    linked like others and each gives a row.  Hashes have 64 bits; two sets with one digest raise an error.
+    """
+    out = _components_of_rows(docs, t, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the component's own; rows that link with nothing, or have no id, stay."""
-    comp = jaccard_components(docs, t, id_col, text_col)
-    drop = comp.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose id is the component's own; rows that link with nothing, or have no id, stay.
+
+    Texts of a repeated id are judged one by one, and of several in one component one stays; a row repeated
+    with id and text stays as often as it is found.
+    """
+    comp = _components_of_rows(docs, t, id_col, text_col).where("id IS NOT NULL")
+    fates = comp.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("component_id").alias("component"))
+    drop = fates.where("low = high AND component <> id").select(F.col("id").alias(id_col))
+    kept = docs.join(drop, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    several = fates.where("low < high").select(F.col("id").alias(id_col))
+    if several.isEmpty():
+        return kept
+    texts = comp.where("n > 0").join(several.select(F.col(id_col).alias("id")), "id", "left_semi")
+    one = texts.where(F.col("component_id") == F.col("id")).groupBy("id", "root").agg(F.min("node").alias("_node")).select(F.col("id").alias(id_col), "_node", F.lit(True).alias("_one"))
+    at, fields = docs.columns.index(text_col), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in slices(batches, at):
+            node, _ = node_ids(*shingle_sets(data, offs, t.k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], [*batch.schema.names, "_node"])
+
+    mine = docs.join(several, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(digest, f"{fields}, `_node` long")
+    mine = mine.join(one, [id_col, "_node"], "left").where((F.col("_node") == 0) | F.col("_one")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.join(several, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(mine)

@@ -139,6 +139,28 @@ def test_odd_rows(spark):
     assert keep_one_of_each(odd_docs(spark)).count() == 9
 
 
+def test_texts_of_one_id_are_apart(spark):
+    """Ids with two texts, each a near copy of another document's; and an id with two near copies of its own."""
+    rng = random.Random(12)
+    rows, want, kept = [], {}, set()
+    for i in range(20):
+        a, b = prose(rng, 80, 5000), prose(rng, 80, 5000)
+        rows += [(i, a), (100 + i, b), (200 + i, a + " end"), (200 + i, b + " end")]
+        want |= {(200 + i, len(grams(a, 5)) + 1): {i, 100 + i}}
+        kept |= {(i, a), (100 + i, b)}
+    a, b = prose(rng, 80, 5000), prose(rng, 80, 5000)
+    rows += [(50, a), (60, a + " end"), (60, b), (70, b + " end"), (80, a + " twice"), (80, a + " twice more"), (90, "x y z w v u"), (90, "x y z w v u t"), (90, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_components(df).where("doc_id >= 200").collect()
+    found = {}
+    for r in got:
+        found.setdefault((r["doc_id"], r["n_shingles"]), set()).add(r["component_id"])
+    assert found == want
+    left = [tuple(r) for r in keep_one_of_each(df).collect()]
+    assert {r for r in left if r[0] not in (90,)} == kept | {(50, a), (60, b)}
+    assert sorted(i for i, _ in left if i == 90) == [90, 90, 90]  # 2/3 of the shingles: no link
+
+
 def test_chain_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
