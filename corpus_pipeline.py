@@ -9,7 +9,7 @@ from engram.llm import decontamination, jaccard_groups, language_id, secret_scan
 from engram.llm.queries import vocabulary
 from engram.llm.tables import documents, stage
 
-#: Below this score a text is in no known language.
+#: Low for hardly any text: with two families of two languages all score 0.25 or more, so only 'und' is rejected.
 MIN_LANGUAGE_SCORE = 0.2
 
 
