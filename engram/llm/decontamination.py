@@ -3,6 +3,8 @@
 A document's windows have as many words as a benchmark item.  Their 64-bit SimHash fingerprints
 over five-word shingles are looked up in a multi-index: the bits are cut into RADIUS + 1 blocks,
 and two fingerprints within RADIUS agree in one block at least, so no such pair is missed.
+(A window of similarity 0.8 lies about ten bits away, give or take three; to hold them the radius has to
+be so wide that blocks of three bits select little.  What selects is the bound below.)
 Candidates within the radius are verified by exact weighted-shingle similarity: the sum of the
 smaller weights over the sum of the larger, a shingle weighing as often as it occurs.
 
@@ -12,9 +14,8 @@ shingles that some item has are fingerprinted; this bound loses nothing.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from engram.llm.arrays import U64, prefix_hash, shingles, slices, span_hash, spr
 K, RADIUS = 5, 20
 #: Bytes of benchmark text held by a task at once; a larger benchmark is searched in several passes.
 BENCHMARK_BYTES = 32 << 20
+#: Pairs of windows and items that agree in a block, looked at together.
+PAIRS = 1 << 20
 
 
 def simhash(h: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -47,41 +50,36 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
-@dataclass
 class MultiIndex:
     """Fingerprints by the value of each of radius + 1 blocks of bits."""
 
-    prints: np.ndarray
-    radius: int
-    blocks: list[tuple[U64, U64]] = field(default_factory=list)
-    tables: list[dict[int, np.ndarray]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        edges = np.linspace(0, 64, self.radius + 2).astype(int)
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+        #: Of each block: shift, mask, fingerprints by value, and where each value's begin.
+        self.blocks = []
+        edges = np.linspace(0, 64, radius + 2).astype(int).tolist()
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             shift, mask = U64(lo), U64((1 << (hi - lo)) - 1)
-            table = defaultdict(list)
-            for i, v in enumerate(((self.prints >> shift) & mask).tolist()):
-                table[v].append(i)
-            self.blocks.append((shift, mask))
-            self.tables.append({v: np.array(x, np.int64) for v, x in table.items()})
+            value = ((prints >> shift) & mask).astype(np.int64)
+            begin = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << (hi - lo)))])
+            self.blocks.append((shift, mask, np.argsort(value, kind="stable"), begin))
 
     def within(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, fingerprint) at most radius bits apart."""
-        q, p = [], []
-        for (shift, mask), table in zip(self.blocks, self.tables, strict=True):
-            value = (query >> shift) & mask
-            for v in np.unique(value).tolist():
-                if (hit := table.get(v)) is not None:
-                    mine = np.flatnonzero(value == v)
-                    q.append(np.repeat(mine, len(hit)))
-                    p.append(np.tile(hit, len(mine)))
-        if not q:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q, p = np.concatenate(q), np.concatenate(p)
-        near = np.bitwise_count(query[q] ^ self.prints[p]) <= self.radius
-        pair = np.unique(q[near] * len(self.prints) + p[near])
-        return pair // len(self.prints), pair % len(self.prints)
+        """Pairs (query, fingerprint) at most radius bits apart, from the queries and fingerprints that agree in a block."""
+        step = max(1, PAIRS // max(1, len(self.prints)))
+        found = [self._within(query[a : a + step]) + a * len(self.prints) for a in range(0, len(query), step)]
+        pair = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
+
+    def _within(self, query: np.ndarray) -> np.ndarray:
+        near = []
+        for shift, mask, order, begin in self.blocks:
+            value = ((query >> shift) & mask).astype(np.int64)
+            n = begin[value + 1] - begin[value]
+            q, p = np.repeat(np.arange(len(query)), n), order[spread(begin[value], n)]
+            ok = np.bitwise_count(query[q] ^ self.prints[p]) <= self.radius
+            near.append(q[ok] * len(self.prints) + p[ok])
+        return np.unique(np.concatenate(near))
 
 
 class BenchmarkIndex:
@@ -141,14 +139,32 @@ class BenchmarkIndex:
         return {k: (-v[0], v[1], v[2]) for k, v in found.items()}
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[tuple[list, list[str]]]:
-    """Items (null and empty texts left out) in passes of about limit bytes each, so that what a task holds is bounded."""
-    items = benchmark.select(benchmark[id_col].alias("id"), benchmark[text_col].cast("string").alias("text")).where("trim(text) <> ''")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+_built: dict[tuple, BenchmarkIndex] = {}
+
+
+def _index(token: str, texts: list[str], threshold: float) -> BenchmarkIndex:
+    """The index of a pass, built once by a worker and kept until another pass needs one."""
+    if (token, threshold) not in _built:
+        _built.clear()
+        _built[token, threshold] = BenchmarkIndex(texts, threshold)
+    return _built[token, threshold]
+
+
+def _passes(items: DataFrame, limit: int) -> Iterator[tuple[list[bytes], list[str]]]:
+    """Digests and texts of the distinct items in passes of about limit bytes each, so that what a task holds is bounded."""
+    distinct = items.select("digest", "item_text").dropDuplicates(["digest"])
+    total = distinct.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     parts = -(-total // limit)
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("id", "text").collect()
-        yield [r["id"] for r in rows], [r["text"] for r in rows]
+        rows = distinct.where(F.pmod(F.xxhash64("digest"), F.lit(parts)) == k).orderBy("digest").collect()
+        yield [bytes(r["digest"]) for r in rows], [r["item_text"] for r in rows]
+
+
+def _items(benchmark: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
+    """Items with text, and the digests by which repeated ones are one."""
+    text = F.col(f"`{text_col}`").cast("string")
+    own = [F.col(f"`{id_col}`").alias("item")] if id_col else []
+    return benchmark.where(F.trim(text) != "").select(*own, text.alias("item_text"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", limit: int = BENCHMARK_BYTES) -> DataFrame:
@@ -158,39 +174,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id
     is one shingle, the whole of it.  Null and empty texts on either side match nothing; null ids and repeated rows
     stay, and a repeated item gives a row each time.  No rows mean no leak.
     """
-    id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id_col].dataType
-    names = ["id", "item", "similarity", "first_word", "n_words"]
-    schema = f"id {id_type}, item {item_type.simpleString()}, similarity double, first_word long, n_words long"
+    id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "digest", "similarity", "first_word", "n_words"]
+    schema = f"id {id_type}, digest binary, similarity double, first_word long, n_words long"
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    out = None
-    for ids, texts in _passes(benchmark, item_id_col, item_text_col, limit):
-
-        def scan(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            index = BenchmarkIndex(texts, threshold)
+    items = _items(benchmark, item_text_col, item_id_col)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for digests, texts in _passes(items, limit):
+        held, token = docs.sparkSession.sparkContext.broadcast((digests, texts)), uuid.uuid4().hex
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held, token=token) -> Iterator[pa.RecordBatch]:
+            digests, texts = held.value
+            index = _index(token, texts, threshold)
             for batch, data, offs in slices(batches, 1):
                 found = index.search(data, offs)
                 key, value = list(found), list(found.values())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k[0] for k in key], pa.int64())), pa.array([ids[k[1]] for k in key], batch_type(item_type)), pa.array([v[0] for v in value], pa.float64()), pa.array([v[1] for v in value], pa.int64()), pa.array([v[2] for v in value], pa.int64())], names)
-
-        part = rows.mapInArrow(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    out = docs.sparkSession.createDataFrame([], schema) if out is None else out
-    return out.withColumnsRenamed({"id": id_col, "item": item_id_col})
-
-
-def batch_type(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k[0] for k in key], pa.int64())), pa.array([digests[k[1]] for k in key], pa.binary()), pa.array([v[0] for v in value], pa.float64()), pa.array([v[1] for v in value], pa.int64()), pa.array([v[2] for v in value], pa.int64())], names)
 
-    return to_arrow_type(kind)
+        out = out.unionByName(rows.mapInArrow(scan, schema))
+    # the items' texts stay behind: only ids meet the few rows found
+    found = out.join(items.select("digest", "item"), "digest")
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), "similarity", "first_word", "n_words")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", limit: int = BENCHMARK_BYTES) -> DataFrame:
     """The rows of docs in which find_leaks finds nothing."""
     at, schema = docs.columns.index(text_col), docs.schema
-    for _, texts in _passes(benchmark, item_id_col, item_text_col, limit):
+    for _, texts in _passes(_items(benchmark, item_text_col), limit):
+        held, token = docs.sparkSession.sparkContext.broadcast(texts), uuid.uuid4().hex
 
-        def keep(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
-            index = BenchmarkIndex(texts, threshold)
+        def keep(batches: Iterator[pa.RecordBatch], held=held, token=token) -> Iterator[pa.RecordBatch]:
+            index = _index(token, held.value, threshold)
             for batch, data, offs in slices(batches, at):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[text for text, _ in index.search(data, offs)]] = False
