@@ -35,8 +35,7 @@ def tokens(text: Column) -> Column:
 
 
 def _plain(words: Column, stop: list[str]) -> Column:
-    listed = F.array(*[F.lit(w) for w in stop])
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(listed, w))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(stop))
 
 
 def keywords(text: Column) -> Column:
@@ -61,7 +60,7 @@ def trigger_keywords(heading: Column, body: Column) -> Column:
 
 def is_chat(text: Column) -> Column:
     """Whether two of the first 20 lines at least are chat turns."""
-    head = F.slice(F.split(text, "\n", -1), 1, 20)
+    head = F.slice(F.split(text, "\n", 21), 1, 20)
     return F.size(F.filter(head, lambda s: s.startswith("[user]:") | s.startswith("[assistant]:"))) >= 2
 
 
@@ -80,12 +79,9 @@ def chat_keywords(turns: Column) -> Column:
     return F.array_distinct(_plain(F.transform(found, lambda w: F.lower(w)), STOP_WORDS))
 
 
-def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, section (from 0), heading, body: parts at "## " lines; a first line "# " is the heading of what precedes them.
-
-    Lines of a document are folded in order inside its row, so a document is never spread over rows.
-    """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+def section_parts(text: Column) -> Column:
+    """Array of (heading, body): parts at "## " lines with a body; a first line "# " is the heading of what precedes them."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
     def step(acc: Column, s: Column) -> Column:
         title = acc["open"] & (acc["heading"] == "") & s.startswith("# ")
@@ -109,7 +105,15 @@ def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         cut = lambda y: F.transform(F.slice(y["marks"], F.lit(1), F.size(y["marks"]) - 1), lambda i, k: let(part, own=F.slice(y["lines"], i + 1, F.get(y["marks"], k + 1) - i)))
         return let(cut, marks=marks, lines=x["lines"])
 
-    df = docs.select(F.col(id_col), F.filter(let(parts, lines=lines), lambda p: p["body"] != "").alias("_parts"))
+    return F.filter(let(parts, lines=lines), lambda p: p["body"] != "")
+
+
+def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, section (from 0), heading, body of section_parts().
+
+    Lines of a document are folded in order inside its row, so a document is never spread over rows.
+    """
+    df = docs.select(F.col(id_col), section_parts(F.col(text_col)).alias("_parts"))
     return df.select(id_col, F.posexplode("_parts").alias("section", "_p")).select(id_col, "section", "_p.heading", "_p.body")
 
 

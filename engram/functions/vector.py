@@ -55,65 +55,72 @@ def _ids(values: list, kind: str) -> np.ndarray:
     return np.array(values, np.int64 if kind == "bigint" else object)
 
 
-def blocks(df: DataFrame, id_col: str, vector_col: str, by: str | None = None) -> DataFrame:
+def blocks(df: DataFrame, id_col: str, vector_col: str, by: str | None = None, mark: str | None = None) -> DataFrame:
     """part, ids, matrix: rows packed into blocks, by the value of a column if one is named; null vectors are left out.
 
     Ids and parts are numbers or texts, and stay what they are; rows of part null are in no part.
+    mark: a column whose values are kept by row (marks), for vector_join(apart=True).
     """
     part_kind, id_kind = _kind(df.schema[by].dataType) if by else "bigint", _kind(df.schema[id_col].dataType)
     part = F.col(by).cast(part_kind) if by else F.lit(0).cast(part_kind)
-    rows = df.where(F.col(vector_col).isNotNull()).select(part.alias("part"), F.col(id_col).cast(id_kind).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    mark_kind = _kind(df.schema[mark].dataType) if mark else "bigint"
+    marks = F.col(mark).cast(mark_kind) if mark else F.lit(None).cast("bigint")
+    rows = df.where(F.col(vector_col).isNotNull()).select(part.alias("part"), F.col(id_col).cast(id_kind).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), marks.alias("mark"))
     if by:
         rows = rows.repartition("part", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions("part")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            part, ids, own = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             m = np.array(batch.column(2).to_pylist(), np.float64)
             m = m / (np.sqrt((m * m).sum(1, keepdims=True)) + EPSILON)
             cuts = [0, *(i for i in range(1, len(part)) if part[i] != part[i - 1]), len(part)]
             spans = [(a, min(a + BLOCK, stop)) for start, stop in zip(cuts, cuts[1:]) for a in range(start, stop, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], ARROW[part_kind]), pa.array([ids[a:b] for a, b in spans], pa.list_(ARROW[id_kind])), pa.array([m[a:b].tobytes() for a, b in spans], pa.binary())], ["part", "ids", "matrix"])
+            yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], ARROW[part_kind]), pa.array([ids[a:b] for a, b in spans], pa.list_(ARROW[id_kind])), pa.array([m[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([own[a:b] if mark else [] for a, b in spans], pa.list_(ARROW[mark_kind]))], ["part", "ids", "matrix", "marks"])
 
-    return rows.mapInArrow(pack, f"part {part_kind}, ids array<{id_kind}>, matrix binary")
+    return rows.mapInArrow(pack, f"part {part_kind}, ids array<{id_kind}>, matrix binary, marks array<{mark_kind}>")
 
 
-def _pairs(left: DataFrame, right: DataFrame, same_part: bool | None) -> DataFrame:
-    """Pairs of blocks: of the same part, of different parts, or all."""
-    a = left.select(F.col("part").alias("pa"), F.col("ids").alias("ia"), F.col("matrix").alias("ma"))
-    b = right.select(F.col("part").alias("pb"), F.col("ids").alias("ib"), F.col("matrix").alias("mb"))
-    if same_part:
-        return a.join(b, F.col("pa") == F.col("pb")).select("ia", "ma", "ib", "mb", F.lit(True).alias("same"))
-    return a.join(b, how="cross").select("ia", "ma", "ib", "mb", (F.col("pa") == F.col("pb")).alias("same"))
+def _pairs(left: DataFrame, right: DataFrame, same_part: bool) -> DataFrame:
+    """Pairs of blocks: of the same part, or all."""
+    a = left.select(F.col("part").alias("pa"), F.col("ids").alias("ia"), F.col("matrix").alias("ma"), F.col("marks").alias("ka"))
+    b = right.select(F.col("part").alias("pb"), F.col("ids").alias("ib"), F.col("matrix").alias("mb"), F.col("marks").alias("kb"))
+    both = a.join(b, F.col("pa") == F.col("pb")) if same_part else a.join(b, how="cross")
+    return both.select("ia", "ma", "ib", "mb", "ka", "kb")
 
 
-def vector_join(left: DataFrame, right: DataFrame, threshold: float, ids: tuple[str, str] = ("a", "b"), same_part: bool | None = None, ordered: bool = False) -> DataFrame:
+def vector_join(left: DataFrame, right: DataFrame, threshold: float, ids: tuple[str, str] = ("a", "b"), same_part: bool = False, ordered: bool = False, apart: bool = False) -> DataFrame:
     """Pairs of two sets of blocks() whose cosine, rounded to six places, reaches threshold: ids and sim.
 
-    same_part: only within a part (true), only across parts (false), or both (none).  ordered keeps a < b.
+    same_part: only within a part.  ordered keeps a < b, and multiplies no blocks without such a pair: of rows in the
+    order of their ids, half the products.  apart: only rows with different marks (a null mark differs from all).
     """
 
     ka, kb = _id_kind(left), _id_kind(right)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ia, ma, ib, mb, same in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if same_part is False and same:
+            for ia, ma, ib, mb, marks_a, marks_b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if ordered and ia and ib and min(ia) >= max(ib):
                     continue
                 x, y = np.frombuffer(ma).reshape(len(ia), -1), np.frombuffer(mb).reshape(len(ib), -1)
                 ia, ib = _ids(ia, ka), _ids(ib, kb)
+                marks_a, marks_b = np.array(marks_a, object), np.array(marks_b, object)
                 for k in range(0, len(ia), 256):
                     sim = np.round(x[k : k + 256] @ y.T, 6)
                     ok = sim >= threshold
                     if ordered:
                         ok &= ia[k : k + 256, None] < ib[None, :]
+                    if apart:
+                        own = marks_a[k : k + 256, None]
+                        ok &= ((own != marks_b[None, :]) | np.equal(own, None)).astype(bool)
                     i, j = np.nonzero(ok)
                     yield pa.RecordBatch.from_arrays([pa.array(ia[k + i], ARROW[ka]), pa.array(ib[j], ARROW[kb]), pa.array(sim[i, j])], [*ids, "sim"])
 
     return _pairs(left, right, same_part).mapInArrow(multiply, f"{ids[0]} {ka}, {ids[1]} {kb}, sim double")
 
 
-def vector_topk(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, same_part: bool | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, same_part: bool = False) -> DataFrame:
     """query_id, id, rank, score: the k nearest of base for each query, ties by id; both sides are blocks().
 
     same_part: only within a part.
@@ -125,7 +132,7 @@ def vector_topk(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for iq, mq, ib, mb, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for iq, mq, ib, mb, _, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 x, y = np.frombuffer(mq).reshape(len(iq), -1), np.frombuffer(mb).reshape(len(ib), -1)
                 iq, ib = _ids(iq, kq), _ids(ib, kb)
                 for a in range(0, len(iq), 256):

@@ -37,7 +37,7 @@ class Memory:
     text to a vector.  gate: a function over guarded candidates (query_id, id, score), used if cfg enables it.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, level: str = "section", cfg: MemoryConfig = MemoryConfig(), embed: Callable[[Column], Column] = ingest.hashed_embedding, gate: Callable[[DataFrame], DataFrame] | None = None, version: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, folder: str, level: str = "section", cfg: MemoryConfig = MemoryConfig(), embed: Callable[[Column], Column] = ingest.wide_embedding, gate: Callable[[DataFrame], DataFrame] | None = None, version: int | None = None) -> None:
         if level not in ("section", "document"):
             raise ValueError("level must be section or document")
         self.spark, self.folder, self.level, self.cfg, self.embed, self.gate = spark, folder, level, cfg, embed, gate

@@ -23,7 +23,7 @@ def graded(sim: Column, soft: float, hard: float | None = None) -> Column:
 def similarity_edges(nodes: DataFrame, cfg: MemoryConfig = MemoryConfig(), id_col: str = "id", others: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Edges of all pairs of nodes (of nodes and others, if given) whose cosine reaches the threshold; by: only within its values."""
     b = blocks(nodes, id_col, "embedding", by)
-    pairs = vector_join(b, b if others is None else blocks(others, id_col, "embedding", by), cfg.doc_threshold, same_part=True if by else None, ordered=others is None)
+    pairs = vector_join(b, b if others is None else blocks(others, id_col, "embedding", by), cfg.doc_threshold, same_part=bool(by), ordered=others is None)
     return both_ways(pairs.select("a", "b", F.col("sim").alias("weight"), graded(F.col("sim"), cfg.doc_soft, cfg.doc_hard).alias("edge_type")))
 
 
@@ -36,9 +36,9 @@ def sibling_edges(sections: DataFrame, cfg: MemoryConfig = MemoryConfig(), id_co
 
 def cross_edges(sections: DataFrame, cfg: MemoryConfig = MemoryConfig(), id_col: str = "id", new: DataFrame | None = None) -> DataFrame:
     """Edges between sections of different parents (of new ones and these, if given)."""
-    b = blocks(sections, id_col, "embedding", "parent_id")
-    a = b if new is None else blocks(new, id_col, "embedding", "parent_id")
-    pairs = vector_join(a, b, cfg.cross_threshold, same_part=False, ordered=new is None)
+    b = blocks(sections, id_col, "embedding", mark="parent_id")
+    a = b if new is None else blocks(new, id_col, "embedding", mark="parent_id")
+    pairs = vector_join(a, b, cfg.cross_threshold, ordered=new is None, apart=True)
     return both_ways(pairs.select("a", "b", F.col("sim").alias("weight"), graded(F.col("sim"), cfg.cross_soft).alias("edge_type")))
 
 

@@ -14,7 +14,7 @@ from engram.config import MemoryConfig
 from engram.functions import metrics
 from engram.functions.text import document_text
 from engram.operators import evaluation, graph, search
-from engram.operators.ingest import explicit_triggers, hashed_embedding
+from engram.operators.ingest import explicit_triggers, wide_embedding
 
 Embed = Callable[[Column], Column]
 
@@ -25,7 +25,7 @@ def _lists(results: DataFrame) -> DataFrame:
     return evaluation.ranked_lists(results).join(fired, "query_id")
 
 
-def retrieve_examples(examples: DataFrame, k: int = 10, cfg: MemoryConfig = MemoryConfig(), embed: Embed = hashed_embedding) -> DataFrame:
+def retrieve_examples(examples: DataFrame, k: int = 10, cfg: MemoryConfig = MemoryConfig(), embed: Embed = wide_embedding) -> DataFrame:
     """Each example's query against its own documents alone; ids are {example}/{document}.
 
     Ids of examples are distinct.  Of documents with one id in an example the first counts.
@@ -39,14 +39,14 @@ def retrieve_examples(examples: DataFrame, k: int = 10, cfg: MemoryConfig = Memo
     return search.retrieve_documents(queries, docs, graph.similarity_edges(docs, cfg, by="example"), triggers, k, cfg, scope="example")
 
 
-def evaluate_examples(examples: DataFrame, k: int = 10, cfg: MemoryConfig = MemoryConfig(), embed: Embed = hashed_embedding) -> DataFrame:
+def evaluate_examples(examples: DataFrame, k: int = 10, cfg: MemoryConfig = MemoryConfig(), embed: Embed = wide_embedding) -> DataFrame:
     """query_id, benchmark, category, metric, value; every example starts from an empty memory."""
     gold = examples.select(F.col("id").alias("query_id"), "benchmark", "category", F.transform(F.coalesce("supporting_doc_ids", F.array().cast("array<string>")), lambda x: F.concat_ws("/", "id", x)).alias("gold"))
     lists = gold.join(_lists(retrieve_examples(examples, k, cfg, embed)), "query_id", "left")
     return evaluation.ranking_metrics(lists, top_k=k).join(gold.select("query_id", "benchmark", "category"), "query_id")
 
 
-def evaluate_scenarios(scenarios: DataFrame, memories: DataFrame, cfg: MemoryConfig = MemoryConfig(), embed: Embed = hashed_embedding) -> DataFrame:
+def evaluate_scenarios(scenarios: DataFrame, memories: DataFrame, cfg: MemoryConfig = MemoryConfig(), embed: Embed = wide_embedding) -> DataFrame:
     """id, name, category, fired, trigger_recall, trigger_precision of scenarios against memories (name, text), by whole memory."""
     docs = memories.select(F.col("name").alias("id"), embed(document_text(F.col("name"), F.col("text"))).alias("embedding"), F.concat("name", F.lit("\n\n"), "text").alias("content"), F.lit(0).alias("access_count")).checkpoint()
     queries = scenarios.select(F.col("id").alias("query_id"), F.col("context").alias("text"), embed(F.coalesce("context", F.lit(""))).alias("embedding")).checkpoint()

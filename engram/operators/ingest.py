@@ -8,15 +8,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.functions.text import chat_keywords, is_chat, markdown_sections, raw_tokens, trigger_keywords, user_turns
+from engram.functions.expressions import let
+from engram.functions.text import chat_keywords, is_chat, markdown_sections, raw_tokens, section_parts, trigger_keywords, user_turns
 
-DIMENSIONS = 64
+#: Slots of the hashed vectors of large tables, and of those that a memory holds.
+DIMENSIONS, WIDE = 64, 1024
 
 
 def hashed_embedding(text: Column, size: int = DIMENSIONS) -> Column:
     """Counts of tokens by the first 32 bits of their md5: an embedding that needs no model."""
-    slots = F.transform(raw_tokens(F.lower(text)), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    slots = F.array_sort(F.transform(raw_tokens(F.lower(text)), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size).cast("int")))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+
+    def dense(x: Column) -> Column:
+        # each run of one slot gives the zeros since the run before, and its length
+        s, first = x["slots"], x["first"]
+        run = lambda i, k: F.concat(zeros(F.get(s, i) - F.coalesce(F.get(s, i - 1), F.lit(-1)) - 1), F.array((F.coalesce(F.get(first, k + 1), F.size(s)) - i).cast("double")))
+        return F.concat(F.flatten(F.transform(first, run)), zeros(size - 1 - F.element_at(s, -1)))
+
+    def starts(x: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(x["slots"]) - 1), lambda i: (i == 0) | (F.get(x["slots"], i) != F.get(x["slots"], i - 1)))
+        return F.when(F.size(x["slots"]) == 0, zeros(F.lit(size))).otherwise(let(dense, slots=x["slots"], first=first))
+
+    return F.when(text.isNotNull(), let(starts, slots=slots))
+
+
+def wide_embedding(text: Column) -> Column:
+    """hashed_embedding() with so many slots that different words seldom share one."""
+    return hashed_embedding(text, WIDE)
 
 
 def hashed_vectors(df: DataFrame, id_col: str, text_col: str, size: int = DIMENSIONS) -> DataFrame:
@@ -58,10 +77,13 @@ def containers(docs: DataFrame) -> DataFrame:
 
 def explicit_triggers(docs: DataFrame, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     """Triggers of docs (id, content): one for each section with keywords, or one for a chat; confidence 1."""
-    chat = docs.where(is_chat(F.col("content"))).withColumn("turns", user_turns(F.col("content")))
-    chat = chat.select(F.concat(F.lit("trigger_"), "id", F.lit("_conv")).alias("tid"), chat_keywords(F.col("turns")).alias("pattern"), F.substring(F.array_join("turns", " "), 1, 1000).alias("text"), F.col("id").alias("node"))
-    parts = markdown_sections(docs.where(~is_chat(F.col("content"))), "id", "content")
-    full = F.when(F.col("heading") != "", F.concat_ws(" ", "heading", "body")).otherwise(F.col("body"))
-    parts = parts.select(F.concat_ws("_", F.lit("trigger"), "id", "section").alias("tid"), trigger_keywords(F.col("heading"), F.col("body")).alias("pattern"), full.alias("text"), F.col("id").alias("node"))
-    rows = chat.unionByName(parts).where(F.size("pattern") > 0)
+    made = lambda tid, pattern, text: F.struct(tid.alias("tid"), pattern.alias("pattern"), text.alias("text"))
+    chat = let(lambda x: F.array(made(F.concat(F.lit("trigger_"), F.col("id"), F.lit("_conv")), chat_keywords(x["turns"]), F.substring(F.array_join(x["turns"], " "), 1, 1000))), turns=user_turns(F.col("content")))
+
+    def of_part(p: Column, i: Column) -> Column:
+        text = F.when(p["heading"] != "", F.concat_ws(" ", p["heading"], p["body"])).otherwise(p["body"])
+        return made(F.concat_ws("_", F.lit("trigger"), F.col("id"), i), trigger_keywords(p["heading"], p["body"]), text)
+
+    both = F.when(is_chat(F.col("content")), chat).otherwise(F.transform(section_parts(F.col("content")), of_part))
+    rows = docs.select(F.col("id").alias("node"), F.inline(both)).where(F.size("pattern") > 0)
     return rows.select(F.col("tid").alias("id"), "pattern", embed(F.col("text")).alias("pattern_embedding"), F.col("node").alias("associated_node_id"), F.lit(1.0).alias("confidence"), F.lit("explicit").alias("origin"))

@@ -32,7 +32,7 @@ def scannable(triggers: DataFrame) -> DataFrame:
 
 def nearest(queries: DataFrame, nodes: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """query_id, id, score, rank of the k most similar nodes."""
-    return vector_topk(blocks(queries, "query_id", "embedding", scope), blocks(nodes, "id", "embedding", scope), k, exclude_self=False, same_part=True if scope else None)
+    return vector_topk(blocks(queries, "query_id", "embedding", scope), blocks(nodes, "id", "embedding", scope), k, exclude_self=False, same_part=bool(scope))
 
 
 def retrieve_documents(queries: DataFrame, docs: DataFrame, edges: DataFrame, triggers: DataFrame, k: int, cfg: MemoryConfig = MemoryConfig(), scope: str | None = None) -> DataFrame:

@@ -301,8 +301,8 @@ _HASH = """v{0} AS (SELECT id, list(coalesce(c, 0)::DOUBLE ORDER BY b) AS e FROM
   m AS (SELECT a.id AS query_id, b.id, {_cos('a', 'b')} AS score FROM v1 a CROSS JOIN v2 b)
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM m QUALIFY rank <= 5""")
 def text_topk(spark, sf_dir):
-    q = ingest.hashed_vectors(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    d = ingest.hashed_vectors(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id", "text")
+    q = ingest.hashed_vectors(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text", 64)
+    d = ingest.hashed_vectors(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id", "text", 64)
     return vector_topk(blocks(q, "query_id", "embedding"), blocks(d, "id", "embedding"), 5, exclude_self=False).select("query_id", "rank", "id", "score")
 
 
