@@ -83,8 +83,8 @@ class MemoryConfig:
             raise ValueError("diffuse_temperature must be positive")
         if not 0 < self.promote_soft <= self.promote_hard <= self.promote_trigger:
             raise ValueError("promotion counts must be positive and rise")
-        if min(self.focused_top_k, self.focused_max_depth, self.diffuse_top_k, self.trigger_max_injections) < 1:
-            raise ValueError("top-k values, depth and injections must be 1 at least")
+        if self.focused_top_k < 1 or min(self.focused_max_depth, self.diffuse_top_k, self.trigger_max_injections) < 0:
+            raise ValueError("focused_top_k must be 1 at least; depth, walks and injections can't be negative")
 
     @property
     def variant(self) -> str:

@@ -36,7 +36,7 @@ def by_class_and_overall(values: DataFrame, cls: str) -> DataFrame:
 
 
 def running_average(df: DataFrame, order: str, value: str, width: int = 10, by: str | None = None) -> DataFrame:
-    """value averaged over the last width rows in order, fewer at the start."""
+    """value averaged over the last width rows in order, fewer at the start; without by, of all rows in one task."""
     w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
     return df.withColumn("average", F.round(F.avg(value).over(w.orderBy(order).rowsBetween(1 - width, 0)), 6))
 
@@ -62,3 +62,29 @@ def compare_runs(base: DataFrame, trained: DataFrame) -> DataFrame:
     """metric, base, trained, delta of two results of ranking_metrics."""
     m = lambda df, name: df.groupBy("metric").agg(F.avg("value").alias(name))
     return m(base, "base").join(m(trained, "trained"), "metric", "full").withColumn("delta", F.round(F.col("trained") - F.col("base"), 6))
+
+
+def replay_order(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """day, kind, id, step: the events of a simulation day by day, on each day documents before queries, then by id.
+
+    Steps count from 1.  They are sorted by range over all tasks and numbered by sums of the days before.
+    """
+    kinds = [(documents, 0, "document"), (queries, 1, "query")]
+    events = None
+    for df, order, name in kinds:
+        rows = df.select("day", F.lit(order).alias("_order"), F.lit(name).alias("kind"), "id")
+        events = rows if events is None else events.unionByName(rows)
+    sizes = events.groupBy("day").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("day", "before")
+    at = F.row_number().over(Window.partitionBy("day").orderBy("_order", "id"))
+    return events.withColumn("at", at).join(before, "day").select("day", "kind", "id", (F.col("before") + F.col("at")).alias("step"))
+
+
+def proactive_hits(triggered: DataFrame, gold: DataFrame, semantic: DataFrame) -> DataFrame:
+    """query_id, hit, lead: gold nodes (query_id, id) that a trigger brought up, and those of them that similarity did not find.
+
+    Both are counts; a query without such nodes has 0.
+    """
+    key = ["query_id", "id"]
+    found = gold.select(*key).distinct().join(triggered.select(*key).distinct().withColumn("t", F.lit(True)), key, "left").join(semantic.select(*key).distinct().withColumn("s", F.lit(True)), key, "left")
+    return found.groupBy("query_id").agg(F.count_if(F.col("t").isNotNull()).alias("hit"), F.count_if(F.col("t").isNotNull() & F.col("s").isNull()).alias("lead"))

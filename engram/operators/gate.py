@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,11 @@ def extract_decision(answer: Column, allowed: tuple[str, ...] = ("allow", "suppr
     return F.when(said.isin(*allowed), said).otherwise("uncertain")
 
 
-def gated(candidates: DataFrame, decide: Callable[[pd.DataFrame], pd.Series] | None, context: DataFrame | None = None) -> DataFrame:
+def gated(candidates: DataFrame, decide: Callable[[pd.DataFrame], pd.Series] | None, context: DataFrame | None = None, failures: Accumulator | None = None) -> DataFrame:
     """Candidates that decide() does not call "suppress"; without a decider, or if it fails, all of them.
 
-    context: query_id, id, and what decide() is to see, such as query and preview.
+    context: query_id, id, and what decide() is to see, such as query and preview.  failures: an accumulator that
+    counts the batches on which decide() failed; each failure is logged by the worker.
     """
     if decide is None:
         return candidates
@@ -33,6 +36,9 @@ def gated(candidates: DataFrame, decide: Callable[[pd.DataFrame], pd.Series] | N
             try:
                 verdict = decide(rows)
             except Exception:  # an unavailable model suppresses nothing
+                logging.getLogger(__name__).exception("the gate's decider failed on %d candidates", len(rows))
+                if failures is not None:
+                    failures.add(1)
                 verdict = pd.Series("allow", index=rows.index)
             yield rows[(verdict != "suppress").to_numpy()]
 

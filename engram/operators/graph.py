@@ -62,14 +62,15 @@ def focused_bfs(entries: DataFrame, edges: DataFrame, cfg: MemoryConfig = Memory
     """
     edges = edges.where(F.col("weight") >= cfg.bfs_min_weight).select(F.col("source_id").alias("id"), F.col("target_id").alias("next"), "weight")
     frontier = entries.select("query_id", "id", F.col("rank").alias("at"), F.lit(1.0).alias("path"))
-    visited, out = entries.select("query_id", "id"), None
+    visited = entries.select("query_id", "id")
+    out = entries.where(F.lit(False)).select("query_id", "id", F.lit(0).alias("depth"), F.lit(1.0).alias("path"))
     for depth in range(1, cfg.focused_max_depth + 1):
         first = Window.partitionBy("query_id", "next").orderBy("at", F.desc("weight"))
         hop = frontier.join(edges, "id").withColumn("n", F.row_number().over(first)).where("n = 1")
         hop = hop.select("query_id", F.col("next").alias("id"), "at", "weight", (F.col("path") * F.col("weight")).alias("path"))
         hop = hop.join(visited, ["query_id", "id"], "left_anti")
         found = hop.select("query_id", "id", F.lit(depth).alias("depth"), "path")
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(found)
         visited = visited.unionByName(hop.select("query_id", "id"))
         own = Window.partitionBy("query_id")
         by_visit, by_path = own.orderBy("at", F.desc("weight"), "id"), own.orderBy(F.desc(F.round("path", 9)), "id")
@@ -96,6 +97,8 @@ def diffuse_walk(entries: DataFrame, edges: DataFrame, visited: DataFrame, acces
     A step goes to a neighbour with probability proportional to weight ** (1 / temperature) / (1 + novelty * accesses);
     the draw is the largest of log(u) / w over hashed uniforms u, so a run can be repeated.
     """
+    if cfg.diffuse_top_k == 0:
+        return entries.select("query_id", "id").where(F.lit(False))
     weight = F.pow("weight", F.lit(1 / cfg.diffuse_temperature))
     e = edges.where(F.col("weight") > 0)
     if access is not None:

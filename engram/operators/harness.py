@@ -14,6 +14,7 @@ from engram.config import MemoryConfig
 from engram.functions import metrics
 from engram.functions.text import document_text
 from engram.operators import evaluation, graph, search
+from engram.operators.cuts import cut
 from engram.operators.ingest import explicit_triggers, wide_embedding
 
 Embed = Callable[[Column], Column]
@@ -33,9 +34,9 @@ def retrieve_examples(examples: DataFrame, k: int = 10, cfg: MemoryConfig = Memo
     d = examples.select(F.col("id").alias("example"), F.posexplode("documents").alias("pos", "d"))
     once = d.groupBy("example", F.col("d.id").alias("doc")).agg(F.min_by("d", "pos").alias("d"))
     title, text = F.coalesce("d.title", F.lit("")), F.coalesce("d.text", F.lit(""))
-    docs = once.select(F.concat_ws("/", "example", "doc").alias("id"), "example", embed(document_text(title, text)).alias("embedding"), F.concat(title, F.lit("\n\n"), text).alias("content"), F.lit(0).alias("access_count")).checkpoint()
-    queries = examples.select(F.col("id").alias("query_id"), F.col("id").alias("example"), F.col("query").alias("text"), embed(F.coalesce("query", F.lit(""))).alias("embedding")).checkpoint()
-    triggers = explicit_triggers(docs.select("id", "content"), embed).join(docs.select(F.col("id").alias("associated_node_id"), "example"), "associated_node_id").checkpoint()
+    docs = cut(once.select(F.concat_ws("/", "example", "doc").alias("id"), "example", embed(document_text(title, text)).alias("embedding"), F.concat(title, F.lit("\n\n"), text).alias("content"), F.lit(0).alias("access_count")))
+    queries = cut(examples.select(F.col("id").alias("query_id"), F.col("id").alias("example"), F.col("query").alias("text"), embed(F.coalesce("query", F.lit(""))).alias("embedding")))
+    triggers = cut(explicit_triggers(docs.select("id", "content"), embed).join(docs.select(F.col("id").alias("associated_node_id"), "example"), "associated_node_id"))
     return search.retrieve_documents(queries, docs, graph.similarity_edges(docs, cfg, by="example"), triggers, k, cfg, scope="example")
 
 
@@ -48,9 +49,9 @@ def evaluate_examples(examples: DataFrame, k: int = 10, cfg: MemoryConfig = Memo
 
 def evaluate_scenarios(scenarios: DataFrame, memories: DataFrame, cfg: MemoryConfig = MemoryConfig(), embed: Embed = wide_embedding) -> DataFrame:
     """id, name, category, fired, trigger_recall, trigger_precision of scenarios against memories (name, text), by whole memory."""
-    docs = memories.select(F.col("name").alias("id"), embed(document_text(F.col("name"), F.col("text"))).alias("embedding"), F.concat("name", F.lit("\n\n"), "text").alias("content"), F.lit(0).alias("access_count")).checkpoint()
-    queries = scenarios.select(F.col("id").alias("query_id"), F.col("context").alias("text"), embed(F.coalesce("context", F.lit(""))).alias("embedding")).checkpoint()
-    found = search.retrieve_documents(queries, docs, graph.similarity_edges(docs, cfg), explicit_triggers(docs.select("id", "content"), embed).checkpoint(), max(memories.count(), 1), cfg)
+    docs = cut(memories.select(F.col("name").alias("id"), embed(document_text(F.col("name"), F.col("text"))).alias("embedding"), F.concat("name", F.lit("\n\n"), "text").alias("content"), F.lit(0).alias("access_count")))
+    queries = cut(scenarios.select(F.col("id").alias("query_id"), F.col("context").alias("text"), embed(F.coalesce("context", F.lit(""))).alias("embedding")))
+    found = search.retrieve_documents(queries, docs, graph.similarity_edges(docs, cfg), cut(explicit_triggers(docs.select("id", "content"), embed)), max(memories.count(), 1), cfg)
     files = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array()), lambda x: x["memory"]))
     df = scenarios.join(_lists(found).withColumnRenamed("query_id", "id"), "id", "left").withColumn("fired", F.coalesce("fired", F.array().cast("array<string>")))
     recall = metrics.trigger_recall(F.col("fired"), files(F.col("expected")))

@@ -213,13 +213,19 @@ def minable(episodes: DataFrame, batch: Column, cfg: MemoryConfig = MemoryConfig
     return n.join(size, "batch").where((F.col("size") >= cfg.mining_min_episodes) & (F.col("n") >= enough)).select("batch", "node_id", "n")
 
 
-def mine_triggers(episodes: DataFrame, triggers: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
-    """Triggers on nodes useful often enough that have none, from the contexts of those episodes."""
-    nodes = minable(episodes, F.lit(0), cfg).select(F.col("node_id")).join(triggers.select(F.col("associated_node_id").alias("node_id")), "node_id", "left_anti")
-    uses = episodes.select("episode_seq", F.explode(F.array_distinct("useful_ids")).alias("node_id"))
-    contexts = uses.join(nodes, "node_id", "left_semi").join(episodes.select("episode_seq", "context", "context_embedding"), "episode_seq")
-    df = _mean(contexts, ["node_id"]).join(_pattern(contexts, ["node_id"], cfg.mining_keywords, MINED_STOP_WORDS), "node_id", "left")
-    return _learned(df, F.concat(F.lit("consolidated_"), "node_id"), "node_id", cfg.mining_confidence)
+def mine_triggers(episodes: DataFrame, triggers: DataFrame, cfg: MemoryConfig = MemoryConfig(), batch: Column | None = None) -> DataFrame:
+    """Triggers on nodes useful often enough that have none, from the contexts of those episodes.
+
+    batch: mine within each of its values (as a whole number), which then is part of a trigger's id; by default all episodes are one.
+    """
+    e = episodes.withColumn("batch", (F.lit(0) if batch is None else batch).cast("long"))
+    key = ["batch", "node_id"]
+    nodes = minable(e, F.col("batch"), cfg).select(*key).join(triggers.select(F.col("associated_node_id").alias("node_id")).distinct(), "node_id", "left_anti")
+    uses = e.select("batch", "episode_seq", "context", "context_embedding", F.explode(F.array_distinct("useful_ids")).alias("node_id"))
+    contexts = uses.join(nodes, key, "left_semi")
+    df = _mean(contexts, key).join(_pattern(contexts, key, cfg.mining_keywords, MINED_STOP_WORDS), key, "left")
+    own = [] if batch is None else [F.col("batch"), F.lit("_")]
+    return _learned(df, F.concat(F.lit("consolidated_"), *own, "node_id"), "node_id", cfg.mining_confidence)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], seq: str | None = None) -> DataFrame:

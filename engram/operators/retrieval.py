@@ -13,6 +13,10 @@ from engram.functions.vector import blocks, cosine_to_matrix, vector_join
 from engram.operators.graph import two_hop
 
 
+#: Channels of retrieved sections, in order of precedence.
+CHANNELS = ("trigger", "graph", "semantic")
+
+
 def top_k(scores: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     """The k best rows of each key by score, ties by id, with their rank."""
     order = Window.partitionBy(key).orderBy(F.desc("score"), "id")

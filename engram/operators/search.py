@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from engram.config import MemoryConfig
 from engram.functions.vector import blocks, cosine_to_matrix, vector_topk
 from engram.operators import graph, retrieval
+from engram.operators.cuts import cut
 
 
 def similarities(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -42,11 +43,11 @@ def retrieve_documents(queries: DataFrame, docs: DataFrame, edges: DataFrame, tr
     triggers: rows of the trigger table.  Without the graph the base is plain similarity.
     """
     if cfg.enable_graph:
-        entries = nearest(queries, docs, cfg.focused_top_k, scope).select("query_id", "id", "score", "rank").checkpoint()
-        focused, diffuse = graph.focused_bfs(entries, edges, cfg).checkpoint(), None
+        entries = cut(nearest(queries, docs, cfg.focused_top_k, scope).select("query_id", "id", "score", "rank"))
+        focused, diffuse = cut(graph.focused_bfs(entries, edges, cfg)), None
         found = focused.select("query_id", "id")
         if cfg.enable_diffuse:
-            diffuse = graph.diffuse_walk(entries.select("query_id", "id"), edges, entries.select("query_id", "id").unionByName(found), docs.select("id", "access_count"), cfg).checkpoint()
+            diffuse = cut(graph.diffuse_walk(entries.select("query_id", "id"), edges, entries.select("query_id", "id").unionByName(found), docs.select("id", "access_count"), cfg))
             found = found.unionByName(diffuse)
         base = retrieval.merge_graph(entries, focused, similarities(found, queries, docs), k, diffuse, cfg)
     else:
@@ -61,12 +62,19 @@ def retrieve_sections(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tr
     """query_id, id, score, rank, channel: k sections a query at most, of three channels (semantic, trigger, graph)."""
     sections = nodes.where((F.col("node_type") == "section") & F.col("embedding").isNotNull())
     inner = edges.join(sections.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    semantic = nearest(queries, sections, k)
+    semantic = cut(nearest(queries, sections, k))
     none = semantic.select("query_id", "id").where(F.lit(False))
     triggered, hops = none, none.withColumn("path", F.lit(0.0))
     if cfg.enable_triggers:
         fired = retrieval.fire_triggers(queries, scannable(triggers), cfg).join(sections.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-        triggered = retrieval.guard_triggers(fired, semantic, inner, sections.count(), cfg, gate if cfg.enable_gate else None)
+        triggered = cut(retrieval.guard_triggers(fired, semantic, inner, sections.count(), cfg, gate if cfg.enable_gate else None))
     if cfg.enable_graph:
-        hops = retrieval.section_graph(semantic, triggered, inner, cfg)
+        hops = cut(retrieval.section_graph(semantic, triggered, inner, cfg))
     return retrieval.fuse(semantic, triggered, hops, similarities(hops, queries, sections), k, cfg)
+
+
+def channel_counts(results: DataFrame) -> DataFrame:
+    """query_id, n_results, and by channel the number and the ids, in order of rank, of what retrieve_sections() found."""
+    own = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("channel") == c, F.struct("rank", "id")))), lambda x: x["id"])
+    lists = results.groupBy("query_id").agg(F.count("*").alias("n_results"), *[own(c).alias(f"{c}_ids") for c in retrieval.CHANNELS])
+    return lists.select("query_id", "n_results", *[x for c in retrieval.CHANNELS for x in (F.size(f"{c}_ids").alias(f"n_{c}"), F.col(f"{c}_ids"))])

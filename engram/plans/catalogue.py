@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from engram.functions import metrics, text
 from engram.functions.vector import blocks, mean_vectors as mean_by_key, vector_topk
 from engram.operators import evaluation, graph, ingest, learning, retrieval
+from engram.operators.cuts import cut
 from engram.plans import inputs
 from engram.plans.inputs import CFG, edges, episodes, queries, sections, semantic, table
 from engram.sources.loaders import sessions_from_turns
@@ -111,7 +112,7 @@ _BFS = f"WITH {_S}, {_Q}, {_E}, {_SEM}, f0 AS (SELECT query_id, id, rank AS ord,
 
 @register(f"{_BFS} SELECT query_id, id, depth::BIGINT AS depth, round(path, 6) AS path FROM bfs")
 def focused_bfs(spark, sf_dir):
-    return graph.focused_bfs(semantic(spark, sf_dir), edges(spark, sf_dir), CFG).withColumn("path", F.round("path", 6))
+    return graph.focused_bfs(cut(semantic(spark, sf_dir)), cut(edges(spark, sf_dir)), CFG).withColumn("path", F.round("path", 6))
 
 
 @register(f"""{_BFS}, sim AS (SELECT b.query_id, b.id, b.path, {_cos('q', 's')} AS sim FROM bfs b JOIN q USING (query_id) JOIN s ON s.id = b.id),
@@ -119,8 +120,8 @@ def focused_bfs(spark, sf_dir):
   u AS (SELECT query_id, id, round(max(score), 6) AS score FROM (SELECT query_id, id, score FROM semr UNION ALL SELECT * FROM near) GROUP BY ALL)
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u QUALIFY rank <= 20""")
 def graph_merge_rank(spark, sf_dir):
-    sem = semantic(spark, sf_dir)
-    found = graph.focused_bfs(sem, edges(spark, sf_dir), CFG)
+    sem = cut(semantic(spark, sf_dir))
+    found = cut(graph.focused_bfs(sem, cut(edges(spark, sf_dir)), CFG))
     return retrieval.merge_graph(sem, found, inputs.pair_sims(found, spark, sf_dir), 20)
 
 
@@ -182,7 +183,7 @@ _CHAIN = f"WITH {_S}, {_Q}, {_E}, {_SEM}, {_FIRE}, {_GUARD}, {_TWO}"
 
 @register(f"{_CHAIN} SELECT query_id, id, round(path, 6) AS path FROM hop")
 def section_two_hop(spark, sf_dir):
-    sem, e = semantic(spark, sf_dir), edges(spark, sf_dir)
+    sem, e = cut(semantic(spark, sf_dir)), cut(edges(spark, sf_dir))
     return retrieval.section_graph(sem, _guarded(spark, sf_dir, sem, e), e, CFG).withColumn("path", F.round("path", 6))
 
 
@@ -195,9 +196,9 @@ def section_two_hop(spark, sf_dir):
       CASE WHEN t THEN 'trigger' WHEN path IS NOT NULL THEN 'graph' ELSE 'semantic' END AS channel FROM x)
   SELECT query_id, id, score, channel, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM y QUALIFY rank <= 10""")
 def section_fusion(spark, sf_dir):
-    sem, e = semantic(spark, sf_dir), edges(spark, sf_dir)
-    trig = _guarded(spark, sf_dir, sem, e)
-    hops = retrieval.section_graph(sem, trig, e, CFG)
+    sem, e = cut(semantic(spark, sf_dir)), cut(edges(spark, sf_dir))
+    trig = cut(_guarded(spark, sf_dir, sem, e))
+    hops = cut(retrieval.section_graph(sem, trig, e, CFG))
     return retrieval.fuse(sem, trig, hops, inputs.pair_sims(hops, spark, sf_dir), 10, CFG)
 
 
@@ -206,8 +207,8 @@ def section_fusion(spark, sf_dir):
     m.id IS NULL AND (t.id IS NOT NULL OR h.id IS NOT NULL) AS rescued
   FROM gold g LEFT JOIN trig t ON t.query_id = g.query_id AND t.id = g.id LEFT JOIN hop h ON h.query_id = g.query_id AND h.id = g.id LEFT JOIN semr m ON m.query_id = g.query_id AND m.id = g.id""")
 def channel_attribution(spark, sf_dir):
-    sem, e = semantic(spark, sf_dir), edges(spark, sf_dir)
-    trig = _guarded(spark, sf_dir, sem, e)
+    sem, e = cut(semantic(spark, sf_dir)), cut(edges(spark, sf_dir))
+    trig = cut(_guarded(spark, sf_dir, sem, e))
     return evaluation.attribution(_gold(spark, sf_dir), trig, retrieval.section_graph(sem, trig, e, CFG), sem)
 
 
