@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are taken this many bytes at a time (a longer text comes alone), which bounds a task's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Odd multiplier of the rolling hash, and the seed of its byte table.
 BASE, SEED = 0x9E3779B97F4A7C15, 20240607
 

@@ -1,14 +1,13 @@
 """N-gram Jaccard self-join by a token-group matrix, for components of near-duplicate documents.
 
 1.  Each text becomes a set of shingle hashes; texts with the same set are one node.
-2.  Tokens of the matrix are the parts of a set: hash space is cut into more parts than two sets
-    over the threshold can differ in tokens, so such sets have equal, non-empty parts.  (A set with
-    more empty parts than the slack also gives its empty parts.)  The number of parts goes by
-    classes of size; a set also gives the parts of the next class where its partners may be.
-3.  Groups: the leader of a part is its node with the best connected parts.  Each node joins the
-    leader it shares most parts with, if their exact similarity reaches the threshold; the
+2.  Keys of a node are its first shingles by hash: as many as a partner may lack, and a few more.
+    Two sets over the threshold share at least those few: of the set whose keys end first, a
+    partner lacks too few to miss more, and what both have before that end is a key of both.
+3.  Groups: the leader of a key is its node with the best connected keys.  Each node joins the
+    leader it shares most keys with, if their exact similarity reaches the threshold; the
     components of these links are the groups.
-4.  Nodes with as many parts as a partner would share in parts that several groups have stay open.
+4.  Nodes with as many keys as a partner would share in keys that several groups have stay open.
     For them the matrix holds, by group, the union of its members' shingles.  A node's partner in
     another group has all but a few of its shingles, so its rarest ones bound the overlap: those
     in no other group's union come first, then the others, fewest nodes first.  If a union lacks
@@ -19,6 +18,8 @@
     the links join the groups.
 
 Nodes within a group are never paired with each other: what they would add, their component has.
+A key or shingle that very many nodes hold is counted by partial sums and joined back, so Spark can split it;
+the nodes to compare with one leader are dealt out by hands of HAND, each with one copy of the leader's set.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.llm.arrays import U64, distinct, mix, prefix_hash, shingles, slices, span_hash, sum_by, words
-from engram.llm.tables import stage
+from engram.llm.arrays import U64, distinct, mix, prefix_hash, shingles, slices, span_hash, spread, words
+from engram.llm.tables import discard, stage, unused
+
+#: Nodes compared with one copy of another's set.
+HAND = 256
 
 
 @dataclass(frozen=True)
@@ -44,16 +47,14 @@ class Threshold:
     of: int = 80
     over: int = 100
 
-    def classes(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lowest sizes of the classes, parts and slack of each, up to sets of the largest size."""
-        low, share = [1], self.of / self.over
-        while low[-1] <= largest:
-            low.append(max(low[-1] + 1, int(np.ceil(low[-1] / share / share))))
-        top = np.array(low[1:] + [int(np.ceil(low[-1] / share / share))]) - 1
-        # |A| + |B| - 2 |both| <= (|A| + |B|) (over - of) / (over + of)
-        apart = 2 * top * (self.over - self.of) // (self.over + self.of)
-        slack = np.maximum(1, apart // 8)
-        return np.array(low), apart + 1 + slack, slack
+    def least(self, size: np.ndarray) -> np.ndarray:
+        """Shingles that a set shares with a partner at least, and the size of its smallest partner."""
+        return -(-size * self.of // self.over)
+
+    def classes(self, largest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lowest sizes of the classes, up to sets of the largest size, and the keys that partners in each share at least."""
+        low = np.concatenate([[1], np.arange(16, largest + 16, 16)])
+        return low, np.arange(1, len(low) + 1)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,43 +78,14 @@ def node_ids(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def part_keys(h: np.ndarray, bounds: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the parts that stand for each set, the index of their set, and how many of them each set shares with any partner at least."""
+    """Keys of each set, the index of their set, and how many of them each set shares with any partner at least."""
     size = np.diff(bounds)
-    need = np.full(len(size), 1 << 20, np.int64)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), need
-    low, parts, slack = t.classes(int(size.max()))
-    own = np.searchsorted(low, size, "right") - 1
-    keys, sets = [], []
-    # partners of a set of size n have n * over / of tokens at most
-    reach = np.searchsorted(low, size * t.over // t.of, "right") - 1
-    for up in (0, 1):
-        use = np.flatnonzero((size > 0) & (reach >= own + up))
-        if not len(use):
-            continue
-        level = own[use] + up
-        n = size[use]
-        at = np.repeat(np.arange(len(use)), n)
-        tok = h[np.repeat(bounds[use], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
-        k = parts[level]
-        part = ((tok >> U64(32)) * k[at].astype(U64) >> U64(32)).astype(np.int64)
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (part[1:] != part[:-1])
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(mix(tok, 3), first)
-        tag = (level[at[first]] * (1 << 40) + part[first]).astype(U64)
-        keys.append(mix(total + mix(tag, 5), 7))
-        sets.append(use[at[first]])
-        empty = k - np.bincount(at[first], minlength=len(use))
-        # a partner has n * over / of shingles at most, and so differs in so many parts at most
-        apart = (n + n * t.over // t.of) * (t.over - t.of) // (t.over + t.of)
-        # equal parts that are empty count only if both sets give theirs; one that doesn't has slack of them at most
-        need[use] = np.minimum(need[use], np.maximum(1, k - apart - np.minimum(empty, slack[level])))
-        for i in np.flatnonzero((empty > slack[level]) & (k > 1)).tolist():
-            lacking = np.setdiff1d(np.arange(k[i]), part[first][at[first] == i])
-            keys.append(mix(mix((level[i] * (1 << 40) + lacking).astype(U64), 5), 9))
-            sets.append(np.full(len(lacking), use[i]))
-    return np.concatenate(keys).view(np.int64), np.concatenate(sets), need
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(size), np.int64)
+    low, asked = t.classes(int(size.max()))
+    share = lambda n: asked[np.maximum(np.searchsorted(low, n, "right") - 1, 0)]
+    n = np.where(size > 0, size - t.least(size) + share(size), 0)
+    return h[spread(bounds[:-1], n)].view(np.int64), np.repeat(np.arange(len(size)), n), share(t.least(size))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,24 +103,40 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("jump"))
         nearer = nearer.join(jump, "root", "left").select("node", F.least("root", F.coalesce("jump", "root")).alias("root"), "was")
         nearer = stage(nearer, "labels")
-        labels = nearer.select("node", "root")
+        discard(labels)
         if nearer.where("root <> was").isEmpty():
-            return labels
+            discard(both)
+            return nearer
+        labels = nearer
 
 
-def _compare(pairs: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets x and y link."""
+def _linked(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, tokens) link."""
+    load = pairs.groupBy("b").agg(F.ceil(F.count("*") / HAND).cast("int").alias("hands"))
+    hand = F.pmod(F.xxhash64("a"), F.col("hands")).cast("int")
+    mine = pairs.join(load, "b").select("b", hand.alias("hand"), "a").join(sets.select(F.col("node").alias("a"), "tokens"), "a")
+    theirs = load.join(sets.select(F.col("node").alias("b"), "tokens"), "b")
+    theirs = theirs.select("b", F.explode(F.sequence(F.lit(0), F.col("hands") - 1)).alias("hand"), F.lit(None).cast("long").alias("a"), "tokens")
+    dealt = mine.unionByName(theirs).repartition("b", "hand").sortWithinPartitions("b", "hand", F.asc_nulls_first("a"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, theirs = None, np.zeros(0, U64)
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(t.over * both >= t.of * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+            linked = []
+            for i, (b, hand, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                own = np.frombuffer(batch.column(3)[i].as_buffer(), U64)
+                if a is None:
+                    key, theirs = (b, hand), own.copy()
+                    continue
+                if (b, hand) != key:
+                    raise ValueError("a set to compare with is missing")
+                at = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
+                both = int((theirs[at] == own).sum())
+                if t.over * both >= t.of * (len(own) + len(theirs) - both):
+                    linked.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in linked], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return dealt.select("b", "hand", "a", "tokens").mapInArrow(compare, "a long, b long")
 
 
 def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: str) -> DataFrame:
@@ -161,69 +149,70 @@ def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: st
             a, b = node_ids(h, bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(a), pa.array(b)], ["id", "n", "node", "check"])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies met by one task count once
-        for batch, data, offs in slices(batches, 1):
+    def unseen(node: np.ndarray, seen: set[int]) -> np.ndarray:
+        """Whether each node is met for the first time; copies met by one task count once."""
+        new = np.zeros(len(node), bool)
+        for i, v in enumerate(node.tolist()):
+            if v not in seen:
+                new[i] = True
+                seen.add(v)
+        return new
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, data, offs in slices(batches, 1):
             h, bounds = shingle_sets(data, offs, t.k)
             node, _ = node_ids(h, bounds)
-            new = np.zeros(len(node), bool)
-            for i, v in enumerate(node.tolist()):
-                if v not in seen:
-                    new[i] = True
-                    seen.add(v)
             key, at, need = part_keys(h, bounds, t)
-            mine = new[at]
+            mine = unseen(node, seen)[at]
             key, at = key[mine], at[mine]
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(need[at], pa.int32())], ["key", "node", "need"])
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in slices(batches, 1):
+        for _, data, offs in slices(batches, 1):
             h, bounds = shingle_sets(data, offs, t.k)
             sets = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            node = pa.array(node_ids(h, bounds)[0])
-            out = pa.RecordBatch.from_arrays([node, pa.array(sets, pa.binary()), batch.column(3), batch.column(4)], ["node", "tokens", "lead", "leads"])
-            yield out.filter(pc.equal(node, batch.column(2)))  # another text of a repeated id is another node
+            yield pa.RecordBatch.from_arrays([pa.array(node_ids(h, bounds)[0]), pa.array(sets, pa.binary())], ["node", "tokens"])
 
     digests = stage(rows.mapInArrow(digest, "id long, n long, node long, check long"), "digests")
-    known = digests.where("n > 0 AND id IS NOT NULL")
-    nodes = known.groupBy("node").agg(F.min("id").alias("id"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    nodes = nodes.select("node", F.when(F.col("lo") == F.col("hi"), F.col("id")).otherwise(F.raise_error(F.lit("two shingle sets have one digest"))).alias("id"))
-
-    # rows of the matrix whose part two nodes or more have
-    part = Window.partitionBy("key")
-    matrix = rows.where("id IS NOT NULL").mapInArrow(tokens, "key long, node long, need int")
-    matrix = matrix.withColumns({"low": F.min("node").over(part), "high": F.max("node").over(part), "m": F.count("*").over(part)})
-    shared = stage(matrix.where("low < high").drop("low", "high"), "matrix")
-    # a node with fewer shared parts than a partner would share has no partner
-    ties = shared.groupBy("node").agg(F.sum("m").alias("ties"), F.count("*").alias("parts"), F.max("need").alias("least"))
-    ties = ties.where("parts >= least").select("node", "ties")
-    lead = shared.join(ties, "node").groupBy("key").agg(F.max(F.struct("ties", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
-    shared = stage(shared.drop("m").join(ties.select("node"), "node", "left_semi").join(lead, "key"), "leads")
-    stars = stage(shared.where("node <> lead").groupBy("node", "lead").count(), "stars")
-
-    best = stars.groupBy("node").agg(F.max(F.struct("count", (-F.col("lead")).alias("lead"))).alias("m")).select("node", (-F.col("m.lead")).alias("lead"))
-    leads = best.select(F.col("lead").alias("node")).distinct()
-    # a node without a star leads its parts, perhaps without being anybody's best leader; it can be open all the same
-    led = shared.select(F.col("lead").alias("node")).distinct().join(leads.withColumn("leads", F.lit(True)), "node", "left")
-    candidates = best.join(led, "node", "full").join(nodes, "node").select("id", "node", "lead", "leads")
-    sets = stage(rows.join(candidates, "id").select("id", "text", "node", "lead", "leads").mapInArrow(full_sets, "node long, tokens binary, lead long, leads boolean"), "sets")
-    if not digests.groupBy("id").count().where("count > 1").isEmpty():  # rows with a repeated id gave their sets again
-        sets = stage(sets.dropDuplicates(["node"]), "sets")
-    first = sets.where("lead IS NOT NULL").select(F.col("node").alias("a"), F.col("lead").alias("b"), F.col("tokens").alias("x"))
-    second = sets.where("leads").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    links = stage(_compare(first.join(second, "b"), t), "links")
+    copies = digests.where("n > 0 AND id IS NOT NULL").groupBy("node", "id").agg(F.count("*").alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    nodes = copies.groupBy("node").agg(F.min(F.struct("id", "copies")).alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own_id = F.when(F.col("lo") == F.col("hi"), F.col("first.id")).otherwise(F.raise_error(F.lit("two shingle sets have one digest")))
+    # a row that is repeated with id and text gives its set again
+    nodes = stage(nodes.select("node", own_id.alias("id"), (F.col("first.copies") > 1).alias("again")), "nodes")
+
+    # rows of the matrix whose key two nodes or more have
+    matrix = rows.where("id IS NOT NULL").mapInArrow(keys_of, "key long, node long, need int")
+    held = matrix.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("m")).where("low < high")
+    shared = stage(matrix.join(held.select("key", "m"), "key"), "shared")
+    # a node with fewer shared keys than a partner would share has no partner
+    own = Window.partitionBy("node")
+    ties = shared.withColumns({"ties": F.sum("m").over(own), "keys": F.count("*").over(own)}).where("keys >= need").select("key", "node", "need", "ties")
+    lead = ties.groupBy("key").agg(F.max(F.struct("ties", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
+    leads = stage(ties.drop("ties").join(lead, "key"), "leads")
+    discard(shared)
+    stars = stage(leads.where("node <> lead").groupBy("node", "lead").count(), "stars")
+    best = stars.groupBy("node").agg(F.max(F.struct("count", (-F.col("lead")).alias("lead"))).alias("m"))
+    best = stage(best.select(F.col("node").alias("a"), (-F.col("m.lead")).alias("b")), "best")
+
+    # sets of all nodes that share keys; of an id with several texts, all its sets
+    wanted = nodes.join(leads.select("node").distinct(), "node").select("id").distinct()
+    sets = stage(rows.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(full_sets, "node long, tokens binary"), "sets")
+    links = stage(_linked(best, sets, t), "links")
     groups = components(links)
+    discard(links)
 
     def group_of(df: DataFrame, node: str, name: str) -> DataFrame:
         """df with the group of its nodes: the component's root, or the node alone."""
         found = df.join(groups.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left")
         return found.withColumn(name, F.coalesce(name, node))
 
-    # parts whose nodes aren't all of one group, and the nodes with enough of them
+    # keys whose nodes aren't all of one group, and the nodes with enough of them
     loose = group_of(group_of(stars.select("node", "lead"), "node", "g"), "lead", "h").where("g <> h")
-    keys = shared.join(loose.select("node", "lead"), ["node", "lead"], "left_semi").select("key").distinct()
-    open_nodes = shared.join(keys, "key", "left_semi").select("node", "need", "key").distinct().groupBy("node", "need").count().where("count >= need")
-    open_nodes = group_of(open_nodes.select("node"), "node", "g")
+    keys = leads.join(loose.select("node", "lead"), ["node", "lead"], "left_semi").select("key").distinct()
+    open_nodes = leads.join(keys, "key", "left_semi").select("node", "need", "key").distinct().groupBy("node", "need").count().where("count >= need")
+    open_nodes = stage(group_of(open_nodes.select("node"), "node", "g").join(nodes.select("node", "again"), "node"), "open")
+    discard(leads, stars)
 
     def open_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,16 +222,14 @@ def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: st
             take = lambda c: batch.column(c).take(pa.array(of))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([take(0), take(1), pa.array(n[of], pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["node", "g", "n", "token"])
 
-    held = sets.join(open_nodes, "node").select("node", "g", "tokens")
-    rows_ = held.mapInArrow(open_tokens, "node long, g long, n int, token long")
-    one = Window.partitionBy("token")
-    rows_ = rows_.withColumns({"g0": F.min("g").over(one), "g1": F.max("g").over(one), "df": F.count("*").over(one)})
-    common = stage(rows_.where("g0 < g1").drop("g0", "g1"), "common")
+    held = sets.join(open_nodes, "node")
+    held = held.where("NOT again").select("node", "g", "tokens").unionByName(held.where("again").dropDuplicates(["node"]).select("node", "g", "tokens"))
+    union = held.mapInArrow(open_tokens, "node long, g long, n int, token long")
+    spread_ = union.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("df")).where("g0 < g1").select("token", "df")
+    common = union.join(spread_, "token")
     # of n shingles a node needs the first n - ceil(share * n) + 1; those of its group alone come before the common ones
-    left = common.groupBy("node").agg(F.count("*").cast("int").alias("c"), F.first("n").alias("m"))
-    left = left.select("node", "c", (F.col("c") - F.ceil(F.col("m") * t.of / t.over - 1e-9) + 1).alias("left")).where("left > 0")
-    order = Window.partitionBy("node").orderBy("df", "token")
-    first_ones = common.join(left, "node").withColumn("at", F.row_number().over(order)).where("at <= left")
+    order = own.orderBy("df", "token")
+    first_ones = common.withColumns({"c": F.count("*").over(own), "at": F.row_number().over(order)}).where(F.col("at") <= F.col("c") - F.ceil(F.col("n") * t.of / t.over - 1e-9) + 1)
     # rest: what it can share with a node that has none of its shingles before this one
     first_ones = stage(first_ones.select("token", "node", "g", "n", (F.col("c") - F.col("at") + 1).alias("rest")), "first")
 
@@ -254,20 +241,19 @@ def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: st
     opened = first_ones.join(row, "token").where((F.col("g") < F.col("to")) & can_link("rest", "n", "rest2", "n2"))
     members = first_ones.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("restb"), F.col("g").alias("to"))
     pairs = opened.join(members, ["token", "to"]).where(can_link("rest", "n", "restb", "nb")).select(F.col("node").alias("a"), "b").distinct()
-    tried = first.select("a", "b").join(second.select("b"), "b", "left_semi").select("a", "b")
-    pairs = stage(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
-    x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs, "a")
-    asked_for = pairs.select(F.col("b").alias("node")).distinct()
-    y = sets.join(asked_for, "node", "left_semi").select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    more = stage(_compare(x.join(y, "b"), t), "more-links")
-
+    pairs = stage(pairs.join(best.union(best.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
+    discard(first_ones, open_nodes, best)
+    more = stage(_linked(pairs, sets, t), "more-links")
     joined = components(group_of(group_of(more, "a", "g"), "b", "h").select(F.col("g").alias("a"), F.col("h").alias("b")))
+    discard(pairs, sets, more)
     root = group_of(nodes.select("node", "id"), "node", "g").join(joined.select(F.col("node").alias("g"), "root"), "g", "left")
     root = stage(root.select("node", "id", F.coalesce("root", "g").alias("root")), "roots")
+    discard(groups, joined, nodes)
     named = root.join(root.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "root", "component_id")
     out = digests.join(named, "node", "left")
     return out.select("id", "n", "node", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
+
 def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable over links, itself included.
 
@@ -287,21 +273,23 @@ def keep_one_of_each(docs: DataFrame, t: Threshold = Threshold(), id_col: str =
     with id and text stays as often as it is found.
     """
     comp = _components_of_rows(docs, t, id_col, text_col).where("id IS NOT NULL")
-    fates = comp.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("component_id").alias("component"))
+    fates = stage(comp.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("component_id").alias("component")), "fates")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     drop = fates.where("low = high AND component <> id").select(F.col("id").alias(id_col))
-    kept = docs.join(drop, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(drop, id_col, "left_anti").select(*columns)
     several = fates.where("low < high").select(F.col("id").alias(id_col))
     if several.isEmpty():
         return kept
+    node, first = unused(docs.columns, "_node"), unused(docs.columns, "_first")
     texts = comp.where("n > 0").join(several.select(F.col(id_col).alias("id")), "id", "left_semi")
-    one = texts.where(F.col("component_id") == F.col("id")).groupBy("id", "root").agg(F.min("node").alias("_node")).select(F.col("id").alias(id_col), "_node", F.lit(True).alias("_one"))
+    one = texts.where(F.col("component_id") == F.col("id")).groupBy("id", "root").agg(F.min("node").alias(node)).select(F.col("id").alias(id_col), node, F.lit(True).alias(first))
     at, fields = docs.columns.index(text_col), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches, at):
-            node, _ = node_ids(*shingle_sets(data, offs, t.k))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], [*batch.schema.names, "_node"])
+            digests, _ = node_ids(*shingle_sets(data, offs, t.k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests)], [*batch.schema.names, node])
 
-    mine = docs.join(several, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(digest, f"{fields}, `_node` long")
-    mine = mine.join(one, [id_col, "_node"], "left").where((F.col("_node") == 0) | F.col("_one")).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.join(several, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(mine)
+    mine = docs.join(several, id_col, "left_semi").select(*columns).mapInArrow(digest, f"{fields}, `{node}` long")
+    mine = mine.join(one, [id_col, node], "left").where((F.col(node) == 0) | F.col(first)).select(*columns)
+    return kept.join(several, id_col, "left_anti").select(*columns).unionByName(mine)
