@@ -22,9 +22,11 @@ from engram.llm.arrays import U64, mix, prefix_hash, slices, span_hash, spread,
 
 MARK, SPACE_BYTE = "▁".encode(), 0x20
 #: Remembered answers of may_follow() in a worker: a direct-mapped table of this many places.
-MEMO = 1 << 20
+MEMO = 1 << 19
 #: Units whose ids a worker remembers; it forgets all when there are more.
-UNITS = 500_000
+UNITS = 150_000
+#: Bytes of new units that one suffix array indexes (a longer unit has its own): its edges take some hundred bytes a byte.
+INDEX_BYTES = 128 << 10
 FAR = np.iinfo(np.int64).max
 
 
@@ -84,7 +86,7 @@ class PieceModel:
         self.space = self.id["▁"]
         self.longest_run = max(len(t) for t in self.id if not t.strip("▁"))
         self.runs = [[self.id[x] for x in self.merge("▁" * m)] for m in range(2 * self.longest_run + 1)]
-        self.unit_h, self.unit_at, self.unit_n, self.pool = np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3
+        self.unit_h, self.unit_at, self.unit_n, self.pool = np.zeros(0, U64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.int32)
         self.memo_key, self.memo = np.full(MEMO, -1, np.int64), np.zeros(MEMO, bool)
 
     def merge(self, t: str) -> list[str]:
@@ -259,21 +261,29 @@ class PieceModel:
     def _known(self, h: np.ndarray, own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and where in it the ids of each distinct unit (sorted hashes h) stand; units met before are looked up."""
         if len(self.unit_h) > UNITS:
-            self.unit_h, self.unit_at, self.unit_n, self.pool = h[:0], start[:0], start[:0], start[:0]
+            self.unit_h, self.unit_at, self.unit_n, self.pool = h[:0], start[:0], start[:0], self.pool[:0].copy()
         at = np.searchsorted(self.unit_h, h)
         new = np.ones(len(h), bool)
         inside = np.flatnonzero(at < len(self.unit_h))
         new[inside] = self.unit_h[at[inside]] != h[inside]
         s, lens = start[new], (stop - start)[new]
-        buf = np.zeros(int(lens.sum()) + len(s), np.uint8)
-        u = np.cumsum(lens + 1) - (lens + 1)
-        # NUL parts the units, so a NUL of the text is encoded as its byte beside them
-        buf[spread(u, lens)] = own[spread(s, lens)]
         nul = own[s] == 0
-        buf[u[nul]] = 1
-        ids, count = self.encode_units(buf, u, u + lens)
+        total = np.cumsum(lens + 1)
+        parts, a = [], 0
+        while a < len(s):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - lens[a] + INDEX_BYTES)))
+            n = lens[a:b]
+            u = np.cumsum(n + 1) - (n + 1)
+            # NUL parts the units, so a NUL of the text is encoded as its byte beside them
+            buf = np.zeros(int(n.sum()) + len(n), np.uint8)
+            buf[spread(u, n)] = own[spread(s[a:b], n)]
+            buf[u[nul[a:b]]] = 1
+            parts.append(self.encode_units(buf, u, u + n))
+            a = b
+        ids, count = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else ((), ())))
         first = np.cumsum(count) - count
         ids[first[nul]] = self.byte_id[0]
+        ids = ids.astype(np.int32)
         self.unit_h = np.insert(self.unit_h, at[new], h[new])
         self.unit_at = np.insert(self.unit_at, at[new], first + len(self.pool))
         self.unit_n = np.insert(self.unit_n, at[new], count)
@@ -298,7 +308,7 @@ class PieceModel:
         own[inner] = data
         n = len(own)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(texts, np.int64)
+            return np.zeros(0, np.int32), np.zeros(texts, np.int64)
         cut = np.zeros(n + 1, bool)
         cut[at] = True
         control, space = self.control[own], own == SPACE_BYTE
@@ -340,7 +350,7 @@ class PieceModel:
         table = [self.space_run(int(r)) for r in runs]
         t_count = np.array([len(t) for t in table], np.int64)
         t_at = np.cumsum(t_count) - t_count + len(ids)
-        pool = np.concatenate([ids, np.array([i for t in table for i in t], np.int64)])
+        pool = np.concatenate([ids, np.array([i for t in table for i in t], np.int32)])
         w_m, w_t = which[: len(m)], which[len(m) :]
         # order: spaces, unit, spaces, unit, ..., then a text's trailing spaces
         n_u = len(start)
