@@ -17,19 +17,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.arrays import slices
+from engram.llm.tables import discard, stage, unused
 
-#: Families of languages; fixed values.  A language that isn't listed is a family of its own.
+#: Families of languages; fixed values.  A language that isn't listed joins the family whose texts are nearest to its own.
 FAMILIES = {
-    "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
-    "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
-    "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
+    "germanic": ("af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
+    "romance": ("an", "ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"),
+    "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
+    "baltic": ("lt", "lv"),
+    "celtic": ("br", "cy", "ga", "gd"),
     "uralic": ("et", "fi", "hu"),
-    "turkic": ("az", "kk", "tr", "uz"),
+    "turkic": ("az", "ba", "kk", "ky", "tk", "tr", "tt", "ug", "uz"),
+    "indo-aryan": ("as", "bn", "gu", "hi", "mr", "ne", "or", "pa", "sa", "si", "ur"),
+    "iranian": ("fa", "ku", "ps", "tg"),
+    "dravidian": ("kn", "ml", "ta", "te"),
+    "semitic": ("am", "ar", "he", "mt"),
+    "austronesian": ("ceb", "fil", "id", "jv", "mg", "ms", "su", "tl"),
+    "sinitic": ("yue", "zh"),
+    "bantu": ("rw", "sw", "xh", "zu"),
 }
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 BINS = 2048
 #: Texts scored at once, so that their feature matrix stays small.
-ROWS = 512
+ROWS = 128
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -82,6 +92,8 @@ def linear_svm(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-3) -> np
 class LanguageModel:
     langs: list[str]
     families: list[str]
+    #: The family of each language.
+    family_of: list[str]
     #: For families and for languages: (index, index, weights) by pair.
     family_pairs: list[tuple[int, int, np.ndarray]]
     lang_pairs: list[tuple[int, int, np.ndarray]]
@@ -89,9 +101,12 @@ class LanguageModel:
     @staticmethod
     def fit(x: np.ndarray, lang: list[str]) -> LanguageModel:
         langs = sorted(set(lang))
-        family_of = [FAMILY.get(v, v) for v in langs]
-        families = sorted(set(family_of))
         own = np.array([langs.index(v) for v in lang], np.int64)
+        mean = np.stack([x[own == i].mean(0, dtype=np.float64) for i in range(len(langs))]) if langs else np.zeros((0, BINS))
+        listed = [i for i, v in enumerate(langs) if v in FAMILY]
+        near = [FAMILY[langs[listed[int((mean[listed] @ m).argmax())]]] if listed else "other" for m in mean]
+        family_of = [FAMILY.get(v, near[i]) for i, v in enumerate(langs)]
+        families = sorted(set(family_of))
         fam = np.array([families.index(family_of[i]) for i in own], np.int64)
 
         def machines(group: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
@@ -102,7 +117,7 @@ class LanguageModel:
             return out
 
         siblings = [(a, b) for a, b in combinations(range(len(langs)), 2) if family_of[a] == family_of[b]]
-        return LanguageModel(langs, families, machines(fam, list(combinations(range(len(families)), 2))), machines(own, siblings))
+        return LanguageModel(langs, families, family_of, machines(fam, list(combinations(range(len(families)), 2))), machines(own, siblings))
 
     @staticmethod
     def _vote(x: np.ndarray, pairs: list[tuple[int, int, np.ndarray]], members: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,30 +139,29 @@ class LanguageModel:
         out, score = np.zeros(len(x), np.int64), score.copy()
         for f, name in enumerate(self.families):
             rows = np.flatnonzero(fam == f)
-            members = [i for i, v in enumerate(self.langs) if FAMILY.get(v, v) == name]
+            members = [i for i, v in enumerate(self.family_of) if v == name]
             if len(rows):
                 out[rows], sure = self._vote(x[rows], self.lang_pairs, members, len(self.langs))
                 score[rows] *= sure
         return [self.langs[i] for i in out], score
 
 
-def fit_language_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, per_language: int = 400, max_languages: int = 64) -> LanguageModel:
+def fit_language_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, per_language: int = 400, max_rows: int = 25_600) -> LanguageModel:
     """A model of the languages in lang_col, from about per_language rows of each, drawn by a hash of key.
 
-    Rows without language or text are left out.  The rows' features (not their texts) come to the
-    driver: per_language x max_languages x 8 kB at most.  More languages than max_languages raise ValueError.
+    Rows without language or text are left out.  max_rows bounds the sample: where the languages are so many that
+    per_language of each are more, all give proportionately fewer, and one of which no row is drawn isn't learned.
+    The rows' features (not their texts) come to the driver: about max_rows x 8 kB at most.
     """
     key = F.monotonically_increasing_id() if key is None else key
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    if not counts:
-        return LanguageModel([], [], [], [])
-    rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
+    # a small table with a known size, however many languages there are
+    counts = stage(rows.groupBy("lang").count(), "languages")
+    asked = counts.agg(F.sum(F.least("count", F.lit(per_language)))).first()[0] or 0
+    rate = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")) * min(1.0, max_rows / max(asked, 1))
     u = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    drawn = rows.where(u < F.element_at(rate, F.col("lang"))).select("lang", "text")
+    drawn = rows.join(counts.select("lang", rate.alias("rate")), "lang").where(u < F.col("rate")).select("lang", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches, 1):
@@ -156,7 +170,10 @@ def fit_language_model(docs: DataFrame, lang_col: str = "lang", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["lang", "x"])
 
     got = drawn.mapInArrow(extract, "lang string, x binary").toPandas().sort_values(["lang", "x"])
+    discard(counts)
     keep = got.groupby("lang").head(2 * per_language)
+    if not len(keep):
+        return LanguageModel([], [], [], [], [])
     return LanguageModel.fit(np.stack([np.frombuffer(b, np.float32) for b in keep["x"]]), keep["lang"].tolist())
 
 
@@ -194,5 +211,6 @@ def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
     """Rows of docs whose language is known with min_score at least."""
-    out = identify_language(docs, model, text_col, "_lang_pred", "_lang_score")
-    return out.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = unused(docs.columns, "_lang_pred"), unused(docs.columns, "_lang_score")
+    out = identify_language(docs, model, text_col, lang, score)
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
