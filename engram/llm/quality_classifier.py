@@ -30,8 +30,6 @@ LABELLERS = (
     ("run_on", 0.985, 0.999),  # words that end without a stop
 )
 MIN_WORDS = 8
-#: A labeller's largest share of good documents called bad, an assumption of the label model.
-MAX_FALSE_BAD = 0.001
 BINS = 512
 ABSTAIN, GOOD, BAD = 0, 1, 2
 _SYMBOL = np.zeros(256, bool)
@@ -121,11 +119,10 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -50, 50)))
 
     @staticmethod
-    def fit(v: np.ndarray, weight: np.ndarray, rounds: int = 200, max_false_bad: float = MAX_FALSE_BAD) -> LabelModel:
-        """From distinct vote patterns and their counts.
+    def fit(v: np.ndarray, weight: np.ndarray, rounds: int = 200) -> LabelModel:
+        """From distinct vote patterns and their counts: all shares are estimated, each with one vote added on either side.
 
-        Junk is of several kinds, each seen by few labellers: so a labeller may miss most of it, but
-        calls at most max_false_bad of the good documents bad, whatever the counts suggest.
+        The start says which class is the good one: the larger, which labellers seldom call bad.
         """
         j = v.shape[1]
         table = np.zeros((j, 2, 3))
@@ -139,8 +136,6 @@ class LabelModel:
                     at = v[:, k] == vote
                     new[k, 0, vote], new[k, 1, vote] = (weight * good)[at].sum() + 1, (weight * (1 - good))[at].sum() + 1
                 new[k] /= new[k].sum(1, keepdims=True)
-                new[k, 0, BAD] = min(new[k, 0, BAD], max_false_bad)
-                new[k, 0, GOOD] = 1 - new[k, 0, BAD]
             prior = float(np.clip((weight * good).sum() / max(weight.sum(), 1), 0.01, 0.99))
             done = abs(prior - model.prior) < 1e-7 and np.abs(new - model.table).max() < 1e-7
             model = LabelModel(prior, new)
