@@ -1,8 +1,9 @@
 """Quality rules: counts of words, symbols and repetition, and divergence from language references.
 
 A document's histograms of character classes and of common words are compared with references
-of the languages by Jensen-Shannon distance (base 2, 0 to 1); the nearest reference counts.  A
-reference is the sum of the histograms of all documents of a language.  Texts too short for a
+of the languages by Jensen-Shannon distance (base 2, 0 to 1); the nearest reference counts.  The
+common words of a language are the most frequent ones of all its documents, and a reference is the
+sum of the histograms of all of them.  Texts too short for a
 histogram are guarded: that comparison is left out.
 """
 
@@ -13,12 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm.arrays import SPACE, U64, mix, prefix_hash, runs, shingles, slices, span_hash, sum_by, utf8, words
+from engram.llm.tables import discard, stage
 
-#: Common words of some languages; fixed values.  Their order is that of the histogram.
+#: Words of each language in the histogram, and the least share of its words that one of them has.
+COMMON, MIN_SHARE = 32, 0.001
+#: Common words of some languages, for other operators; fixed values.
 COMMON_WORDS = {
     "en": "the of and to in a is that for it was on with as be by this are from or have an at not but they his her you which",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach",
@@ -48,7 +52,7 @@ class QualityRules:
     #: Far by characters alone, or a little by characters and clearly by words.
     max_class_distance: float = 0.25
     near_class_distance: float = 0.12
-    max_word_distance: float = 0.28
+    max_word_distance: float = 0.33
 
 
 def common_hashes() -> np.ndarray:
@@ -68,8 +72,8 @@ def histograms(data: np.ndarray, offs: np.ndarray, common: np.ndarray) -> tuple[
     classes = np.bincount(doc[lead] * k + _CLASS[data[lead]], minlength=texts * k).reshape(texts, k)
     s, e, d = words(data, offs)
     h = span_hash(prefix_hash(data, lower=True), s, e)
-    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-    which = np.where(common[at] == h, at, len(common))
+    at = np.searchsorted(common, h)
+    which = np.where(np.append(common, U64(0))[at] == h, at, len(common))
     v = len(common) + 1
     return classes, np.bincount(d * v + which, minlength=texts * v).reshape(texts, v)
 
@@ -117,17 +121,50 @@ def repetition(data: np.ndarray, offs: np.ndarray, window: int = 5) -> tuple[np.
 
 @dataclass
 class LanguageReferences:
+    """Sorted hashes of the common words of all languages, and the two histograms of each language."""
+
+    common: np.ndarray
     classes: np.ndarray
     words: np.ndarray
 
 
+def common_words(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of the COMMON most frequent words (A-Z lower-cased) of each language, for rows (lang, text).
+
+    Tasks count by language and word and hand on partial sums; only words with MIN_SHARE of a language's words are
+    ranked, so COMMON a language come to the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in slices(batches, 1):
+            s, e, d = words(data, offs)
+            h = span_hash(prefix_hash(data, lower=True), s, e)
+            langs, own = np.unique(np.array(rows.column(0).to_pylist(), object), return_inverse=True)
+            order = np.lexsort((h, own[d]))
+            lang, h = own[d][order], h[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (lang[1:] != lang[:-1]) | (h[1:] != h[:-1])
+            at = np.flatnonzero(first)
+            n = np.diff(np.append(at, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(langs[lang[at]], pa.string()), pa.array(h[at].view(np.int64)), pa.array(n, pa.int64())], ["lang", "word", "n"])
+
+    sums = stage(rows.mapInArrow(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    total = sums.groupBy("lang").agg(F.sum("n").alias("total"))
+    often = sums.join(total, "lang").where(F.col("n") >= F.col("total") * MIN_SHARE)
+    best = often.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= COMMON)
+    got = best.select("word").distinct().toPandas()["word"].to_numpy(np.int64).view(U64)
+    discard(sums)
+    return np.sort(got)
+
+
 def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageReferences:
     """References of every language of the labelled rows, from all their texts.
 
-    The driver gets one row of about 1 KB of counts for each language, however few its rows are.
+    The driver gets one row of counts for each language, however few its rows are, as wide as there are common words.
     Rows without language or text are left out; without any, the references are empty.
     """
-    common = common_hashes()
+    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    common = common_words(rows)
     k, v = len(CLASSES), len(common) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +186,9 @@ def fit_references(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *[pa.array([t[i] for t in total.values()], pa.int64()) for i in range(k + v)]], names)
 
     names = ["lang", *[f"c{i}" for i in range(k + v)]]
-    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sums = rows.mapInArrow(count, ", ".join(f"{n} {'string' if n == 'lang' else 'long'}" for n in names)).groupBy("lang").agg(*[F.sum(n).alias(n) for n in names[1:]])
     m = sums.orderBy("lang").toPandas()[names[1:]].to_numpy(np.float64)
-    return LanguageReferences(m[:, :k], m[:, k:])
+    return LanguageReferences(common, m[:, :k], m[:, k:])
 
 
 def quality_rules(docs: DataFrame, references: LanguageReferences, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +198,7 @@ def quality_rules(docs: DataFrame, references: LanguageReferences, rules: Qualit
     leaves out is null.  Null ids and repeated rows stay; other columns are left out.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    common = common_hashes()
+    common = references.common
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches, 1):
