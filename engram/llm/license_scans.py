@@ -4,6 +4,8 @@ Every line, every paragraph and the whole text of a document is a segment.  A se
 distinct bigrams can reach Dice >= t with a template of b only if t / (2 - t) <= a / b <= (2 - t) / t;
 other templates are pruned before anything is compared.  Where one segment reaches templates of
 several licences (versions of one notice differ in a word), only the nearest licence counts.
+What these segments leave is searched by windows within the same size bounds, which begin and end with a
+bigram of the template: they find a notice inside a longer line or paragraph.
 """
 
 from __future__ import annotations
@@ -16,6 +18,18 @@ from pyspark.sql import DataFrame
 
 from engram.llm.arrays import distinct, mix, prefix_hash, runs, slices, span_hash, spread, utf8
 
+#: Texts of public licences, in parts that several of them share; fixed values.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_TEXTS = {"MIT": _MIT, "BSD-2-Clause": f"{_BSD}\n{_BSD_END}", "BSD-3-Clause": f"{_BSD}\n{_BSD_THIRD}\n{_BSD_END}", "ISC": _ISC}
 #: Notices of public licences; fixed values.
 _NOTICES = {
     "MIT": ("Released under the MIT License.", "This project is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -55,8 +69,8 @@ for _short, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike")
         _CALLED[f"CC-{_short}-{_v}"] = (f"CC {_short} {_v}", f"a CC {_short} {_v} License", f"the CC {_short} {_v} License", *(f"{a} Creative Commons {_long} {_v}{x} License" for a in ("a", "the") for x in (f" {_port}", "")))
 _SENTENCES = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This project is licensed under {}.", "This software is licensed under {}.")
 
-#: Notices and short forms by SPDX name.
-TEMPLATES = {k: tuple(dict.fromkeys((*_NOTICES.get(k, ()), *(x.format(c) for c in _CALLED.get(k, ()) for x in _SENTENCES), f"SPDX-License-Identifier: {k}"))) for k in {**_NOTICES, **_CALLED}}
+#: Notices, whole texts and short forms by SPDX name.
+TEMPLATES = {k: tuple(dict.fromkeys((*_NOTICES.get(k, ()), *((_TEXTS[k].replace("\n", " "),) if k in _TEXTS else ()), *(x.format(c) for c in _CALLED.get(k, ()) for x in _SENTENCES), f"SPDX-License-Identifier: {k}"))) for k in {**_NOTICES, **_CALLED}}
 
 #: Bytes of a normalised word: ASCII letters and digits, and all of UTF-8's multi-byte characters.
 _WORD = np.zeros(256, bool)
@@ -101,22 +115,74 @@ class Templates:
         h, s, _ = _bigrams(data, offs)
         self.h, bounds = distinct(h, np.searchsorted(offs, s, "right") - 1, len(self.names))
         self.size = np.diff(bounds)
+        self.sets = [self.h[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         self.of = np.repeat(np.arange(len(self.names)), self.size)
         order = np.argsort(self.h, kind="stable")
         self.h, self.of = self.h[order], self.of[order]
 
 
+#: Starts of windows looked at together.
+STARTS = 4096
+
+
+def _windows(h: np.ndarray, free: np.ndarray, t: Templates, threshold: float) -> list[tuple[float, int, int, int]]:
+    """(dice, first, last, template): the best window of each template that reaches threshold, over bigrams h of one text that are free.
+
+    A window begins and ends with a bigram of its template and holds no bigram that isn't free.  Of windows that
+    overlap, those of the largest Dice stay.
+    """
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
+    at = np.flatnonzero(free & np.isin(h, t.h))
+    if not len(at):
+        return []
+    j = np.searchsorted(t.h, h[at])
+    n = np.searchsorted(t.h, h[at], "right") - j
+    hit, which = np.repeat(at, n), t.of[spread(j, n)]
+    distinct_hits = np.bincount(np.unique(np.stack([which.astype(np.int64), h[hit].view(np.int64)]), axis=1)[0].astype(np.int64), minlength=len(t.size))
+    # of a window of a bigrams, threshold * (a + b) / 2 are the template's, and a >= low * b
+    found = []
+    barrier = np.concatenate([[0], np.cumsum(~free)])
+    for k in np.flatnonzero((distinct_hits >= np.ceil(threshold * t.size * (1 + low) / 2 - 1e-9)) & (t.size > 0)).tolist():
+        pos, b = hit[which == k], int(t.size[k])
+        reach = np.searchsorted(pos, pos + int(high * b) + 1)  # distinct bigrams are no more than bigrams
+        wide = int((reach - np.arange(len(pos))).max())
+        best: tuple[float, int, int, int] | None = None
+        for a in range(0, len(pos), STARTS):
+            i = np.arange(a, min(a + STARTS, len(pos)))
+            ends = np.minimum(i[:, None] + np.arange(wide), len(pos) - 1)
+            length = pos[ends] - pos[i][:, None] + 1
+            score = 2 * np.arange(1, wide + 1) / (length + b)
+            bad = (i[:, None] + np.arange(wide) >= reach[i][:, None]) | (barrier[pos[ends] + 1] != barrier[pos[i]][:, None]) | (length < low * b)
+            score = np.where(bad, 0, score)
+            to = score.argmax(1)
+            for x in np.flatnonzero(score[np.arange(len(i)), to] >= threshold - 1e-9).tolist():
+                first, last = int(pos[i[x]]), int(pos[ends[x, to[x]]])
+                own = np.unique(h[first : last + 1])
+                dice = 2 * len(np.intersect1d(own, t.sets[k], assume_unique=True)) / (len(own) + b)
+                if dice >= threshold - 1e-12:
+                    now = (-dice, first, last, k)
+                    best = now if best is None else min(best, now)
+        if best:
+            found.append(best)
+    kept: list[tuple[float, int, int, int]] = []
+    for w in sorted(found):
+        if not any(x[0] < w[0] and x[1] <= w[2] and w[1] <= x[2] for x in kept):
+            kept.append(w)
+    return [(-d, a, b, k) for d, a, b, k in kept]
+
+
 def license_scans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, license, dice, segment_start, segment_end (UTF-8 byte offsets): the best segment for each licence found.
 
     Words are runs of ASCII letters and digits or non-ASCII characters, A-Z lower-cased.  A null or
     empty text, or one of fewer than two words, gives no row.  Ties go to the earliest, then the shortest segment.
+    A window counts where no segment reaches threshold, and of overlapping windows those of the largest Dice.
     A segment counts for the licence of its nearest template; where several licences are equally near, for each.
     Rows with a repeated id are scanned one by one.  Templates are a parameter held in memory.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     t = Templates(templates)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches, 1):
@@ -129,6 +195,7 @@ def license_scans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
             # n distinct bigrams at most, so the Dice of a segment is bounded by its hits before sorting it
             some = np.flatnonzero((last > first) & (hits[np.maximum(last, first)] - hits[first] > 0))
             found: dict[tuple[int, int], tuple[float, int, int]] = {}
+            free = np.ones(len(h), bool)
             for i in some.tolist():
                 a = np.unique(h[first[i] : last[i]])
                 size = len(a)
@@ -139,10 +206,18 @@ def license_scans(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
                 n = np.searchsorted(t.h, a, "right") - j
                 both = np.bincount(t.of[spread(j, n)], minlength=len(t.size))
                 dice = np.where(fits, 2 * both / (size + t.size), 0)
+                if dice.max() >= threshold:
+                    free[first[i] : last[i]] = False
                 for k in np.flatnonzero((dice >= threshold) & (dice == dice.max())).tolist():
                     key = (int(d[i]), k)
                     best = (-float(dice[k]), int(s[i] - offs[d[i]]), int(e[i] - offs[d[i]]))
                     found[key] = min(found.get(key, best), best)
+            row_of = np.searchsorted(offs, at, "right") - 1
+            for row in np.unique(row_of[known & free]).tolist():
+                lo, hi = np.searchsorted(row_of, row), np.searchsorted(row_of, row, "right")
+                for dice, a, b, k in _windows(h[lo:hi], free[lo:hi], t, threshold):
+                    best = (-dice, int(at[lo + a] - offs[row]), int(to[lo + b] - offs[row]))
+                    found[row, k] = min(found.get((row, k), best), best)
             by_name: dict[tuple[int, str], tuple[float, int, int]] = {}
             for (row, k), best in found.items():
                 key = (row, t.names[k])
