@@ -209,3 +209,47 @@ def test_leaks_odd_rows(spark):
     assert find_leaks(odd_docs(spark), items).count() == 2
     assert find_leaks(empty_docs(spark), items).count() == 0
     assert find_leaks(odd_docs(spark), items.limit(0)).count() == 0 and drop_leaked(odd_docs(spark), items.limit(0)).count() == 9
+
+
+def test_large_groups_and_hot_ids(spark, monkeypatch):
+    """More nodes with one leader than a hand holds, one id with many texts, many copies of one text."""
+    from engram.llm import jaccard_groups
+
+    monkeypatch.setattr(jaccard_groups, "HAND", 8)
+    rng = random.Random(61)
+    base = prose(rng, 120, 9000).split()
+    docs = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"v{i}"
+        docs.append((i, " ".join(w)))
+    docs += [(100 + i, docs[0][1]) for i in range(50)] + [(500 + i, prose(rng, 40, 9000)) for i in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), Threshold(5, 80)).collect()}
+    assert got == brute_components(docs, Threshold(5, 80))
+    hot = [(7, t) for _, t in docs[:40]] + [(i, t) for i, t in docs[110:]] + [(8, docs[110][1] + " end")]
+    df = spark.createDataFrame(hot, "doc_id long, text string")
+    roots = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_components(df, Threshold(5, 80)).where("doc_id IN (7, 8)").collect()}
+    assert all(c == 7 for (i, _), c in roots.items() if i == 7) and [c for (i, _), c in roots.items() if i == 8] == [8]
+    assert keep_one_of_each(df, Threshold(5, 80)).where("doc_id = 7").count() == 1
+
+
+def test_repeated_items_and_index_pieces(spark, monkeypatch):
+    """Items that repeat make one entry of the index and a row each; looking up block by block in pieces changes nothing."""
+    from engram.llm import decontamination
+
+    rng = random.Random(62)
+    items = [(i, prose(rng, 30, 900)) for i in range(20)]
+    docs = [(i, prose(rng, 20, 900) + " " + items[i % 20][1]) for i in range(30)]
+    sd, si = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + [(90 + i, items[0][1]) for i in range(5)] + [items[1]], "item_id long, text string")
+    want = {(d, i) for d, i in brute_leaks(docs, items)}
+    got = [(r["doc_id"], r["item_id"]) for r in find_leaks(sd, si, limit=400).collect()]
+    assert {x for x in got if x[1] < 90} == want and sum(i == 1 for _, i in got) == 2 * sum(i == 1 for _, i in want) and sum(i >= 90 for _, i in got) == 5 * sum(i == 0 for _, i in want)
+    import numpy as np
+
+    prints = np.random.default_rng(1).integers(0, 2**64, 300, dtype=np.uint64)
+    index = decontamination.MultiIndex(prints, 20)
+    query = np.concatenate([prints[:50] ^ np.uint64(7), np.random.default_rng(2).integers(0, 2**64, 50, dtype=np.uint64)])
+    monkeypatch.setattr(decontamination, "PAIRS", 900)
+    q, p = index.within(query)
+    brute = {(i, j) for i in range(len(query)) for j in range(len(prints)) if int(query[i] ^ prints[j]).bit_count() <= 20}
+    assert set(zip(q.tolist(), p.tolist())) == brute

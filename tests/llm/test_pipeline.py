@@ -52,3 +52,17 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert len(leaked) > 5 and len(kept) < len(known)
     got = {r["doc_id"]: (r["n_pieces"], r["pieces_sha256"]) for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    """No documents give no rows; columns named like those inside the stages come through all but the last."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _lang_pred string, _node long, _new string, _spans int, component_id long"
+    rows = [(i, f"the house of the {i} water and the wood number {i * 7} of many", "en", "s", 1, "a", 2, "b", 3, 4) for i in range(30)]
+    for name, own in (("none", []), ("some", rows)):
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, f in pipeline.STAGES[:-1]:
+            docs = f(spark, docs, f"{tmp_path}/{name}")
+            assert docs.columns == schema.replace(",", "").split()[::2]
+        assert docs.count() == len(own) and pipeline.run(spark, f"{tmp_path}/{name}").count() == len(own)
