@@ -377,3 +377,51 @@ def replay_order(spark, sf_dir):
 def proactive_hits(spark, sf_dir):
     sem, e = cut(semantic(spark, sf_dir)), cut(edges(spark, sf_dir))
     return evaluation.proactive_hits(c._guarded(spark, sf_dir, sem, e), c._gold(spark, sf_dir), sem)
+
+
+# ---- triggers of sections, consolidation, evaluation of examples
+
+@register(f"""WITH {_TITLED}, t0 AS (SELECT id || '::s' || section AS key, regexp_replace(title || chr(10) || body, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS content FROM sec WHERE NOT contains(body, '## ')),
+  t AS (SELECT key, 2 AS part, content AS t FROM t0 UNION ALL SELECT key, 3, lower(split_part(content, '.', 1)) FROM t0), n AS ({c._numbered('t', 'key')}),
+  f AS (SELECT key, lower(w) AS w, min(part::BIGINT * 1000000000 + pos) AS ord FROM n WHERE (part <> 2 OR {c._MARKED}) AND length(w) >= 3 AND lower(w) NOT IN {c._STOP} GROUP BY ALL)
+  SELECT 'trigger_' || key || '_0' AS id, string_agg(w, ' ' ORDER BY ord) AS pattern, key AS associated_node_id FROM f GROUP BY key""")
+def section_triggers(spark, sf_dir):
+    none = lambda t: F.lit(None).cast("array<double>")
+    s = ingest.sections(_titled(spark, sf_dir), none).where("NOT contains(content, '## ')")
+    t = ingest.explicit_triggers(s.select("id", F.concat_ws("\n", "title", "content").alias("content")), none)
+    return t.select("id", F.array_join("pattern", " ").alias("pattern"), "associated_node_id")
+
+
+@register(f"""WITH {c._S}, {c._E}, {c._EC}, {c._EP}, m AS (SELECT a.k AS source_id, b.k AS target_id, count(*)::BIGINT AS m FROM u a JOIN u b ON a.seq = b.seq AND a.k <> b.k GROUP BY ALL),
+  d AS (SELECT *, CASE WHEN weight > (CASE WHEN n >= 15 THEN 0.02::DOUBLE * 0.1::DOUBLE ELSE 0.02::DOUBLE END) THEN weight - (CASE WHEN n >= 15 THEN 0.02::DOUBLE * 0.1::DOUBLE ELSE 0.02::DOUBLE END) ELSE weight END AS w1 FROM ec),
+  pr AS (SELECT *, CASE WHEN w1 < 0.05 THEN 0 ELSE w1 END AS w2 FROM d), cp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source_id ORDER BY w2 DESC, target_id) > 20 THEN 0 ELSE w2 END AS w3 FROM pr),
+  rp AS (SELECT source_id, target_id, edge_type AS old, least(w3 + coalesce(m, 0) * 0.1::DOUBLE * 0.5::DOUBLE, 1) AS w, n + coalesce(m, 0) AS cnt FROM cp LEFT JOIN m USING (source_id, target_id)),
+  pm AS (SELECT *, CASE WHEN old = 'diffuse' AND cnt >= 3 THEN 'soft' WHEN old = 'soft' AND cnt >= 6 THEN 'hard' ELSE old END AS kind FROM rp),
+  br AS (SELECT l.target_id AS a, r.target_id AS c, sqrt(l.w * r.w) AS mean FROM pm l JOIN pm r ON l.source_id = r.source_id AND l.target_id <> r.target_id
+    WHERE l.w >= 0.4 AND r.w >= 0.4 AND (l.w > r.w OR (l.w = r.w AND l.target_id < r.target_id)) AND NOT EXISTS (SELECT 1 FROM pm x WHERE x.source_id = l.target_id AND x.target_id = r.target_id) AND sqrt(l.w * r.w) >= 0.15
+    QUALIFY row_number() OVER (PARTITION BY least(l.target_id, r.target_id), greatest(l.target_id, r.target_id) ORDER BY l.source_id, l.target_id) = 1),
+  nw AS (SELECT a AS source_id, c AS target_id, round(mean * 0.5, 6) AS w FROM br UNION ALL SELECT c, a, round(mean * 0.5, 6) FROM br)
+  SELECT source_id, target_id, round(w, 6) AS weight, kind AS edge_type, cnt AS co_activation_count FROM pm WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.source_id = pm.source_id AND nw.target_id = pm.target_id)
+  UNION ALL SELECT source_id, target_id, w, 'diffuse', 0 FROM nw""")
+def consolidated_edges(spark, sf_dir):
+    """The whole offline pass: decay, replay, promotion, bridges at the default thresholds, mining."""
+    none = spark.createDataFrame([], "id string, pattern array<string>, pattern_embedding array<float>, associated_node_id long, confidence double, fire_count int, useful_count int, origin string")
+    out, _ = learning.consolidate(cut(inputs.counted_edges(spark, sf_dir)), none, cut(_embedded(spark, sf_dir)), cut, -1, CFG)
+    return out.select("source_id", "target_id", F.round("weight", 6).alias("weight"), "edge_type", "co_activation_count")
+
+
+@register(f"""WITH t1 AS (SELECT item_id AS id, text FROM benchmark), t2 AS (SELECT item_id AS id, 'Item ' || item_id || ': ' || text AS text FROM benchmark), {c._HASH.format(1)}, {c._HASH.format(2)},
+  m AS (SELECT a.id AS q, b.id AS d, row_number() OVER (PARTITION BY a.id ORDER BY {c._cos('a', 'b')} DESC, a.id || '/d' || b.id) AS rank FROM v1 a JOIN v2 b ON a.id // 5 = b.id // 5),
+  k AS (SELECT unnest([1, 3, 5]) AS k), h AS (SELECT q, k, count(*) AS r, count(*) FILTER (q = d) AS hit FROM m CROSS JOIN k WHERE rank <= least(k, 5) GROUP BY ALL)
+  SELECT q::VARCHAR AS query_id, 'items' AS benchmark, CASE q % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS category, metric, round(value, 6)::DOUBLE AS value FROM (
+    SELECT q, 'recall@' || k AS metric, hit::DOUBLE AS value FROM h UNION ALL SELECT q, 'precision@' || k, hit / r FROM h UNION ALL SELECT q, 'support_f1', 2 * hit / (r + 1) FROM h WHERE k = 5)""")
+def evaluated_examples(spark, sf_dir):
+    """Each item against the documents of its own example, from vectors to metrics."""
+    from engram.operators import harness
+
+    b = table(spark, sf_dir, "benchmark").withColumn("set", F.floor(F.col("item_id") / 5))
+    name = F.concat(F.lit("d"), "item_id")
+    docs = b.groupBy("set").agg(F.collect_list(F.struct(name.alias("id"), F.concat(F.lit("Item "), "item_id").alias("title"), "text", F.lit(False).alias("is_supporting"))).alias("documents"))
+    kind = F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd")
+    ex = b.join(docs, "set").select(F.col("item_id").cast("string").alias("id"), F.lit("items").alias("benchmark"), F.col("text").alias("query"), "documents", F.array(name).alias("supporting_doc_ids"), kind.alias("category"))
+    return harness.evaluate_examples(ex, 5, ablations()["flat"], ingest.hashed_embedding).withColumn("value", F.round("value", 6))
