@@ -103,3 +103,43 @@ def test_config():
     assert MemoryConfig().variant == "full" and len(ablations()) == 6
     with pytest.raises(ValueError):
         MemoryConfig(strengthen_rate=2)
+
+
+def test_diffuse_walk_equals_brute_force(spark):
+    """Walk by walk over a small graph, with the operator's own uniforms: weights by temperature and novelty."""
+    import math
+    import random
+
+    cfg = MemoryConfig(diffuse_temperature=0.7, novelty_penalty=0.8, diffuse_top_k=3)
+    rng = random.Random(4)
+    nodes, queries = list(range(12)), [1, 2]
+    edges = {(a, b): round(rng.uniform(0.1, 1), 3) for a in nodes for b in rng.sample(nodes, 4) if a != b}
+    edges[0, 11] = 0.0
+    access = {n: rng.randrange(4) for n in nodes if n != 5}
+    entries = {1: [0, 3], 2: [7]}
+    visited = {1: {0, 3, 4}, 2: {7}}
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "source_id long, target_id long, weight double")
+    pairs = lambda d: spark.createDataFrame([(q, n) for q, x in d.items() for n in x], "query_id long, id long")
+    got = graph.diffuse_walk(pairs(entries), e, pairs(visited), spark.createDataFrame(list(access.items()), "id long, access_count int"), cfg)
+
+    walks = 3 * cfg.diffuse_top_k
+    u = lambda *c: (F.pmod(F.xxhash64(*c, F.lit(cfg.seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    grid = spark.createDataFrame([(q, w, n) for q in queries for w in range(1, walks + 1) for n in nodes], "query_id long, walk int, id long")
+    cols = [u("query_id", "walk").alias("a"), u("query_id", "walk", "id").alias("b"), *[u("query_id", "walk", "id", F.lit(s)).alias(f"s{s}") for s in (1, 2, 3)]]
+    draws = {(r["query_id"], r["walk"], r["id"]): r for r in grid.select("*", *cols).collect()}
+    want = set()
+    for q in queries:
+        first: dict[int, list[int]] = {}
+        for w in range(1, walks + 1):
+            at = min(entries[q], key=lambda n: draws[q, w, n]["b"])
+            for step in range(1, 3 + (draws[q, w, 0]["a"] >= 0.5)):
+                ways = [(math.log(draws[q, w, b][f"s{step}"]) / (x ** (1 / 0.7) / (1 + access.get(b, 0) * 0.8)), -b) for (a, b), x in edges.items() if a == at and x > 0 and b not in visited[q]]
+                if not ways:
+                    break
+                at = -max(ways)[1]
+                old = first.setdefault(at, [w, step])
+                first[at] = [min(old[0], w), min(old[1], step)]
+        want |= {(q, n) for n in sorted(first, key=lambda n: (*first[n], n))[: cfg.diffuse_top_k]}
+    assert {(r["query_id"], r["id"]) for r in got.collect()} == want and len(want) == 6
+    assert graph.diffuse_walk(pairs(entries), e, pairs(visited), None, MemoryConfig(diffuse_top_k=0)).count() == 0
+    assert graph.focused_bfs(pairs(entries).withColumn("rank", F.lit(1)), e, MemoryConfig(focused_max_depth=0)).count() == 0
