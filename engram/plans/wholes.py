@@ -425,3 +425,28 @@ def evaluated_examples(spark, sf_dir):
     kind = F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd")
     ex = b.join(docs, "set").select(F.col("item_id").cast("string").alias("id"), F.lit("items").alias("benchmark"), F.col("text").alias("query"), "documents", F.array(name).alias("supporting_doc_ids"), kind.alias("category"))
     return harness.evaluate_examples(ex, 5, ablations()["flat"], ingest.hashed_embedding).withColumn("value", F.round("value", 6))
+
+
+_TICK = 360
+
+
+@register(f"""WITH RECURSIVE {c._S}, {c._E}, {c._EC}, {c._EP}, lim AS (SELECT min(seq) // {_TICK} AS t0, max(seq) // {_TICK} AS t1, (max(seq) + 1) % {_TICK} = 0 AS whole FROM ev),
+  ops AS (SELECT a.k AS source_id, b.k AS target_id, 2 * a.seq AS moment, 'up' AS op FROM u a JOIN u b ON a.seq = b.seq AND a.k <> b.k
+    UNION ALL SELECT u.k, x.k, 2 * u.seq, 'down' FROM u JOIN x USING (seq) UNION ALL SELECT x.k, u.k, 2 * u.seq, 'down' FROM u JOIN x USING (seq)),
+  ids AS (SELECT DISTINCT source_id, target_id FROM (SELECT source_id, target_id FROM ops UNION ALL SELECT source_id, target_id FROM ec)),
+  timed AS (SELECT * FROM ops UNION ALL SELECT source_id, target_id, 2 * {_TICK} * (t + 1) - 1, 'tick' FROM ids CROSS JOIN (SELECT unnest(range(t0, t1 + whole::INT)) AS t FROM lim)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY moment) AS i FROM timed),
+  f AS (SELECT source_id, target_id, 0::BIGINT AS i, weight AS w, n AS c, edge_type AS t FROM ec
+    UNION ALL SELECT source_id, target_id, 0::BIGINT, NULL::DOUBLE, NULL::BIGINT, NULL::VARCHAR FROM ids WHERE NOT EXISTS (SELECT 1 FROM ec WHERE ec.source_id = ids.source_id AND ec.target_id = ids.target_id)
+    UNION ALL SELECT f.source_id, f.target_id, o.i,
+      CASE WHEN o.op = 'up' THEN CASE WHEN f.w IS NULL THEN 0.2 ELSE least(f.w + 0.1, 1.0) END WHEN f.w IS NULL THEN NULL WHEN o.op = 'down' THEN greatest(f.w - 0.05, 0.0)
+        ELSE (SELECT CASE WHEN v < 0.05 THEN 0 ELSE v END FROM (SELECT CASE WHEN f.w > (CASE WHEN f.c >= 15 THEN 0.002 ELSE 0.02 END) THEN f.w - (CASE WHEN f.c >= 15 THEN 0.002 ELSE 0.02 END) ELSE f.w END AS v)) END,
+      CASE WHEN o.op = 'up' THEN CASE WHEN f.w IS NULL THEN 0 ELSE f.c + 1 END ELSE f.c END,
+      CASE WHEN o.op = 'up' AND f.w IS NULL THEN 'diffuse' WHEN o.op = 'up' AND f.t = 'diffuse' AND f.c + 1 >= 3 THEN 'soft' WHEN o.op = 'up' AND f.t = 'soft' AND f.c + 1 >= 6 THEN 'hard' ELSE f.t END
+    FROM f JOIN o ON o.source_id = f.source_id AND o.target_id = f.target_id AND o.i = f.i + 1)
+  SELECT source_id, target_id, round(w, 6) AS weight, c AS co_activation_count, t AS edge_type FROM f WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY i DESC) = 1""")
+def updated_edges(spark, sf_dir):
+    """Online learning over all episodes, with decay cycles between ticks; no source has so many edges that the cap acts."""
+    none = spark.createDataFrame([], "id string, pattern array<string>, pattern_embedding array<float>, associated_node_id long, confidence double, fire_count int, useful_count int, origin string")
+    out, _ = learning.learn(cut(inputs.counted_edges(spark, sf_dir)), none, cut(_embedded(spark, sf_dir)), cut, replace(CFG, tick_every=_TICK, out_degree_cap=1 << 20))
+    return out.select("source_id", "target_id", F.round("weight", 6).alias("weight"), "co_activation_count", "edge_type")
