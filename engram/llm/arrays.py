@@ -7,6 +7,7 @@ into it, so nothing is done per word in Python.  Words are maximal runs of bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay between tasks, and would keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches cut by SLICE_BYTES of the text column: (rows, bytes, offsets)."""
     for batch in batches:
@@ -74,6 +83,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Re
             to = min(max(to, at + 1), n)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+    give_back()
 
 
 def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
