@@ -149,11 +149,12 @@ def common_words(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(langs[lang[at]], pa.string()), pa.array(h[at].view(np.int64)), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
     sums = stage(rows.mapInArrow(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    total = sums.groupBy("lang").agg(F.sum("n").alias("total"))
+    # a table of known size, a row a language: where it is small, no word is shuffled by its language
+    total = stage(sums.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     often = sums.join(total, "lang").where(F.col("n") >= F.col("total") * MIN_SHARE)
     best = often.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= COMMON)
     got = best.select("word").distinct().toPandas()["word"].to_numpy(np.int64).view(U64)
-    discard(sums)
+    discard(sums, total)
     return np.sort(got)
 
 
