@@ -78,3 +78,28 @@ def test_stream(spark, tmp_path):
     last = spark.read.parquet(str(tmp_path / "edges/v3")).where("source_id = 'a'").first()
     assert (last["co_activation_count"], round(last["weight"], 6)) == (2, 0.4)
     assert spark.read.parquet(str(tmp_path / "triggers/v3")).first()["useful_count"] == 3
+
+
+def test_gate_failures_are_counted(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.4)], "query_id long, id long, score double").coalesce(1)
+    failures = spark.sparkContext.accumulator(0)
+
+    def broken(rows):
+        raise RuntimeError("no model")
+
+    assert gate.gated(df, broken, failures=failures).count() == 2 and failures.value == 1
+
+
+def test_wide_vectors_count_tokens(spark):
+    """The dense vector of any size equals counts slot by slot; null stays null and no token gives zeros."""
+    import hashlib
+
+    rows = [(0, "red lamp red Boat"), (1, ""), (2, None), (3, "x1 y2 z3 " * 50)]
+    df = spark.createDataFrame(rows, "id int, text string").select("id", ingest.hashed_embedding(F.col("text"), 7).alias("a"), ingest.wide_embedding(F.col("text")).alias("b"))
+    for r in df.collect():
+        text = rows[r["id"]][1]
+        for got, size in ((r["a"], 7), (r["b"], ingest.WIDE)):
+            want = None if text is None else [0.0] * size
+            for t in [w for w in (text or "").lower().split()]:
+                want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % size] += 1
+            assert got == want
