@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: op1 to op10 over their whole tables, and their SQL."""
+"""The registered queries of this subpackage: op1 to op13 over their whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import chat_format, decontamination, jaccard_groups, language_id, license_scans, quality_classifier, quality_rules, secret_scans, sentencepiece_arrays, token_counts
+from engram.llm import alignment, chat_format, decontamination, jaccard_groups, language_id, license_scans, quality_classifier, quality_rules, secret_scans, sentencepiece_arrays, token_counts
 from engram.llm.tables import documents
 
 
@@ -65,7 +65,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(docs, quality_classifier.fit_quality_model(docs, key=F.col("doc_id")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_secret_scans, op4_decontamination, op5_quality_rules, op6_ngram_jaccard, op7_sentencepiece, op8_chat_format, op9_language_id, op10_quality_classifier)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_secret_scans, op4_decontamination, op5_quality_rules, op6_ngram_jaccard, op7_sentencepiece, op8_chat_format, op9_language_id, op10_quality_classifier, op13_alignment)}
 
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {
