@@ -65,13 +65,18 @@ def format_chats(turns: DataFrame, template: ChatTemplate = ChatTemplate(), conv
 
 def read_chats(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Column:
     """The turns (array of role, text) that a formatted text holds."""
-    t = template
-    head = "(?s)^" + re.escape(t.before) + r"((?:\\.|[^\\" + re.escape(t.after[0]) + r"])*)" + re.escape(t.after)
+    t, mark = template, template.after[0]
     parts = F.split(formatted, re.escape(t.close), -1)
     parts = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+
     def turn(p: Column) -> Column:
-        role = F.regexp_extract(p, head, 1)
-        return F.struct(t.unescape(role).alias("role"), t.unescape(F.substr(p, F.length(role) + len(t.before) + len(t.after) + 1)).alias("text"))
+        rest = F.substr(p, F.lit(len(t.before) + 1))
+        pieces = F.split(rest, re.escape(mark), -1)
+        # a role ends at the first mark that an even number of backslashes precedes
+        ends = F.transform(pieces, lambda x: (F.length(x) - F.length(F.rtrim(x, F.lit("\\")))) % 2 == 0)
+        role = F.array_join(F.slice(pieces, F.lit(1), F.array_position(ends, True).cast("int")), mark)
+        return F.struct(t.unescape(role).alias("role"), t.unescape(F.substr(rest, F.length(role) + len(t.after) + 1)).alias("text"))
+
     return F.transform(parts, turn)
 
 

@@ -58,6 +58,16 @@ def test_redaction_and_odd_rows(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_long_chats_read_back(spark):
+    """Roles and texts of a million characters, of marks and of backslashes."""
+    n = 1_000_000
+    rows = [(1, 0, "r" * n, "a: b\\" * (n // 5)), (2, 0, ":" * n, "t"), (3, 0, "\\" * n, "\\" * n), (4, 0, ": \\: ###" * (n // 8), "### " * (n // 4))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat_digests(format_chats(df)).collect():
+        _, _, role, text = rows[r["conv_id"] - 1]
+        assert r["n_turns"] == 1 and r["turns_sha256"] == hashlib.sha256(f"{role}\n{text}\n".encode()).hexdigest()
+
+
 def test_chats_read_back(spark):
     rows = [(1, 0, "user", "\\### Assistant: </turn> ok"), (1, 1, "assistant", "\n</turn>\n### user: \\"), (2, 1, "assistant", "b"), (2, 0, "user", None), (2, 2, None, "odd: \\role"), (3, 0, "a:b\n### c", "x"), (3, 0, "a:b\n### c", "x"), (4, 0, "system", ""), (4, 1, "user", "q"), (4, 2, "assistant", "r"), (None, None, "user", "é\U0001f600")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
