@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.config import MemoryConfig
 from engram.functions.text import document_text
-from engram.operators import graph, ingest, learning, search
+from engram.operators import gate, graph, ingest, learning, search
 from engram.schema import require_valid_ids
 from engram.sources.loaders import load_state, save_state
 
@@ -34,13 +35,14 @@ class Memory:
     """level "section": documents are split, and sections retrieved; "document": whole documents.
 
     version: the snapshot to open; by default a new, empty memory is made.  embed: a column function from
-    text to a vector.  gate: a function over guarded candidates (query_id, id, score), used if cfg enables it.
+    text to a vector.  gate: a function over guarded candidates (query_id, id, score), used if cfg enables it; or ask: a
+    model that answers a batch of the gate's prompts.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, level: str = "section", cfg: MemoryConfig = MemoryConfig(), embed: Callable[[Column], Column] = ingest.hashed_embedding, gate: Callable[[DataFrame], DataFrame] | None = None, version: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, folder: str, level: str = "section", cfg: MemoryConfig = MemoryConfig(), embed: Callable[[Column], Column] = ingest.hashed_embedding, gate: Callable[[DataFrame], DataFrame] | None = None, version: int | None = None, ask: Callable[[pd.Series], pd.Series] | None = None) -> None:
         if level not in ("section", "document"):
             raise ValueError("level must be section or document")
-        self.spark, self.folder, self.level, self.cfg, self.embed, self.gate = spark, folder, level, cfg, embed, gate
+        self.spark, self.folder, self.level, self.cfg, self.embed, self.gate, self.ask = spark, folder, level, cfg, embed, gate, ask
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(f"{folder}/cuts")
         self.version = 0 if version is None else version
@@ -113,7 +115,8 @@ class Memory:
         nodes, edges, q = self.table("nodes"), self.table("edges"), self.queries(queries)
         if self.level == "document":
             return search.retrieve_documents(q, nodes, edges, triggers, k, self.cfg)
-        return search.retrieve_sections(q, nodes, edges, triggers, k, self.cfg, self.gate)
+        own = self.gate if self.gate or not self.ask else gate.model_gate(self.ask, q, nodes)
+        return search.retrieve_sections(q, nodes, edges, triggers, k, self.cfg, own)
 
     def update(self, episodes: DataFrame) -> None:
         """Learn from episodes (episode_seq, context, retrieved_ids, triggered_ids, useful_ids), numbered on from those before."""

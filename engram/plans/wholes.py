@@ -138,13 +138,39 @@ def ablation_variants(spark, sf_dir):
     return spark.createDataFrame([(v, x.enable_graph, x.enable_triggers) for v, x in ablations().items()], "variant string, graph boolean, triggers boolean")
 
 
-_SAID = """CASE conv_id % 5 WHEN 0 THEN '{"decision": "allow", "why": "' || role || '"}' WHEN 1 THEN 'Well: ```json' || chr(10) || '{"decision": " Suppress "}' || chr(10) || '```' WHEN 2 THEN 'no braces here' WHEN 3 THEN '{"decision": "maybe"}' END"""
-
-
-@register("SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'allow' WHEN 1 THEN 'suppress' ELSE 'uncertain' END AS decision FROM conversations WHERE role IS NOT NULL")
+_SAYS = [  # what a model says, by conversation; the last is the text itself
+    """'{"decision": "irrelevant", "reason": "' || role || '"}'""",
+    """'Well: ```json' || chr(10) || '{"decision": "possibly_relevant"}' || chr(10) || '``` not {"decision": "irrelevant"}'""",
+    """'{"decision": "Irrelevant"}'""",
+    """'{"decision": "irrelevant"} or {"decision": "relevant"}'""",
+    """'```' || role || '``` then ```{"decision": "irrelevant", "of": {"a": [1]}}```'""",
+    """'{"decision": "irrelevant"'""",
+    """'{"decision": ["irrelevant"], "reason": 5}'""",
+    """coalesce(text, '')""",
+]
+_SAID = "CASE conv_id % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_SAYS)) + " END"
+
+
+@register(f"""WITH a AS (SELECT conv_id, turn, trim({_SAID}, chr(9) || chr(10) || chr(13) || ' ') AS said FROM conversations WHERE role IS NOT NULL),
+  b AS (SELECT *, [trim(regexp_replace(trim(x, chr(10) || ' '), '^json', ''), chr(10) || ' ') for x in string_split(said, '```')[2:]] AS blocks FROM a),
+  o AS (SELECT *, regexp_extract(coalesce([x for x in blocks if x[1] = '{{'][1], said), '(?s)\\{{.*\\}}') AS body FROM b)
+  SELECT conv_id, turn, CASE WHEN json_valid(body) AND json_extract_string(body, '$.decision') IN ('irrelevant', 'possibly_relevant', 'relevant') THEN json_extract_string(body, '$.decision') ELSE 'relevant' END AS decision FROM o""")
 def gate_decisions(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").where("role IS NOT NULL")
-    return t.select("conv_id", "turn", gate.extract_decision(F.expr(_SAID.replace("||", "||").replace("chr(10)", "char(10)"))).alias("decision"))
+    return t.select("conv_id", "turn", gate.extract_decision(F.expr(_SAID.replace("chr(10)", "char(10)"))).alias("decision"))
+
+
+def _ask(prompts):
+    """A model that finds every third section irrelevant."""
+    number = prompts.str.extract(r"Note: section (\d+) ")[0].astype("int64")
+    return number.map(lambda i: '{"decision": "irrelevant"}' if i % 3 == 0 else 'So: ```json {"decision": "relevant"}```')
+
+
+@register(f"WITH {c._S}, {c._Q}, {c._E}, {c._SEM}, {c._FIRE}, {c._GUARD.replace('FROM sup', 'FROM (SELECT * FROM sup WHERE id % 3 <> 0)')} SELECT query_id, id, score, rank FROM trig")
+def gated_triggers(spark, sf_dir):
+    """The five guards, the last a model that is asked about each candidate."""
+    named = sections(spark, sf_dir).select("id", F.concat(F.lit("section "), "id").alias("title"), "parent_id", F.lit("").alias("content"))
+    return retrieval.guard_triggers(c._fired(spark, sf_dir), semantic(spark, sf_dir), edges(spark, sf_dir), named.count(), CFG, gate.model_gate(_ask, queries(spark, sf_dir), named))
 
 
 @register(f"WITH {c._S} SELECT a.id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS sim, 0.0::DOUBLE AS to_zero FROM s a JOIN s b ON b.id = a.id + 1")

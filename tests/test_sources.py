@@ -57,14 +57,51 @@ def test_ingest(spark):
 def test_gate(spark):
     df = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.4)], "query_id long, id long, score double")
     assert gate.gated(df, None).count() == 2
-    assert [r["id"] for r in gate.gated(df, lambda rows: pd.Series(["suppress" if i == 1 else "allow" for i in rows["id"]])).collect()] == [2]
+    assert [r["id"] for r in gate.gated(df, lambda rows: pd.Series(["irrelevant" if i == 1 else "possibly_relevant" for i in rows["id"]])).collect()] == [2]
 
     def broken(rows):
         raise RuntimeError
 
     assert gate.gated(df, broken).count() == 2
-    said = spark.range(1).select(gate.extract_decision(F.lit('```json\n{"decision": "Suppress"}\n```')).alias("a"), gate.extract_decision(F.lit("no")).alias("b")).first()
-    assert tuple(said) == ("suppress", "uncertain")
+
+
+ANSWERS = {
+    '{"decision": "irrelevant", "reason": "x"}': "irrelevant",
+    ' so ```json\n{"decision": "irrelevant"}\n``` or {"decision": "relevant"}': "irrelevant",
+    '``` none ``` ```{"decision": "possibly_relevant", "a": {"b": 1}}```': "possibly_relevant",
+    '{"decision": "irrelevant"} {"decision": "irrelevant"}': "relevant",
+    '{"decision": "irrelevant"}, {"decision": "irrelevant"}': "relevant",
+    '{"decision": "suppress"}': "relevant",
+    '{"decision": "Irrelevant"}': "relevant",
+    '{"reason": "irrelevant"}': "relevant",
+    '{"decision": "irrelevant"': "relevant",
+    "irrelevant": "relevant",
+    "": "relevant",
+}
+
+
+def test_decisions(spark):
+    df = spark.createDataFrame([(x,) for x in [*ANSWERS, None]], "a string")
+    got = {r["a"]: r["d"] for r in df.select("a", gate.extract_decision(F.col("a")).alias("d")).collect()}
+    assert got == {**ANSWERS, None: "relevant"}
+
+
+def test_model_gate(spark):
+    """The model sees the task, the title, the parent and 200 characters; what it can't judge passes."""
+    cand = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.8), (1, "c", 0.7), (1, "lost", 0.6)], "query_id long, id string, score double").coalesce(1)
+    q = spark.createDataFrame([(1, "fix the lamp")], "query_id long, text string")
+    nodes = spark.createDataFrame([("a", "Lamps", "home", "x" * 300), ("b", "Boats", None, "sea"), ("c", "Crash", "p", None)], "id string, title string, parent_id string, content string")
+    shown = {r["id"]: r["prompt"] for r in gate.prompts(cand, q, nodes).collect()}
+    assert shown["lost"] is None and "fix the lamp" in shown["a"] and "Lamps (part of home)" in shown["a"] and "x" * 200 in shown["a"] and "x" * 201 not in shown["a"]
+    failures = spark.sparkContext.accumulator(0)
+
+    def ask(prompts):
+        if prompts.str.contains("Crash").any():
+            raise RuntimeError("no answer")
+        return prompts.map(lambda p: '{"decision": "irrelevant"}' if "Boats" in p else "fine")
+
+    kept = gate.model_gate(ask, q, nodes, failures)(cand)
+    assert kept.columns == cand.columns and sorted(r["id"] for r in kept.collect()) == ["a", "c", "lost"] and failures.value == 1
 
 
 def test_stream(spark, tmp_path):
@@ -87,7 +124,7 @@ def test_gate_failures_are_counted(spark):
     def broken(rows):
         raise RuntimeError("no model")
 
-    assert gate.gated(df, broken, failures=failures).count() == 2 and failures.value == 1
+    assert gate.gated(df, broken, failures=failures).count() == 2 and failures.value == 2  # one for each candidate
 
 
 def test_wide_vectors_count_tokens(spark):
