@@ -1,8 +1,8 @@
 """Vector functions: cosine expressions for single pairs, block joins for many.
 
-A block is up to BLOCK vectors of one side as one matrix.  Blocks of two sides meet pairwise
-and are multiplied, so rows are never paired one by one, nothing is broadcast, and a task holds
-two blocks at a time.
+A block is up to BLOCK vectors of one side as one matrix, with their centre and radius.  Blocks of two
+sides meet pairwise and are multiplied, so rows are never paired one by one, nothing is broadcast, and a
+task holds two blocks at a time.  operators/pivots.py chooses which blocks need to meet.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType
 
 BLOCK = 2048
+#: Blocks that one task packs of a bucket.
+DEAL = 16
 #: Added to each norm when queries are held against a matrix.
 EPSILON = 1e-8
 
@@ -43,108 +45,217 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 ARROW = {"bigint": pa.int64(), "string": pa.string()}
 
 
-def _kind(t: DataType) -> str:
+def kind_of(t: DataType) -> str:
     return "bigint" if isinstance(t, IntegralType) else "string"
 
 
 def _id_kind(packed: DataFrame) -> str:
-    return _kind(packed.schema["ids"].dataType.elementType)
+    return kind_of(packed.schema["ids"].dataType.elementType)
 
 
-def _ids(values: list, kind: str) -> np.ndarray:
-    return np.array(values, np.int64 if kind == "bigint" else object)
+def _part_kind(packed: DataFrame) -> str:
+    return kind_of(packed.schema["parts"].dataType.elementType)
 
 
-def blocks(df: DataFrame, id_col: str, vector_col: str, by: str | None = None, mark: str | None = None) -> DataFrame:
-    """part, ids, matrix: rows packed into blocks, by the value of a column if one is named; null vectors are left out.
+def flat(column: pa.Array, kind: str) -> np.ndarray:
+    """Values of an Arrow column; nulls of numbers turn into None."""
+    if kind == "bigint" and not column.null_count:
+        return column.to_numpy(zero_copy_only=False)
+    return np.array(column.to_pylist(), object)
 
-    Ids and parts are numbers or texts, and stay what they are; rows of part null are in no part.
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column of doubles, all of one length, as unit vectors."""
+    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return m / (np.sqrt((m * m).sum(1, keepdims=True)) + EPSILON)
+
+
+def centre_of(m: np.ndarray) -> tuple[np.ndarray, float]:
+    """Mean of a block's vectors, and how far one is from it at most."""
+    c = m.mean(0)
+    return c, float(np.sqrt(((m - c) ** 2).sum(1).max()))
+
+
+def packed_rows(ids: pa.Array, parts: pa.Array, marks: pa.Array, m: np.ndarray, cells: np.ndarray, cuts: list[int]) -> pa.RecordBatch:
+    """Blocks of the rows between the cuts."""
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), x)
+    centres = [centre_of(m[a:b]) for a, b in spans]
+    cols = [pa.array(cells[cuts[:-1]], pa.int32()), lists(ids), lists(parts), lists(marks), pa.array([m[a:b].tobytes() for a, b in spans], pa.binary())]
+    return pa.RecordBatch.from_arrays([*cols, pa.array([c.tobytes() for c, _ in centres], pa.binary()), pa.array([r for _, r in centres], pa.float64())], ["cell", "ids", "parts", "marks", "matrix", "centre", "radius"])
+
+
+def block_schema(id_kind: str, part_kind: str, mark_kind: str) -> str:
+    return f"cell int, ids array<{id_kind}>, parts array<{part_kind}>, marks array<{mark_kind}>, matrix binary, centre binary, radius double"
+
+
+def vector_rows(df: DataFrame, id_col: str, vector_col: str, by: str | None = None, mark: str | None = None) -> tuple[DataFrame, str, str, str]:
+    """id, part, mark, v of rows with a vector, and the kinds of id, part and mark; rows of part null are in no part."""
+    id_kind, part_kind, mark_kind = (kind_of(df.schema[x].dataType) if x else "bigint" for x in (id_col, by, mark))
+    own = lambda x, kind: (F.col(x) if x else F.lit(0)).cast(kind)
+    rows = df.where(F.col(vector_col).isNotNull()).select(own(id_col, id_kind).alias("id"), own(by, part_kind).alias("part"), own(mark, mark_kind).alias("mark"), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.where("part IS NOT NULL") if by else rows, id_kind, part_kind, mark_kind
+
+
+def blocks(df: DataFrame, id_col: str, vector_col: str, by: str | None = None, mark: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Rows packed into blocks; null vectors are left out.
+
+    by: a column whose equal values (parts) meet in vector_join(same_part=True).  Parts are dealt to buckets, the cells of
+    their blocks, so small parts share blocks and a large one has several; two sides that are joined by parts
+    need the same number of buckets (by default one for each BLOCK rows).
     mark: a column whose values are kept by row (marks), for vector_join(apart=True).
     """
-    part_kind, id_kind = _kind(df.schema[by].dataType) if by else "bigint", _kind(df.schema[id_col].dataType)
-    part = F.col(by).cast(part_kind) if by else F.lit(0).cast(part_kind)
-    mark_kind = _kind(df.schema[mark].dataType) if mark else "bigint"
-    marks = F.col(mark).cast(mark_kind) if mark else F.lit(None).cast("bigint")
-    rows = df.where(F.col(vector_col).isNotNull()).select(part.alias("part"), F.col(id_col).cast(id_kind).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), marks.alias("mark"))
+    rows, id_kind, part_kind, mark_kind = vector_rows(df, id_col, vector_col, by, mark)
     if by:
-        rows = rows.repartition("part", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions("part")
+        n = buckets or bucket_count(df)
+        rows = rows.withColumn("cell", F.pmod(F.xxhash64("part"), F.lit(n)).cast("int"))
+        # buckets of many blocks, such as that of one large part, are dealt to several tasks
+        large = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (DEAL * BLOCK)).alias("hands")).where("hands > 1")
+        hand = F.pmod(F.xxhash64("id"), F.coalesce("hands", F.lit(1)))
+        rows = rows.join(large, "cell", "left").repartition("cell", hand).sortWithinPartitions("cell", "part")
+    else:
+        rows = rows.withColumn("cell", F.lit(0))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, ids, own = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            m = np.array(batch.column(2).to_pylist(), np.float64)
-            m = m / (np.sqrt((m * m).sum(1, keepdims=True)) + EPSILON)
-            cuts = [0, *(i for i in range(1, len(part)) if part[i] != part[i - 1]), len(part)]
-            spans = [(a, min(a + BLOCK, stop)) for start, stop in zip(cuts, cuts[1:]) for a in range(start, stop, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], ARROW[part_kind]), pa.array([ids[a:b] for a, b in spans], pa.list_(ARROW[id_kind])), pa.array([m[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([own[a:b] if mark else [] for a, b in spans], pa.list_(ARROW[mark_kind]))], ["part", "ids", "matrix", "marks"])
+            if not batch.num_rows:
+                continue
+            cell = batch.column(4).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            cuts = [x for a, b in zip(edges, edges[1:]) for x in range(a, b, BLOCK)] + [len(cell)]
+            yield packed_rows(batch.column(0), batch.column(1), batch.column(2), matrix(batch.column(3)), cell, cuts)
 
-    return rows.mapInArrow(pack, f"part {part_kind}, ids array<{id_kind}>, matrix binary, marks array<{mark_kind}>")
+    return rows.select("id", "part", "mark", "v", "cell").mapInArrow(pack, block_schema(id_kind, part_kind, mark_kind))
 
 
-def _pairs(left: DataFrame, right: DataFrame, same_part: bool) -> DataFrame:
-    """Pairs of blocks: of the same part, or all."""
-    a = left.select(F.col("part").alias("pa"), F.col("ids").alias("ia"), F.col("matrix").alias("ma"), F.col("marks").alias("ka"))
-    b = right.select(F.col("part").alias("pb"), F.col("ids").alias("ib"), F.col("matrix").alias("mb"), F.col("marks").alias("kb"))
-    both = a.join(b, F.col("pa") == F.col("pb")) if same_part else a.join(b, how="cross")
-    return both.select("ia", "ma", "ib", "mb", "ka", "kb")
+def bucket_count(df: DataFrame) -> int:
+    return max(1, df.count() // BLOCK)
 
 
-def vector_join(left: DataFrame, right: DataFrame, threshold: float, ids: tuple[str, str] = ("a", "b"), same_part: bool = False, ordered: bool = False, apart: bool = False) -> DataFrame:
-    """Pairs of two sets of blocks() whose cosine, rounded to six places, reaches threshold: ids and sim.
+_SIDE = ["ids", "parts", "marks", "matrix"]
+
+
+def side(packed: DataFrame, name: str, *more: str) -> DataFrame:
+    return packed.select(*more, F.struct(*_SIDE).alias(name))
+
+
+def all_pairs(left: DataFrame, right: DataFrame, same_part: bool = False) -> DataFrame:
+    """a, b: pairs of blocks; of the same bucket, or all."""
+    if same_part:
+        return side(left, "a", "cell").join(side(right, "b", "cell"), "cell").select("a", "b")
+    return side(left, "a").join(side(right, "b"), how="cross")
+
+
+def _sides(batch: pa.RecordBatch, ka: str, kb: str, kp: str, km: str) -> Iterator[tuple]:
+    """Ids, parts, marks and matrix of a and b, pair by pair."""
+    for r in range(batch.num_rows):
+        out = []
+        for col, kind in ((0, ka), (1, kb)):
+            s = batch.column(col)[r]
+            ids, parts, marks = (flat(s[c].values, k) for c, k in (("ids", kind), ("parts", kp), ("marks", km)))
+            out += [ids, parts, marks, np.frombuffer(s["matrix"].as_py()).reshape(len(ids), -1)]
+        yield tuple(out)
+
+
+def _runs(parts: np.ndarray) -> dict:
+    """Slices of equal parts, which stand together."""
+    cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+    return {parts[a]: slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b}
 
-    same_part: only within a part.  ordered keeps a < b, and multiplies no blocks without such a pair: of rows in the
-    order of their ids, half the products.  apart: only rows with different marks (a null mark differs from all).
-    """
 
-    ka, kb = _id_kind(left), _id_kind(right)
+def _meetings(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, same_part: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Rounded cosines, with the places in x and y where they begin; of equal parts only, if so asked."""
+    spans = [(slice(0, len(x)), slice(0, len(y)))]
+    if same_part:
+        other = _runs(py)
+        spans = [(s, other[p]) for p, s in _runs(px).items() if p in other]
+    for a, b in spans:
+        for k in range(a.start, a.stop, 256):
+            yield k, b.start, np.round(x[k : min(k + 256, a.stop)] @ y[b].T, 6)
+
+
+def join_blocks(pairs: DataFrame, kinds: tuple[str, str, str, str], threshold: float, ids: tuple[str, str] = ("a", "b"), same_part: bool = False, ordered: bool = False, apart: bool = False) -> DataFrame:
+    """What vector_join() returns, of the given pairs of blocks (a, b)."""
+    ka, kb, kp, km = kinds
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ia, ma, ib, mb, marks_a, marks_b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if ordered and ia and ib and min(ia) >= max(ib):
+            for ia, px, marks_a, x, ib, py, marks_b, y in _sides(batch, ka, kb, kp, km):
+                if ordered and len(ia) and len(ib) and min(ia) >= max(ib):
                     continue
-                x, y = np.frombuffer(ma).reshape(len(ia), -1), np.frombuffer(mb).reshape(len(ib), -1)
-                ia, ib = _ids(ia, ka), _ids(ib, kb)
-                marks_a, marks_b = np.array(marks_a, object), np.array(marks_b, object)
-                for k in range(0, len(ia), 256):
-                    sim = np.round(x[k : k + 256] @ y.T, 6)
+                found, held = [], 0
+                for k, at, sim in _meetings(x, px, y, py, same_part):
+                    n, m = sim.shape
                     ok = sim >= threshold
                     if ordered:
-                        ok &= ia[k : k + 256, None] < ib[None, :]
+                        ok &= ia[k : k + n, None] < ib[None, at : at + m]
                     if apart:
-                        own = marks_a[k : k + 256, None]
-                        ok &= ((own != marks_b[None, :]) | np.equal(own, None)).astype(bool)
+                        own = marks_a[k : k + n, None]
+                        ok &= ((own != marks_b[None, at : at + m]) | np.equal(own, None)).astype(bool)
                     i, j = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(ia[k + i], ARROW[ka]), pa.array(ib[j], ARROW[kb]), pa.array(sim[i, j])], [*ids, "sim"])
+                    found.append((ia[k + i], ib[at + j], sim[i, j]))
+                    held += len(i)
+                    if held > 1 << 16:
+                        yield _found(found, ka, kb, ids)
+                        found, held = [], 0
+                if held:
+                    yield _found(found, ka, kb, ids)
 
-    return _pairs(left, right, same_part).mapInArrow(multiply, f"{ids[0]} {ka}, {ids[1]} {kb}, sim double")
+    return pairs.mapInArrow(multiply, f"{ids[0]} {ka}, {ids[1]} {kb}, sim double")
 
 
-def vector_topk(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, same_part: bool = False) -> DataFrame:
-    """query_id, id, rank, score: the k nearest of base for each query, ties by id; both sides are blocks().
+def _found(found: list, ka: str, kb: str, ids: tuple[str, str]) -> pa.RecordBatch:
+    a, b, sim = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(a, ARROW[ka]), pa.array(b, ARROW[kb]), pa.array(sim)], [*ids, "sim"])
 
-    same_part: only within a part.
 
-    Each pair of blocks gives k candidates a query, so the shuffle carries k rows for each query and block of base.
+def kinds_of(left: DataFrame, right: DataFrame) -> tuple[str, str, str, str]:
+    return _id_kind(left), _id_kind(right), _part_kind(left), kind_of(left.schema["marks"].dataType.elementType)
+
+
+def vector_join(left: DataFrame, right: DataFrame, threshold: float, ids: tuple[str, str] = ("a", "b"), same_part: bool = False, ordered: bool = False, apart: bool = False) -> DataFrame:
+    """Pairs of two sets of blocks() whose cosine, rounded to six places, reaches threshold: ids and sim.
+
+    same_part: only within a part.  ordered keeps a < b, and multiplies no blocks without such a pair: of rows in the
+    order of their ids, half the products.  apart: only rows with different marks (a null mark differs from all).
     """
+    return join_blocks(all_pairs(left, right, same_part), kinds_of(left, right), threshold, ids, same_part, ordered, apart)
 
-    kq, kb = _id_kind(queries), _id_kind(base)
+
+def best_of_blocks(pairs: DataFrame, kinds: tuple[str, str, str, str], k: int, exclude_self: bool = True, same_part: bool = False) -> DataFrame:
+    """query_id, id, score: the k best of each pair of blocks (a: queries, b: base) for each query, ties by id."""
+    kq, kb, kp, km = kinds
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for iq, mq, ib, mb, _, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                x, y = np.frombuffer(mq).reshape(len(iq), -1), np.frombuffer(mb).reshape(len(ib), -1)
-                iq, ib = _ids(iq, kq), _ids(ib, kb)
-                for a in range(0, len(iq), 256):
-                    sim = np.round(x[a : a + 256] @ y.T, 6)
+            for iq, px, _, x, ib, py, _, y in _sides(batch, kq, kb, kp, km):
+                found = []
+                for a, at, sim in _meetings(x, px, y, py, same_part):
+                    n, m = sim.shape
+                    own, base = iq[a : a + n], ib[at : at + m]
                     if exclude_self:
-                        sim = np.where(iq[a : a + 256, None] == ib[None, :], -np.inf, sim)
-                    order = np.argsort(ib, kind="stable")
+                        sim = np.where(own[:, None] == base[None, :], -np.inf, sim)
+                    order = np.argsort(base, kind="stable")
                     top = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]]
                     score = np.take_along_axis(sim, top, 1)
                     ok = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(iq[a : a + 256], top.shape[1]).reshape(top.shape)[ok], ARROW[kq]), pa.array(ib[top][ok], ARROW[kb]), pa.array(score[ok])], ["query_id", "id", "score"])
+                    found.append((np.repeat(own, top.shape[1]).reshape(top.shape)[ok], base[top][ok], score[ok]))
+                if found:
+                    yield _found(found, kq, kb, ("query_id", "id")).rename_columns(["query_id", "id", "score"])
+
+    return pairs.mapInArrow(best, f"query_id {kq}, id {kb}, score double")
+
 
-    found = _pairs(queries, base, same_part).mapInArrow(best, f"query_id {kq}, id {kb}, score double")
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def vector_topk(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, same_part: bool = False) -> DataFrame:
+    """query_id, id, rank, score: the k nearest of base for each query, ties by id; both sides are blocks().
+
+    same_part: only within a part.
+
+    Each pair of blocks gives k candidates a query, so the shuffle carries k rows for each query and block of base.
+    """
+    return ranked(best_of_blocks(all_pairs(queries, base, same_part), kinds_of(queries, base), k, exclude_self, same_part), k)

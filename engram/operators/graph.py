@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.config import MemoryConfig
-from engram.functions.vector import blocks, vector_join
+from engram.functions.vector import blocks, bucket_count, vector_join
+from engram.operators import pivots
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -22,8 +23,12 @@ def graded(sim: Column, soft: float, hard: float | None = None) -> Column:
 
 def similarity_edges(nodes: DataFrame, cfg: MemoryConfig = MemoryConfig(), id_col: str = "id", others: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Edges of all pairs of nodes (of nodes and others, if given) whose cosine reaches the threshold; by: only within its values."""
-    b = blocks(nodes, id_col, "embedding", by)
-    pairs = vector_join(b, b if others is None else blocks(others, id_col, "embedding", by), cfg.doc_threshold, same_part=bool(by), ordered=others is None)
+    if by:
+        n = bucket_count(nodes if others is None else others)
+        b = blocks(nodes, id_col, "embedding", by, buckets=n)
+        pairs = vector_join(b, b if others is None else blocks(others, id_col, "embedding", by, buckets=n), cfg.doc_threshold, same_part=True, ordered=others is None)
+    else:
+        pairs = pivots.similar_pairs(nodes, cfg.doc_threshold, id_col, others)
     return both_ways(pairs.select("a", "b", F.col("sim").alias("weight"), graded(F.col("sim"), cfg.doc_soft, cfg.doc_hard).alias("edge_type")))
 
 
@@ -36,9 +41,10 @@ def sibling_edges(sections: DataFrame, cfg: MemoryConfig = MemoryConfig(), id_co
 
 def cross_edges(sections: DataFrame, cfg: MemoryConfig = MemoryConfig(), id_col: str = "id", new: DataFrame | None = None) -> DataFrame:
     """Edges between sections of different parents (of new ones and these, if given)."""
-    b = blocks(sections, id_col, "embedding", mark="parent_id")
-    a = b if new is None else blocks(new, id_col, "embedding", mark="parent_id")
-    pairs = vector_join(a, b, cfg.cross_threshold, ordered=new is None, apart=True)
+    if new is None:
+        pairs = pivots.similar_pairs(sections, cfg.cross_threshold, id_col, mark="parent_id")
+    else:
+        pairs = pivots.similar_pairs(new, cfg.cross_threshold, id_col, sections, "parent_id")
     return both_ways(pairs.select("a", "b", F.col("sim").alias("weight"), graded(F.col("sim"), cfg.cross_soft).alias("edge_type")))
 
 

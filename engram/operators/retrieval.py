@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engram.config import MemoryConfig
 from engram.functions.text import raw_tokens
-from engram.functions.vector import blocks, cosine_to_matrix, vector_join
+from engram.functions.vector import blocks, bucket_count, cosine_to_matrix, vector_join
 from engram.operators.graph import two_hop
 
 
@@ -56,7 +56,8 @@ def fire_triggers(queries: DataFrame, triggers: DataFrame, cfg: MemoryConfig = M
     live = triggers.where(F.col("confidence") >= cfg.confidence_floor)
     kw = keyword_scores(queries, live, scope)
     floor = cfg.trigger_threshold / cfg.semantic_weight
-    near = vector_join(blocks(queries, "query_id", "embedding", scope), blocks(live, "id", "embedding", scope), round(floor, 6), ("query_id", "trigger_id"), same_part=bool(scope))
+    n = bucket_count(live) if scope else None
+    near = vector_join(blocks(queries, "query_id", "embedding", scope, buckets=n), blocks(live, "id", "embedding", scope, buckets=n), round(floor, 6), ("query_id", "trigger_id"), same_part=bool(scope))
     joined = kw.join(near, ["query_id", "trigger_id"], "full")
     vectors = joined.where("sim IS NULL").join(queries.select("query_id", F.col("embedding").alias("qv")), "query_id").join(live.select(F.col("id").alias("trigger_id"), F.col("embedding").alias("tv")), "trigger_id")
     far = vectors.select("query_id", "trigger_id", "kw", F.coalesce(F.round(cosine_to_matrix(F.col("qv"), F.col("tv")), 6), F.lit(0.0)).alias("sim"))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.config import MemoryConfig
-from engram.functions.vector import blocks, cosine_to_matrix, vector_topk
-from engram.operators import graph, retrieval
+from engram.functions.vector import blocks, bucket_count, cosine_to_matrix, vector_topk
+from engram.operators import graph, pivots, retrieval
 from engram.operators.cuts import cut
 
 
@@ -33,7 +33,10 @@ def scannable(triggers: DataFrame) -> DataFrame:
 
 def nearest(queries: DataFrame, nodes: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """query_id, id, score, rank of the k most similar nodes."""
-    return vector_topk(blocks(queries, "query_id", "embedding", scope), blocks(nodes, "id", "embedding", scope), k, exclude_self=False, same_part=bool(scope))
+    if not scope:
+        return pivots.nearest(queries, nodes, k)
+    n = bucket_count(nodes)
+    return vector_topk(blocks(queries, "query_id", "embedding", scope, buckets=n), blocks(nodes, "id", "embedding", scope, buckets=n), k, exclude_self=False, same_part=True)
 
 
 def retrieve_documents(queries: DataFrame, docs: DataFrame, edges: DataFrame, triggers: DataFrame, k: int, cfg: MemoryConfig = MemoryConfig(), scope: str | None = None) -> DataFrame:

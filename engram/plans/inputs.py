@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.config import MemoryConfig
-from engram.functions.vector import blocks, vector_topk
-from engram.operators import graph
+from engram.operators import graph, pivots
 from engram.operators.search import similarities
 
 #: Every EVERY-th vector is a query, against all.
@@ -36,7 +35,7 @@ def section_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return vector_topk(blocks(queries(spark, sf_dir), "query_id", "embedding"), blocks(sections(spark, sf_dir), "id", "embedding"), k)
+    return pivots.nearest(queries(spark, sf_dir), sections(spark, sf_dir), k, exclude_self=True)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
