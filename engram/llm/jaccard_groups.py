@@ -37,6 +37,8 @@ from engram.llm.tables import discard, stage, unused
 
 #: Nodes compared with one copy of another's set.
 HAND = 256
+#: Digests shared by different sets that are looked after; more than chance ever gives.
+CLASHES = 10_000
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,16 @@ def node_ids(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def numbers(h: np.ndarray, bounds: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """The number of each set: its first digest, and where two different sets have that one, a mix of both digests."""
+    return _apart(*node_ids(h, bounds), clashes)
+
+
+def _apart(node: np.ndarray, check: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    hit = np.isin(node, clashes) if len(clashes) else np.zeros(len(node), bool)
+    return np.where(hit, mix(node.view(U64) ^ mix(check.view(U64), 13), 14).view(np.int64), node) if hit.any() else node
+
+
 def part_keys(h: np.ndarray, bounds: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of each set, the index of their set, and how many of them each set shares with any partner at least."""
     size = np.diff(bounds)
@@ -110,21 +122,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = nearer
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets (node, tokens) link."""
+def _linked(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, text) link.
+
+    Texts cross the network, not their sets: they compress, hashes don't.
+    """
     load = pairs.groupBy("b").agg(F.ceil(F.count("*") / HAND).cast("int").alias("hands"))
     hand = F.pmod(F.xxhash64("a"), F.col("hands")).cast("int")
-    mine = pairs.join(load, "b").select("b", hand.alias("hand"), "a").join(sets.select(F.col("node").alias("a"), "tokens"), "a")
-    theirs = load.join(sets.select(F.col("node").alias("b"), "tokens"), "b")
-    theirs = theirs.select("b", F.explode(F.sequence(F.lit(0), F.col("hands") - 1)).alias("hand"), F.lit(None).cast("long").alias("a"), "tokens")
+    mine = pairs.join(load, "b").select("b", hand.alias("hand"), "a").join(texts.select(F.col("node").alias("a"), "text"), "a")
+    theirs = load.join(texts.select(F.col("node").alias("b"), "text"), "b")
+    theirs = theirs.select("b", F.explode(F.sequence(F.lit(0), F.col("hands") - 1)).alias("hand"), F.lit(None).cast("long").alias("a"), "text")
     dealt = mine.unionByName(theirs).repartition("b", "hand").sortWithinPartitions("b", "hand", F.asc_nulls_first("a"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, theirs = None, np.zeros(0, U64)
-        for batch in batches:
+        for rows, data, offs in slices(batches, 3):
             linked = []
-            for i, (b, hand, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                own = np.frombuffer(batch.column(3)[i].as_buffer(), U64)
+            h, bounds = shingle_sets(data, offs, t.k)
+            for i, (b, hand, a) in enumerate(zip(*(rows.column(c).to_pylist() for c in range(3)), strict=True)):
+                own = h[bounds[i] : bounds[i + 1]]
                 if a is None:
                     key, theirs = (b, hand), own.copy()
                     continue
@@ -136,11 +152,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
                     linked.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in linked], pa.int64()) for j in (0, 1)], ["a", "b"])
 
-    return dealt.select("b", "hand", "a", "tokens").mapInArrow(compare, "a long, b long")
+    return dealt.select("b", "hand", "a", "text").mapInArrow(compare, "a long, b long")
 
 
-def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """id, n, node, root, component_id of each row: jaccard_components with the digests of the row's set and component."""
+def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
+    """id, n, node, root, component_id of each row: jaccard_components with the numbers of the row's set and component.
+
+    And the digests that different sets share: of 10 ** 10 sets about three.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,24 +181,35 @@ def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: st
         seen: set[int] = set()
         for _, data, offs in slices(batches, 1):
             h, bounds = shingle_sets(data, offs, t.k)
-            node, _ = node_ids(h, bounds)
+            node = numbers(h, bounds, clashes)
             key, at, need = part_keys(h, bounds, t)
             mine = unseen(node, seen)[at]
             key, at = key[mine], at[mine]
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(need[at], pa.int32())], ["key", "node", "need"])
 
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offs in slices(batches, 1):
-            h, bounds = shingle_sets(data, offs, t.k)
-            sets = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node_ids(h, bounds)[0]), pa.array(sets, pa.binary())], ["node", "tokens"])
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(numbers(*shingle_sets(data, offs, t.k), clashes)), batch.column(1)], ["node", "text"])
 
     digests = stage(rows.mapInArrow(digest, "id long, n long, node long, check long"), "digests")
-    copies = digests.where("n > 0 AND id IS NOT NULL").groupBy("node", "id").agg(F.count("*").alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    nodes = copies.groupBy("node").agg(F.min(F.struct("id", "copies")).alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    own_id = F.when(F.col("lo") == F.col("hi"), F.col("first.id")).otherwise(F.raise_error(F.lit("two shingle sets have one digest")))
+    some = digests.where("n > 0 AND id IS NOT NULL")
+    twice = some.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo < hi").select("node")
+    clashes = np.array([r["node"] for r in twice.take(CLASHES + 1)], np.int64)
+    if len(clashes) > CLASHES:
+        raise RuntimeError("far more sets share a digest than chance gives")
+    if len(clashes):
+
+        def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                node = _apart(batch.column(2).to_numpy(), batch.column(3).to_numpy(), clashes)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node), batch.column(3)], batch.schema.names)
+
+        digests = digests.mapInArrow(renumber, "id long, n long, node long, check long")
+        some = digests.where("n > 0 AND id IS NOT NULL")
+    copies = some.groupBy("node", "id").agg(F.count("*").alias("copies"))
+    nodes = copies.groupBy("node").agg(F.min(F.struct("id", "copies")).alias("first"))
     # a row that is repeated with id and text gives its set again
-    nodes = stage(nodes.select("node", own_id.alias("id"), (F.col("first.copies") > 1).alias("again")), "nodes")
+    nodes = stage(nodes.select("node", F.col("first.id").alias("id"), (F.col("first.copies") > 1).alias("again")), "nodes")
 
     # rows of the matrix whose key two nodes or more have
     matrix = rows.where("id IS NOT NULL").mapInArrow(keys_of, "key long, node long, need int")
@@ -195,10 +225,10 @@ def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: st
     best = stars.groupBy("node").agg(F.max(F.struct("count", (-F.col("lead")).alias("lead"))).alias("m"))
     best = stage(best.select(F.col("node").alias("a"), (-F.col("m.lead")).alias("b")), "best")
 
-    # sets of all nodes that share keys; of an id with several texts, all its sets
+    # texts of all nodes that share keys; of an id with several texts, all of them
     wanted = nodes.join(leads.select("node").distinct(), "node").select("id").distinct()
-    sets = stage(rows.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(full_sets, "node long, tokens binary"), "sets")
-    links = stage(_linked(best, sets, t), "links")
+    texts = stage(rows.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(numbered, "node long, text string"), "texts", "zstd")
+    links = stage(_linked(best, texts, t), "links")
     groups = components(links)
     discard(links)
 
@@ -215,15 +245,15 @@ def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: st
     discard(leads, stars)
 
     def open_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(2).to_pylist()
-            n = np.array([len(x) // 8 for x in raw], np.int64)
+        for rows, data, offs in slices(batches, 2):
+            h, bounds = shingle_sets(data, offs, t.k)
+            n = np.diff(bounds)
             of = np.repeat(np.arange(len(n)), n)
-            take = lambda c: batch.column(c).take(pa.array(of))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([take(0), take(1), pa.array(n[of], pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["node", "g", "n", "token"])
+            take = lambda c: rows.column(c).take(pa.array(of))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([take(0), take(1), pa.array(n[of], pa.int32()), pa.array(h.view(np.int64))], ["node", "g", "n", "token"])
 
-    held = sets.join(open_nodes, "node")
-    held = held.where("NOT again").select("node", "g", "tokens").unionByName(held.where("again").dropDuplicates(["node"]).select("node", "g", "tokens"))
+    held = texts.join(open_nodes, "node")
+    held = held.where("NOT again").select("node", "g", "text").unionByName(held.where("again").dropDuplicates(["node"]).select("node", "g", "text"))
     union = held.mapInArrow(open_tokens, "node long, g long, n int, token long")
     spread_ = union.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("df")).where("g0 < g1").select("token", "df")
     common = union.join(spread_, "token")
@@ -243,15 +273,15 @@ def _components_of_rows(docs: DataFrame, t: Threshold, id_col: str, text_col: st
     pairs = opened.join(members, ["token", "to"]).where(can_link("rest", "n", "restb", "nb")).select(F.col("node").alias("a"), "b").distinct()
     pairs = stage(pairs.join(best.union(best.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     discard(first_ones, open_nodes, best)
-    more = stage(_linked(pairs, sets, t), "more-links")
+    more = stage(_linked(pairs, texts, t), "more-links")
     joined = components(group_of(group_of(more, "a", "g"), "b", "h").select(F.col("g").alias("a"), F.col("h").alias("b")))
-    discard(pairs, sets, more)
+    discard(pairs, texts, more)
     root = group_of(nodes.select("node", "id"), "node", "g").join(joined.select(F.col("node").alias("g"), "root"), "g", "left")
     root = stage(root.select("node", "id", F.coalesce("root", "g").alias("root")), "roots")
     discard(groups, joined, nodes)
     named = root.join(root.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "root", "component_id")
     out = digests.join(named, "node", "left")
-    return out.select("id", "n", "node", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "n", "node", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")), clashes
 
 
 def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,9 +290,9 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold(), id_col: str
     Words are runs without white space, A-Z lower-cased; a text of fewer than k words is one shingle,
     the whole of it.  A null or empty text has no shingles and links with nothing.  Ids are whole numbers;
     a null id gives a row with the component of its text's copies, but takes no part.  Rows with a repeated id are
-    linked like others and each gives a row.  Hashes have 64 bits; two sets with one digest raise an error.
+    linked like others and each gives a row.  Shingles are 64-bit hashes; sets are told apart by two 64-bit digests.
     """
-    out = _components_of_rows(docs, t, id_col, text_col)
+    out, _ = _components_of_rows(docs, t, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -272,7 +302,8 @@ def keep_one_of_each(docs: DataFrame, t: Threshold = Threshold(), id_col: str =
     Texts of a repeated id are judged one by one, and of several in one component one stays; a row repeated
     with id and text stays as often as it is found.
     """
-    comp = _components_of_rows(docs, t, id_col, text_col).where("id IS NOT NULL")
+    comp, clashes = _components_of_rows(docs, t, id_col, text_col)
+    comp = comp.where("id IS NOT NULL")
     fates = stage(comp.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("component_id").alias("component")), "fates")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     drop = fates.where("low = high AND component <> id").select(F.col("id").alias(id_col))
@@ -287,8 +318,8 @@ def keep_one_of_each(docs: DataFrame, t: Threshold = Threshold(), id_col: str =
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches, at):
-            digests, _ = node_ids(*shingle_sets(data, offs, t.k))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests)], [*batch.schema.names, node])
+            own = numbers(*shingle_sets(data, offs, t.k), clashes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], [*batch.schema.names, node])
 
     mine = docs.join(several, id_col, "left_semi").select(*columns).mapInArrow(digest, f"{fields}, `{node}` long")
     mine = mine.join(one, [id_col, node], "left").where((F.col(node) == 0) | F.col(first)).select(*columns)
