@@ -1,12 +1,18 @@
 """Learning from episodes: ordered folds over edges and triggers, promotion, decay, consolidation.
 
 Within one episode an edge gets one operation at most, so a batch of episodes is an ordered list
-of operations for each edge, folded inside its row.  The out-degree cap of a decay cycle couples
-edges, so batches are cut where a cycle is due.
+of operations for each edge, folded inside its row (fold_edges).  The out-degree cap of a decay cycle
+couples the edges of a source, so with ticks a source's edges pass its operations together (fold_ticks).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +125,27 @@ def top_keywords(contexts: DataFrame, key: list[str], k: int, stop: list[str], s
     return n.withColumn("rank", F.row_number().over(W(*key).orderBy(F.desc("n"), "first"))).where(F.col("rank") <= k).drop("first")
 
 
+def counted_words(episodes: DataFrame, stop: list[str]) -> DataFrame:
+    """episode_seq, token, n, pos: the words of each context, how often they stand there and where first."""
+    words = episodes.select("episode_seq", F.posexplode(raw_tokens(F.lower("context"))).alias("pos", "token"))
+    words = words.where((F.length("token") >= 3) & ~F.col("token").isin(stop))
+    return words.groupBy("episode_seq", "token").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+
+
+def _patterns(uses: DataFrame, words: DataFrame, key: list[str], k: int) -> DataFrame:
+    """key, pattern: the most frequent words of the episodes that uses (key, episode_seq) names; ties by first occurrence."""
+    n = uses.join(words, "episode_seq").groupBy(*key, "token").agg(F.sum("n").alias("n"), F.min(F.struct("episode_seq", "pos")).alias("first"))
+    top = n.withColumn("rank", F.row_number().over(W(*key).orderBy(F.desc("n"), "first"))).where(F.col("rank") <= k)
+    return top.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda p: p["token"]).alias("pattern"))
+
+
+def _means(uses: DataFrame, episodes: DataFrame, key: list[str]) -> DataFrame:
+    """key, pattern_embedding: mean vector of those episodes; sums are kept by partition, so a row is not split by component."""
+    v = episodes.where("context_embedding IS NOT NULL").select("episode_seq", array_to_vector(F.col("context_embedding").cast("array<double>")).alias("v"))
+    mean = uses.join(v, "episode_seq").groupBy(*key).agg(Summarizer.mean(F.col("v")).alias("mean"))
+    return mean.select(*key, vector_to_array("mean", "float32").alias("pattern_embedding"))
+
+
 def _mean(contexts: DataFrame, key: list[str]) -> DataFrame:
     pos = contexts.select(*key, F.posexplode("context_embedding").alias("pos", "x")).groupBy(*key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return pos.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"].cast("float")).alias("pattern_embedding"))
@@ -129,19 +156,25 @@ def _pattern(contexts: DataFrame, key: list[str], k: int, stop: list[str]) -> Da
     return words.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda p: p["token"]).alias("pattern"))
 
 
-def _learned(df: DataFrame, ident: Column, node: str, confidence: float) -> DataFrame:
+def _learned(df: DataFrame, ident: Column, node: str, confidence: float, more: list[str] = []) -> DataFrame:  # noqa: B006
     zero = F.lit(0)
-    return df.select(ident.alias("id"), F.coalesce("pattern", F.array().cast("array<string>")).alias("pattern"), "pattern_embedding", F.col(node).alias("associated_node_id"), F.lit(confidence).alias("confidence"), zero.alias("fire_count"), zero.alias("useful_count"), F.lit("hebbian").alias("origin"))
+    return df.select(*more, ident.alias("id"), F.coalesce("pattern", F.array().cast("array<string>")).alias("pattern"), "pattern_embedding", F.col(node).alias("associated_node_id"), F.lit(confidence).alias("confidence"), zero.alias("fire_count"), zero.alias("useful_count"), F.lit("hebbian").alias("origin"))
 
 
-def learned_triggers(edges: DataFrame, episodes: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
-    """A trigger on the target of each edge with trigger_seq, from the episodes up to then in which both ends were useful."""
+def learned_triggers(edges: DataFrame, episodes: DataFrame, cfg: MemoryConfig = MemoryConfig(), since: bool = False) -> DataFrame:
+    """A trigger on the target of each edge with trigger_seq, from the episodes up to then in which both ends were useful.
+
+    since: with the episode that it was learned in, too (learned_seq).  Only episodes in which the source of an edge
+    that asks was useful are looked at, and their words are counted once an episode.
+    """
     asked = edges.where("trigger_seq IS NOT NULL").select("source_id", "target_id", "trigger_seq")
     key = ["source_id", "target_id"]
-    seen = coactivations(episodes).join(asked, key).where("episode_seq <= trigger_seq").select(*key, "episode_seq")
-    contexts = seen.join(episodes.select("episode_seq", "context", "context_embedding"), "episode_seq")
-    df = asked.join(_pattern(contexts, key, cfg.learned_keywords, LEARNED_STOP_WORDS), key, "left").join(_mean(contexts, key), key, "left")
-    return _learned(df, F.concat_ws("_", F.lit("hebbian"), "source_id", "target_id"), "target_id", cfg.learned_confidence)
+    ids = F.array_distinct("useful_ids")
+    one = episodes.select("episode_seq", F.explode(ids).alias("source_id"), ids.alias("ids"))
+    uses = one.join(asked, "source_id").where((F.col("episode_seq") <= F.col("trigger_seq")) & F.array_contains("ids", F.col("target_id"))).select(*key, "episode_seq")
+    df = asked.join(_patterns(uses, counted_words(episodes, LEARNED_STOP_WORDS), key, cfg.learned_keywords), key, "left").join(_means(uses, episodes, key), key, "left")
+    made = _learned(df.withColumn("learned_seq", F.col("trigger_seq")), F.concat_ws("_", F.lit("hebbian"), "source_id", "target_id"), "target_id", cfg.learned_confidence, ["learned_seq"] if since else [])
+    return made
 
 
 def decay_edges(edges: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
@@ -235,28 +268,162 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], seq: str | None = Non
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
-def learn(edges: DataFrame, triggers: DataFrame, episodes: DataFrame, checkpoint, cfg: MemoryConfig = MemoryConfig(), nodes: DataFrame | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: Edge types by number, for the ordered pass.
+_TYPES = np.array(["diffuse", "soft", "hard"], object)
+
+
+class _Source:
+    """The edges of one source while its episodes pass: weights, counts, types, and when they last asked for a trigger."""
+
+    def __init__(self, cfg: MemoryConfig, done: int):
+        self.cfg, self.done, self.at = cfg, done, {}
+        self.target: list = []
+        self.w, self.c, self.t, self.s = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.rank: np.ndarray | None = None
+
+    def add(self, targets: list, w: np.ndarray, c: np.ndarray, t: np.ndarray) -> None:
+        self.at.update(zip(targets, range(len(self.target), len(self.target) + len(targets)), strict=True))
+        self.target += targets
+        self.w, self.c, self.t = np.concatenate([self.w, w]), np.concatenate([self.c, c]), np.concatenate([self.t, t])
+        self.s, self.rank = np.concatenate([self.s, np.full(len(targets), -1)]), None
+
+    def cycles(self, until: int) -> None:
+        """Decay cycles, as many as are due before tick until."""
+        cfg = self.cfg
+        for _ in range(self.done, until):
+            rate = np.where(self.c >= cfg.crystallise_count, cfg.decay_rate * cfg.crystallise_slowdown, cfg.decay_rate)
+            w = np.where(self.w > rate, self.w - rate, self.w)
+            w[w < cfg.prune_floor] = 0.0
+            if len(w) > cfg.out_degree_cap:
+                if self.rank is None:
+                    self.rank = np.argsort(np.argsort(np.array(self.target)))
+                w[np.lexsort((self.rank, -w))[cfg.out_degree_cap :]] = 0.0
+            if (w == self.w).all():
+                break  # later cycles would change nothing either
+            self.w = w
+        self.done = max(self.done, until)
+
+    def episode(self, seq: int, targets: list, up: np.ndarray) -> None:
+        """One episode's operations, one an edge at most."""
+        cfg = self.cfg
+        self.cycles(seq // cfg.tick_every)
+        i = np.array([self.at.get(x, -1) for x in targets], np.int64)
+        known, new = i >= 0, (i < 0) & up
+        plus, minus = i[known & up], i[known & ~up]
+        self.w[plus], self.c[plus] = np.minimum(self.w[plus] + cfg.strengthen_rate, 1.0), self.c[plus] + 1
+        kind, count = self.t[plus], self.c[plus]
+        self.s[plus[(kind == 2) & (count >= cfg.promote_trigger)]] = seq
+        self.t[plus] = kind + ((kind == 0) & (count >= cfg.promote_soft)) + ((kind == 1) & (count >= cfg.promote_hard))
+        self.w[minus] = np.maximum(self.w[minus] - cfg.strengthen_rate * cfg.useless_factor, 0.0)
+        if new.any():
+            own = [x for x, n in zip(targets, new.tolist(), strict=True) if n]
+            self.add(own, np.full(len(own), cfg.new_edge_weight), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64))
+
+
+def fold_ticks(edges: DataFrame, episodes: DataFrame, done: int, until: int, nodes: DataFrame | None = None, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
+    """fold_edges() with the decay cycles between ticks: done cycles are behind the edges, until is how many there are in the end.
+
+    Only the cap couples edges, and only those of one source.  So the edges and operations of a source pass one task in
+    the order of the episodes; it holds the edges of one source at a time, never its operations.
+    """
+    plus = coactivations(episodes)
+    if nodes is not None:
+        plus = existing(plus, nodes)
+    ops = plus.withColumn("up", F.lit(True)).unionByName(contrasts(episodes).withColumn("up", F.lit(False)))
+    first = edges.select("source_id", F.lit(-1).cast("long").alias("episode_seq"), "target_id", F.lit(True).alias("up"), F.col("weight").cast("double"), F.col("co_activation_count").cast("long").alias("n"), "edge_type")
+    rows = first.unionByName(ops.select("source_id", F.col("episode_seq").cast("long"), "target_id", "up"), allowMissingColumns=True)
+    rows = rows.repartition("source_id").sortWithinPartitions("source_id", "episode_seq")
+    id_type, kinds = edges.schema["source_id"].dataType.simpleString(), {x: i for i, x in enumerate(_TYPES)}
+
+    def ended(source: object, own: _Source) -> pa.RecordBatch:
+        own.cycles(until)
+        n = len(own.target)
+        cols = [pa.array([source] * n, types[0]), pa.array(own.target, types[1]), pa.array(own.w), pa.array(_TYPES[own.t], pa.string()), pa.array(own.c, pa.int32()), pa.array(own.s, pa.int64(), mask=own.s < 0)]
+        return pa.RecordBatch.from_arrays(cols, ["source_id", "target_id", "weight", "edge_type", "co_activation_count", "trigger_seq"])
+
+    types = [{"string": pa.string(), "int": pa.int32()}.get(id_type, pa.int64())] * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, own, seq, held = None, None, None, ([], [])
+
+        def flush() -> None:
+            if held[0]:
+                own.episode(seq, held[0], np.array(held[1]))
+            held[0].clear()
+            held[1].clear()
+
+        for batch in batches:
+            src, seqs, tgt, up = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            w, n, kind = (batch.column(c) for c in (4, 5, 6))
+            cuts = [0, *[i for i in range(1, len(src)) if src[i] != src[i - 1] or seqs[i] != seqs[i - 1]], len(src)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if own is None or src[a] != source or int(seqs[a]) != seq:
+                    if own is not None:
+                        flush()
+                    if own is None or src[a] != source:
+                        if own is not None:
+                            yield ended(source, own)
+                        source, own = src[a], _Source(cfg, done)
+                    seq = int(seqs[a])
+                if seq < 0:
+                    part = slice(a, b)
+                    own.add(tgt[part], np.array(w.slice(a, b - a).to_pylist(), float), np.array(n.slice(a, b - a).to_pylist(), np.int64), np.array([kinds[x] for x in kind.slice(a, b - a).to_pylist()], np.int64))
+                else:
+                    held[0].extend(tgt[a:b])
+                    held[1].extend(up[a:b])
+        if own is not None:
+            flush()
+            yield ended(source, own)
+
+    schema = f"source_id {id_type}, target_id {id_type}, weight double, edge_type string, co_activation_count int, trigger_seq long"
+    return rows.select("source_id", "episode_seq", "target_id", "up", "weight", "n", "edge_type").mapInArrow(run, schema)
+
+
+def fold_triggers(triggers: DataFrame, episodes: DataFrame, done: int, until: int, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
+    """trigger_feedback() of the episodes after learned_seq, with the decay of poor triggers between ticks.
+
+    Between two ticks with feedback a trigger stays as poor as it is, so its cycles are one subtraction.
+    """
+    fired = episodes.select("episode_seq", F.explode(F.array_distinct("triggered_ids")).alias("associated_node_id"), "useful_ids")
+    own = triggers.select("id", "associated_node_id", "learned_seq").join(fired, "associated_node_id").where("learned_seq IS NULL OR episode_seq > learned_seq")
+    tick = F.floor(F.col("episode_seq") / cfg.tick_every).cast("long").alias("tick")
+    counts = own.groupBy("id", tick).agg(F.count("*").alias("f"), F.count_if(F.array_contains("useful_ids", F.col("associated_node_id"))).alias("u"))
+    told = counts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tick", "f", "u"))).alias("told"))
+    state = lambda c, f, u, t: F.struct(c.cast("double").alias("c"), f.cast("long").alias("f"), u.cast("long").alias("u"), t.cast("long").alias("t"))
+
+    def decayed(x: Column, until: Column) -> Column:
+        poor = (x["f"] >= cfg.min_fires) & (F.try_divide(x["u"], x["f"]) < cfg.usefulness_floor)
+        return F.when(poor, F.greatest(x["c"] - (until - x["t"]) * cfg.decay_rate, F.lit(0.0))).otherwise(x["c"])
+
+    def step(x: Column, y: Column) -> Column:
+        return state(F.greatest(decayed(x, y["tick"]) - (y["f"] - y["u"]) * cfg.decay_rate, F.lit(0.0)), x["f"] + y["f"], x["u"] + y["u"], y["tick"])
+
+    begin = state(F.col("confidence"), F.col("fire_count"), F.col("useful_count"), F.lit(done))
+    none = F.expr("cast(array() as array<struct<tick:bigint,f:bigint,u:bigint>>)")
+    df = triggers.join(told, "id", "left").withColumn("e", F.aggregate(F.coalesce("told", none), begin, step))
+    df = df.withColumns({"confidence": decayed(F.col("e"), F.lit(until)), "fire_count": F.col("e.f").cast("int"), "useful_count": F.col("e.u").cast("int")})
+    return df.select(*triggers.columns)
+
+
+def learn(edges: DataFrame, triggers: DataFrame, episodes: DataFrame, checkpoint, cfg: MemoryConfig = MemoryConfig(), nodes: DataFrame | None = None, history: DataFrame | None = None, after: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges and learned triggers after a batch of episodes, with a decay cycle after every tick_every of them.
 
-    checkpoint: a function that cuts a frame's lineage, such as DataFrame.checkpoint.  The driver
-    loops over ticks of the batch, not over rows.  nodes: ends of new edges must be among them.  history:
-    earlier episodes, for the contexts of learned triggers.
+    All ticks are one pass over edges and operations and one over triggers.  checkpoint: a function that cuts a frame's
+    lineage, such as DataFrame.checkpoint.  nodes: ends of new edges must be among them.  history: earlier episodes,
+    for the contexts of learned triggers.  after: the last episode learned before, so that cycles due since then are
+    made up for: then any split of the episodes into batches gives the same state.  A trigger gets feedback from the
+    episode after the one that it was learned in; one that is learned again starts anew.
     """
     span = episodes.agg(F.min("episode_seq"), F.max("episode_seq")).first()
     if span[0] is None:
         return edges, triggers
-    tick = lambda s: s // cfg.tick_every
+    done = span[0] // cfg.tick_every if after is None else (after + 1) // cfg.tick_every
+    until = (span[1] + 1) // cfg.tick_every
     seen = episodes if history is None else history.unionByName(episodes, allowMissingColumns=True)
-    for t in range(tick(span[0]), tick(span[1]) + 1):
-        part = episodes.where(F.floor(F.col("episode_seq") / cfg.tick_every) == t)
-        triggers = trigger_feedback(triggers, part, cfg)
-        folded = checkpoint(fold_edges(edges, part, nodes, cfg))
-        triggers = upsert(triggers, learned_triggers(folded, seen.where(F.floor(F.col("episode_seq") / cfg.tick_every) <= t), cfg).select(*triggers.columns), ["id"])
-        edges = folded.drop("trigger_seq")
-        if t < tick(span[1]) or (span[1] + 1) % cfg.tick_every == 0:
-            edges, triggers = decay_cycle(edges, cfg), decay_triggers(triggers, cfg)
-        edges, triggers = checkpoint(edges), checkpoint(triggers)
-    return edges, triggers
+    folded = checkpoint(fold_ticks(edges, episodes, done, until, nodes, cfg))
+    made = learned_triggers(folded, seen, cfg, since=True).select(*triggers.columns, "learned_seq")
+    both = checkpoint(upsert(triggers.withColumn("learned_seq", F.lit(None).cast("long")), made, ["id"]))
+    return folded.drop("trigger_seq"), checkpoint(fold_triggers(both, episodes, done, until, cfg).drop("learned_seq"))
 
 
 def consolidate(edges: DataFrame, triggers: DataFrame, episodes: DataFrame, checkpoint, since: int = -1, cfg: MemoryConfig = MemoryConfig()) -> tuple[DataFrame, DataFrame]:

@@ -143,3 +143,106 @@ def test_diffuse_walk_equals_brute_force(spark):
     assert {(r["query_id"], r["id"]) for r in got.collect()} == want and len(want) == 6
     assert graph.diffuse_walk(pairs(entries), e, pairs(visited), None, MemoryConfig(diffuse_top_k=0)).count() == 0
     assert graph.focused_bfs(pairs(entries).withColumn("rank", F.lit(1)), e, MemoryConfig(focused_max_depth=0)).count() == 0
+
+
+def online(edges, episodes, cfg):
+    """One episode after the other with a decay cycle after each tick: edges, learned triggers, feedback, as a plain model."""
+    from collections import Counter
+
+    e = {(a, b): [w, k, c] for a, b, w, k, c in edges}
+    triggers, cycles, seen = {}, episodes[0][0] // cfg.tick_every, []
+
+    def cycle():
+        for k, x in e.items():
+            rate = cfg.decay_rate * (cfg.crystallise_slowdown if x[2] >= cfg.crystallise_count else 1)
+            x[0] = x[0] - rate if x[0] > rate else x[0]
+            x[0] = 0.0 if x[0] < cfg.prune_floor else x[0]
+        for a in {k[0] for k in e}:
+            for k in sorted((k for k in e if k[0] == a), key=lambda k: (-e[k][0], k[1]))[cfg.out_degree_cap :]:
+                e[k][0] = 0.0
+        for t in triggers.values():
+            if t["f"] >= cfg.min_fires and t["u"] / t["f"] < cfg.usefulness_floor:
+                t["conf"] = max(t["conf"] - cfg.decay_rate, 0.0)
+
+    for seq, context, vector, retrieved, fired, useful in episodes:
+        while cycles < seq // cfg.tick_every:
+            cycle()
+            cycles += 1
+        seen.append((seq, context, vector, set(useful)))
+        for t in triggers.values():
+            if t["node"] in fired:
+                t["f"] += 1
+                t["u"] += t["node"] in useful
+                if t["node"] not in useful:
+                    t["conf"] = max(t["conf"] - cfg.decay_rate, 0.0)
+        asked = []
+        for a in useful:
+            for b in useful:
+                if a == b:
+                    continue
+                x = e.get((a, b))
+                if x is None:
+                    e[a, b] = [cfg.new_edge_weight, "diffuse", 0]
+                    continue
+                x[0], x[2] = min(x[0] + cfg.strengthen_rate, 1.0), x[2] + 1
+                if x[1] == "diffuse" and x[2] >= cfg.promote_soft:
+                    x[1] = "soft"
+                elif x[1] == "soft" and x[2] >= cfg.promote_hard:
+                    x[1] = "hard"
+                elif x[1] == "hard" and x[2] >= cfg.promote_trigger:
+                    asked.append((a, b))
+        for a in useful:
+            for b in set(retrieved) - set(useful):
+                for p in ((a, b), (b, a)):
+                    if p in e:
+                        e[p][0] = max(e[p][0] - cfg.strengthen_rate * cfg.useless_factor, 0.0)
+        for a, b in asked:
+            own = [(c, v) for _, c, v, u in seen if a in u and b in u]
+            n, first = Counter(), {}
+            for i, (c, _) in enumerate(own):
+                for j, w in enumerate(c.lower().split()):
+                    n[w] += 1
+                    first.setdefault(w, (i, j))
+            words = sorted(n, key=lambda w: (-n[w], first[w]))[: cfg.learned_keywords]
+            mean = [round(sum(v[k] for _, v in own) / len(own), 4) for k in range(2)]
+            triggers[f"hebbian_{a}_{b}"] = {"node": b, "conf": cfg.learned_confidence, "f": 0, "u": 0, "words": words, "mean": mean}
+    while cycles < (episodes[-1][0] + 1) // cfg.tick_every:
+        cycle()
+        cycles += 1
+    return {k: (round(x[0], 6), x[1], x[2]) for k, x in e.items()}, {k: (t["node"], round(t["conf"], 6), t["f"], t["u"], t["words"], t["mean"]) for k, t in triggers.items()}
+
+
+LEARN = "episode_seq long, context string, context_embedding array<float>, retrieved_ids array<string>, triggered_ids array<string>, useful_ids array<string>"
+TRIGGER = "id string, pattern array<string>, pattern_embedding array<float>, associated_node_id string, confidence double, fire_count int, useful_count int, origin string"
+
+
+def some_episodes(rng, nodes, gaps=True):
+    out, seq = [], rng.randrange(20)
+    for _ in range(60):
+        r = rng.sample(nodes, rng.randrange(2, 7))
+        out.append((seq, " ".join(rng.choice(["lamp", "boat", "tree", "stone", "river"]) for _ in range(4)), [rng.random(), rng.random()], r, rng.sample(nodes, 3), rng.sample(r, rng.randrange(0, len(r)))))
+        seq += rng.choice([1, 1, 1, 2, 13]) if gaps else 1
+    return out
+
+
+@pytest.mark.parametrize("seed,cuts", [(1, [0, 60]), (2, [0, 7, 8, 31, 60]), (3, list(range(0, 61, 10)))])
+def test_learning_equals_one_by_one(spark, tmp_path, seed, cuts):
+    """Ticks, the cap and learned triggers; whatever the batches, the state is that of one episode after the other."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    cfg = MemoryConfig(promote_soft=1, promote_hard=2, promote_trigger=3, tick_every=4, out_degree_cap=3, crystallise_count=4)
+    rng = random.Random(seed)
+    nodes = [f"n{i}" for i in range(8)]
+    edges = [(a, b, round(rng.random(), 2), rng.choice(["diffuse", "soft", "hard"]), rng.randrange(6)) for a in nodes for b in nodes if a != b and rng.random() < 0.4]
+    edges += [("far", x, 0.5, "soft", 0) for x in nodes]  # a source without episodes decays too
+    eps = some_episodes(rng, nodes)
+    want_edges, want_triggers = online(edges, eps, cfg)
+    e, t, last = spark.createDataFrame(edges, EDGE.replace("long", "string")), spark.createDataFrame([], TRIGGER), None
+    for a, b in zip(cuts, cuts[1:]):
+        before = spark.createDataFrame(eps[:a], LEARN) if a else None
+        e, t = learning.learn(e, t, spark.createDataFrame(eps[a:b], LEARN), lambda df: df.checkpoint(), cfg, None, before, last)
+        last = eps[b - 1][0]
+    assert {(r["source_id"], r["target_id"]): (round(r["weight"], 6), r["edge_type"], r["co_activation_count"]) for r in e.collect()} == want_edges
+    got = {r["id"]: (r["associated_node_id"], round(r["confidence"], 6), r["fire_count"], r["useful_count"], r["pattern"], [round(x, 4) for x in r["pattern_embedding"]]) for r in t.collect()}
+    assert got.keys() == want_triggers.keys() and len(got) > 5
+    for k, v in got.items():
+        assert v[:5] == want_triggers[k][:5] and v[5] == pytest.approx(want_triggers[k][5], abs=2e-4)
