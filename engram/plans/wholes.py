@@ -453,26 +453,50 @@ def evaluated_examples(spark, sf_dir):
     return harness.evaluate_examples(ex, 5, ablations()["flat"], ingest.hashed_embedding).withColumn("value", F.round("value", 6))
 
 
-_TICK = 360
-
-
-@register(f"""WITH RECURSIVE {c._S}, {c._E}, {c._EC}, {c._EP}, lim AS (SELECT min(seq) // {_TICK} AS t0, max(seq) // {_TICK} AS t1, (max(seq) + 1) % {_TICK} = 0 AS whole FROM ev),
-  ops AS (SELECT a.k AS source_id, b.k AS target_id, 2 * a.seq AS moment, 'up' AS op FROM u a JOIN u b ON a.seq = b.seq AND a.k <> b.k
-    UNION ALL SELECT u.k, x.k, 2 * u.seq, 'down' FROM u JOIN x USING (seq) UNION ALL SELECT x.k, u.k, 2 * u.seq, 'down' FROM u JOIN x USING (seq)),
-  ids AS (SELECT DISTINCT source_id, target_id FROM (SELECT source_id, target_id FROM ops UNION ALL SELECT source_id, target_id FROM ec)),
-  timed AS (SELECT * FROM ops UNION ALL SELECT source_id, target_id, 2 * {_TICK} * (t + 1) - 1, 'tick' FROM ids CROSS JOIN (SELECT unnest(range(t0, t1 + whole::INT)) AS t FROM lim)),
-  o AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY moment) AS i FROM timed),
-  f AS (SELECT source_id, target_id, 0::BIGINT AS i, weight AS w, n AS c, edge_type AS t FROM ec
-    UNION ALL SELECT source_id, target_id, 0::BIGINT, NULL::DOUBLE, NULL::BIGINT, NULL::VARCHAR FROM ids WHERE NOT EXISTS (SELECT 1 FROM ec WHERE ec.source_id = ids.source_id AND ec.target_id = ids.target_id)
-    UNION ALL SELECT f.source_id, f.target_id, o.i,
-      CASE WHEN o.op = 'up' THEN CASE WHEN f.w IS NULL THEN 0.2 ELSE least(f.w + 0.1, 1.0) END WHEN f.w IS NULL THEN NULL WHEN o.op = 'down' THEN greatest(f.w - 0.05, 0.0)
-        ELSE (SELECT CASE WHEN v < 0.05 THEN 0 ELSE v END FROM (SELECT CASE WHEN f.w > (CASE WHEN f.c >= 15 THEN 0.002 ELSE 0.02 END) THEN f.w - (CASE WHEN f.c >= 15 THEN 0.002 ELSE 0.02 END) ELSE f.w END AS v)) END,
-      CASE WHEN o.op = 'up' THEN CASE WHEN f.w IS NULL THEN 0 ELSE f.c + 1 END ELSE f.c END,
-      CASE WHEN o.op = 'up' AND f.w IS NULL THEN 'diffuse' WHEN o.op = 'up' AND f.t = 'diffuse' AND f.c + 1 >= 3 THEN 'soft' WHEN o.op = 'up' AND f.t = 'soft' AND f.c + 1 >= 6 THEN 'hard' ELSE f.t END
-    FROM f JOIN o ON o.source_id = f.source_id AND o.target_id = f.target_id AND o.i = f.i + 1)
-  SELECT source_id, target_id, round(w, 6) AS weight, c AS co_activation_count, t AS edge_type FROM f WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY i DESC) = 1""")
+_ONLINE = f"""{c._S}, {c._E}, {c._EC}, {_CTX},
+  sq AS (SELECT seq, row_number() OVER (ORDER BY seq) AS i, seq // 10 AS tick FROM (SELECT DISTINCT seq FROM ev)),
+  steps AS MATERIALIZED (SELECT i, seq, coalesce(tick - lag(tick) OVER (ORDER BY i), 0) AS cyc FROM sq UNION ALL SELECT max(i) + 1, NULL, (max(seq) + 1) // 10 - max(tick) FROM sq),
+  ops AS MATERIALIZED (SELECT i, a.k AS source_id, b.k AS target_id, true AS up FROM u a JOIN u b ON a.seq = b.seq AND a.k <> b.k JOIN sq ON sq.seq = a.seq
+    UNION ALL SELECT i, u.k, x.k, false FROM u JOIN x USING (seq) JOIN sq USING (seq) UNION ALL SELECT i, x.k, u.k, false FROM u JOIN x USING (seq) JOIN sq USING (seq)),
+  ids AS (SELECT DISTINCT source_id, target_id FROM (SELECT source_id, target_id FROM ops WHERE up UNION ALL SELECT source_id, target_id FROM ec)),
+  f AS (SELECT 0::BIGINT AS i, ids.source_id, ids.target_id, weight AS w, n::BIGINT AS c, edge_type AS t, NULL::BIGINT AS s FROM ids LEFT JOIN ec ON ec.source_id = ids.source_id AND ec.target_id = ids.target_id
+    UNION ALL SELECT y.i + 1, y.source_id, y.target_id,
+      CASE WHEN o.up IS NULL THEN y.w WHEN o.up THEN CASE WHEN y.w IS NULL THEN 0.2 ELSE least(y.w + 0.1, 1.0) END WHEN y.w IS NULL THEN NULL ELSE greatest(y.w - 0.05, 0.0) END,
+      CASE WHEN o.up THEN CASE WHEN y.w IS NULL THEN 0 ELSE y.c + 1 END ELSE y.c END,
+      CASE WHEN o.up AND y.w IS NULL THEN 'diffuse' WHEN o.up AND y.t = 'diffuse' AND y.c + 1 >= 3 THEN 'soft' WHEN o.up AND y.t = 'soft' AND y.c + 1 >= 6 THEN 'hard' ELSE y.t END,
+      CASE WHEN o.up AND y.w IS NOT NULL AND y.t = 'hard' AND y.c + 1 >= 10 THEN y.seq ELSE y.s END
+    FROM (SELECT z.i, z.source_id, z.target_id, z.c, z.t, z.s, z.seq, CASE WHEN z.cyc > 0 AND z.v IS NOT NULL AND row_number() OVER (PARTITION BY z.source_id ORDER BY z.v DESC NULLS LAST, z.target_id) > 20 THEN 0 ELSE z.v END AS w
+      FROM (SELECT d.*, CASE WHEN d.cyc > 0 AND d.v0 < 0.05 THEN 0 ELSE d.v0 END AS v FROM (
+        SELECT f.*, st.seq, st.cyc, CASE WHEN st.cyc > 0 AND f.w > (CASE WHEN f.c >= 15 THEN 0.002 ELSE 0.02 END) THEN f.w - (CASE WHEN f.c >= 15 THEN 0.002 ELSE 0.02 END) ELSE f.w END AS v0 FROM f JOIN steps st ON st.i = f.i + 1) d) z) y
+    LEFT JOIN ops o ON o.i = y.i + 1 AND o.source_id = y.source_id AND o.target_id = y.target_id),
+  last AS MATERIALIZED (SELECT * FROM f WHERE i = (SELECT max(i) FROM steps) AND w IS NOT NULL)"""
+_NONE = "id string, pattern array<string>, pattern_embedding array<float>, associated_node_id long, confidence double, fire_count int, useful_count int, origin string"
+
+
+def _online(spark, sf_dir):
+    """Online learning over all episodes at the default settings: ticks of ten, a cap of twenty edges a source."""
+    return learning.learn(cut(inputs.counted_edges(spark, sf_dir)), spark.createDataFrame([], _NONE), cut(_embedded(spark, sf_dir)), cut, CFG)
+
+
+@register(f"WITH RECURSIVE {_ONLINE} SELECT source_id, target_id, round(w, 6) AS weight, c AS co_activation_count, t AS edge_type FROM last")
 def updated_edges(spark, sf_dir):
-    """Online learning over all episodes, with decay cycles between ticks; no source has so many edges that the cap acts."""
-    none = spark.createDataFrame([], "id string, pattern array<string>, pattern_embedding array<float>, associated_node_id long, confidence double, fire_count int, useful_count int, origin string")
-    out, _ = learning.learn(cut(inputs.counted_edges(spark, sf_dir)), none, cut(_embedded(spark, sf_dir)), cut, replace(CFG, tick_every=_TICK, out_degree_cap=1 << 20))
-    return out.select("source_id", "target_id", F.round("weight", 6).alias("weight"), "co_activation_count", "edge_type")
+    return _online(spark, sf_dir)[0].select("source_id", "target_id", F.round("weight", 6).alias("weight"), "co_activation_count", "edge_type")
+
+
+@register(f"""WITH RECURSIVE {_ONLINE}, asked AS MATERIALIZED (SELECT source_id, target_id, s FROM last WHERE s IS NOT NULL),
+  xs AS (SELECT k.source_id, k.target_id, a.seq FROM asked k JOIN u a ON a.k = k.source_id JOIN u b ON b.k = k.target_id AND a.seq = b.seq WHERE a.seq <= k.s),
+  gs AS (SELECT source_id, target_id, w, count(*) AS n, min(seq * 100000 + pos) AS first FROM xs JOIN tok USING (seq) GROUP BY ALL),
+  ps AS (SELECT source_id, target_id, string_agg(w, ' ' ORDER BY n DESC, first) AS pattern FROM (SELECT * FROM gs QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY n DESC, first) <= 15) GROUP BY ALL),
+  ms AS (SELECT source_id, target_id, avg(n1) AS m1, avg(n2) AS m2, avg(n3) AS m3 FROM xs JOIN z USING (seq) GROUP BY ALL),
+  said AS MATERIALIZED (SELECT sq.i, c.k, u.k IS NOT NULL AS good FROM c JOIN sq USING (seq) LEFT JOIN u ON u.seq = c.seq AND u.k = c.k),
+  fb AS (SELECT 0::BIGINT AS i, source_id, target_id, s, 0.7::DOUBLE AS conf, 0::BIGINT AS fires, 0::BIGINT AS uses FROM asked
+    UNION ALL SELECT h.i + 1, h.source_id, h.target_id, h.s, CASE WHEN d.good IS NULL OR d.good OR h.seq <= h.s THEN h.conf ELSE greatest(h.conf - 0.02, 0) END,
+      h.fires + (d.good IS NOT NULL AND h.seq > h.s)::BIGINT, h.uses + (coalesce(d.good, false) AND h.seq > h.s)::BIGINT
+    FROM (SELECT fb.i, fb.source_id, fb.target_id, fb.s, fb.fires, fb.uses, st.seq, CASE WHEN st.cyc > 0 AND fb.fires >= 3 AND fb.uses / fb.fires < 0.7 THEN greatest(fb.conf - 0.02, 0) ELSE fb.conf END AS conf FROM fb JOIN steps st ON st.i = fb.i + 1) h
+    LEFT JOIN said d ON d.i = h.i + 1 AND d.k = h.target_id)
+  SELECT 'hebbian_' || fb.source_id || '_' || fb.target_id AS id, pattern, fb.target_id AS associated_node_id, round(conf, 6) AS confidence, fires AS fire_count, uses AS useful_count, round(m1, 4) AS m1, round(m2, 4) AS m2, round(m3, 4) AS m3
+  FROM fb JOIN ps USING (source_id, target_id) JOIN ms USING (source_id, target_id) WHERE i = (SELECT max(i) FROM steps)""")
+def updated_triggers(spark, sf_dir):
+    """The triggers of that run: each from the last time its edge asked, with the feedback since."""
+    t = _online(spark, sf_dir)[1].withColumn("confidence", F.round("confidence", 6))
+    return _flat(t).join(t.select("id", "fire_count", "useful_count"), "id")
