@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from engram.config import MemoryConfig
 from engram.functions.text import document_text
-from engram.operators import gate, graph, ingest, learning, search
+from engram.operators import gate, graph, ingest, learning, search, vector_index
 from engram.schema import require_valid_ids
 from engram.sources.loaders import load_state, save_state
 
@@ -26,6 +26,7 @@ TABLES = {
     "triggers": "id string, pattern array<string>, pattern_embedding array<double>, associated_node_id string, confidence double, fire_count int, useful_count int, origin string",
     "episodes": "episode_seq bigint, context string, context_embedding array<double>, retrieved_ids array<string>, triggered_ids array<string>, useful_ids array<string>",
     "consolidated": "episode_seq bigint",
+    "cells": vector_index.SCHEMA,
 }
 #: A count that no edge reaches: promotion switched off.
 NEVER = 1 << 30
@@ -78,11 +79,15 @@ class Memory:
         nodes = self.table("nodes")
         rest = nodes.where("node_type = 'section'").join(sections.select("id"), "id", "left_anti")
         new = sections.unionByName(ingest.containers(docs)).withColumn("access_count", F.lit(0))
+        index = vector_index.VectorIndex.opened(self.spark, f"{self.folder}/vectors", self.table("cells"))
+        replaced = not nodes.where("node_type = 'section'").join(sections.select("id"), "id", "left_semi").isEmpty()
+        near = index.link(sections, rest, self.cfg.cross_threshold, "parent_id", replaced)
         edges = graph.containment_edges(sections)
-        for made in (graph.sibling_edges(sections, self.cfg), graph.cross_edges(sections, self.cfg), graph.cross_edges(rest, self.cfg, new=sections)):
+        for made in (graph.sibling_edges(sections, self.cfg), graph.cross_of_pairs(near, self.cfg)):
             edges = edges.unionByName(made)
         titled = sections.select("id", F.concat_ws("\n", "title", "content").alias("content"))
         self._write({
+            "cells": index.row(),
             "nodes": learning.upsert(nodes, new, ["id"]),
             "edges": learning.upsert(self.table("edges"), edges.withColumn("co_activation_count", F.lit(0)), ["source_id", "target_id"]),
             "explicit": learning.upsert(self.table("explicit"), ingest.explicit_triggers(titled, self.embed), ["id"]),
@@ -123,7 +128,7 @@ class Memory:
         e = episodes.withColumn("context_embedding", self.embed(F.coalesce("context", F.lit("")))).checkpoint()
         cfg = self.cfg if self.cfg.enable_hebbian else replace(self.cfg, promote_soft=NEVER, promote_hard=NEVER, promote_trigger=NEVER)
         nodes, before = self.table("nodes"), self.table("episodes")
-        edges, triggers = learning.learn(self.table("edges"), self.table("triggers"), e, lambda df: df.checkpoint(), cfg, nodes, before)
+        edges, triggers = learning.learn(self.table("edges"), self.table("triggers"), e, lambda df: df.checkpoint(), cfg, nodes, before, before.agg(F.max("episode_seq")).first()[0])
         uses = nodes.join(learning.access_counts(e), "id", "left").withColumn("access_count", (F.col("access_count") + F.coalesce("accesses", F.lit(0))).cast("int"))
         log = learning.retain(before.unionByName(e.select(*before.columns)), cfg)
         self._write({"nodes": uses.drop("accesses"), "edges": edges, "triggers": triggers, "episodes": log})

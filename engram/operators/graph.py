@@ -45,6 +45,11 @@ def cross_edges(sections: DataFrame, cfg: MemoryConfig = MemoryConfig(), id_col:
         pairs = pivots.similar_pairs(sections, cfg.cross_threshold, id_col, mark="parent_id")
     else:
         pairs = pivots.similar_pairs(new, cfg.cross_threshold, id_col, sections, "parent_id")
+    return cross_of_pairs(pairs, cfg)
+
+
+def cross_of_pairs(pairs: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
+    """Edges of pairs (a, b, sim) of different parents."""
     return both_ways(pairs.select("a", "b", F.col("sim").alias("weight"), graded(F.col("sim"), cfg.cross_soft).alias("edge_type")))
 
 

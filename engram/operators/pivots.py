@@ -11,7 +11,7 @@ With too few vectors for two cells all blocks meet.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -90,11 +90,11 @@ def cell_blocks(df: DataFrame, pivots: Pivots, id_col: str = "id", vector_col: s
 
 @dataclass
 class Report:
-    """What a join multiplied: pairs of blocks, of all that there are."""
+    """What a join multiplied: pairs of blocks, of all that there are; and the vectors of the right side in cells that it read."""
 
     pairs: int = 0
     all: int = 0
-    notes: list[str] = field(default_factory=list)
+    read: int = 0
 
     @property
     def share(self) -> float:
@@ -143,10 +143,10 @@ def reachable_cells(left: list, right: list, threshold: float) -> list[tuple[int
     return out
 
 
-def bounded_pairs(left: DataFrame, right: DataFrame, threshold: float, spans: tuple[list, list] | None = None) -> DataFrame:
-    """la, lb, bound, n: pairs of blocks whose bound reaches the threshold."""
+def bounded_pairs(left: DataFrame, right: DataFrame, threshold: float, near: list[tuple[int, int]] | None = None) -> DataFrame:
+    """la, lb, bound, n: pairs of blocks whose bound reaches the threshold; near: the cells that may meet."""
     spark: SparkSession = left.sparkSession
-    near = reachable_cells(*(spans or (cell_spans(left), cell_spans(right))), threshold)
+    near = reachable_cells(cell_spans(left), cell_spans(right), threshold) if near is None else near
     reach = spark.createDataFrame(near, "ca int, cb int")
     a = _spans(left).selectExpr("block AS la", "cell AS ca", "centre AS pa", "radius AS ra", "n AS na")
     b = _spans(right).selectExpr("block AS lb", "cell AS cb", "centre AS pb", "radius AS rb", "n AS nb")
@@ -168,16 +168,27 @@ def fetched(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.select("la", "lb").join(a, "la").join(b, "lb").select("a", "b")
 
 
-def join_cells(left: DataFrame, right: DataFrame, threshold: float, ids: tuple[str, str] = ("a", "b"), ordered: bool = False, apart: bool = False, report: Report | None = None, spans: tuple[list, list] | None = None) -> DataFrame:
-    """What vector_join() gives of the same vectors, from stored cell_blocks(): a self join if left is right."""
-    pairs = bounded_pairs(left, right, threshold, spans)
-    if left is right and ordered:  # each pair of blocks once, then the ids of a pair in order
+def join_cells(left: DataFrame, right: DataFrame, threshold: float, ids: tuple[str, str] = ("a", "b"), ordered: bool = False, apart: bool = False, report: Report | None = None) -> DataFrame:
+    """What vector_join() gives of the same vectors, from stored cell_blocks(): a self join if left is right.
+
+    Of blocks that are stored by cell only those of cells in reach are read.
+    """
+    near = reachable_cells(cell_spans(left), cell_spans(right), threshold)
+    itself = left is right
+    if report is not None:
+        report.all = left.count() * right.count()
+    right = right.where(F.col("cell").isin(sorted({b for _, b in near})))
+    left = right if itself else left.where(F.col("cell").isin(sorted({a for a, _ in near})))
+    pairs = bounded_pairs(left, right, threshold, near)
+    if itself and ordered:  # each pair of blocks once, then the ids of a pair in order
         pairs = pairs.where("la <= lb")
     if report is not None:
-        n = left.count()
-        report.pairs, report.all = pairs.count(), n * (n + 1) // 2 if left is right and ordered else n * right.count()
+        report.pairs, report.read = pairs.count(), right.selectExpr("coalesce(sum(size(ids)), 0)").first()[0]
+        if itself and ordered:
+            n = int(report.all**0.5)
+            report.all = n * (n + 1) // 2
     kinds = kinds_of(left, right)
-    if not (left is right and ordered):
+    if not (itself and ordered):
         return join_blocks(fetched(pairs, left, right), kinds, threshold, ids, ordered=ordered, apart=apart)
     alone = join_blocks(fetched(pairs.where("la = lb"), left, right), kinds, threshold, ids, ordered=True, apart=apart)
     two = join_blocks(fetched(pairs.where("la < lb"), left, right), kinds, threshold, ids, apart=apart).where(F.col(ids[0]) != F.col(ids[1]))

@@ -246,3 +246,26 @@ def test_learning_equals_one_by_one(spark, tmp_path, seed, cuts):
     assert got.keys() == want_triggers.keys() and len(got) > 5
     for k, v in got.items():
         assert v[:5] == want_triggers[k][:5] and v[5] == pytest.approx(want_triggers[k][5], abs=2e-4)
+
+
+def test_stream_gives_the_state_of_learn(spark, tmp_path):
+    """Sixty episodes in files of uneven sizes, one a micro-batch, against one episode after the other."""
+    from engram.streaming.episodes import learn_online, read_episodes
+
+    cfg = MemoryConfig(promote_soft=1, promote_hard=2, promote_trigger=3, tick_every=4, out_degree_cap=3, crystallise_count=4)
+    rng = random.Random(11)
+    nodes = [f"n{i}" for i in range(8)]
+    edges = [(a, b, round(rng.random(), 2), "soft", rng.randrange(6)) for a in nodes for b in nodes if a != b and rng.random() < 0.4]
+    eps = some_episodes(rng, nodes)
+    want_edges, want_triggers = online(edges, eps, cfg)
+    spark.createDataFrame(edges, EDGE.replace("long", "string")).write.parquet(str(tmp_path / "edges/v0"))
+    spark.createDataFrame([], TRIGGER).write.parquet(str(tmp_path / "triggers/v0"))
+    cuts = [0, 3, 25, 26, 60]
+    for a, b in zip(cuts, cuts[1:]):
+        spark.createDataFrame(eps[a:b], LEARN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = learn_online(read_episodes(spark, str(tmp_path / "in"), LEARN), str(tmp_path), str(tmp_path / "ck"), cfg)
+    q.awaitTermination(300)
+    got = spark.read.parquet(str(tmp_path / "edges/v4"))
+    assert {(r["source_id"], r["target_id"]): (round(r["weight"], 6), r["edge_type"], r["co_activation_count"]) for r in got.collect()} == want_edges
+    triggers = {r["id"]: (r["associated_node_id"], round(r["confidence"], 6), r["fire_count"], r["useful_count"], r["pattern"]) for r in spark.read.parquet(str(tmp_path / "triggers/v4")).collect()}
+    assert triggers == {k: v[:5] for k, v in want_triggers.items()} and len(triggers) > 5

@@ -7,6 +7,7 @@ from engram.config import MemoryConfig
 from engram.functions import vector
 from engram.operators import graph, pivots
 from engram.operators.cuts import stored
+from engram.operators.vector_index import VectorIndex
 
 SCHEMA = "id long, parent_id string, embedding array<double>"
 
@@ -83,6 +84,27 @@ def test_few_zero_and_no_vectors(spark, small_blocks):
     assert pivots.similar_pairs(none, 0.5).count() == 0 and pivots.similar_pairs(df.limit(3), 0.5, others=none).count() == 0
 
 
+def test_index_links_like_a_rebuild(spark, small_blocks, tmp_path):
+    """Document by document: the pairs of all parts are those of all vectors, and a call reads a part of what is stored."""
+    m = clustered(1500)
+    df = frame(spark, m)
+    index, got, shares = VectorIndex(spark, str(tmp_path)), set(), []
+    for a, b in ((0, 900), (900, 1200), (1200, 1230), (1230, 1500)):
+        index = VectorIndex.opened(spark, str(tmp_path), index.row())
+        report = pivots.Report()
+        new, rest = df.where(f"id >= {a} AND id < {b}"), df.where(f"id < {a}")
+        got |= {tuple(sorted((r["a"], r["b"]))) for r in index.link(new, rest, 0.9, report=report).collect()}
+        shares.append((report.read, a))
+    sim = cosines(m, m)
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(sim >= 0.9, 1)))}
+    assert index.held == 1500 and len(index.parts) == 4
+    assert shares[2][0] < 0.9 * shares[2][1]
+    # one of the stored vectors is replaced: a new generation, without the old one
+    moved = spark.createDataFrame([(0, "p0", list(map(float, m[700])))], SCHEMA)
+    pairs = {(r["a"], r["b"]) for r in index.link(moved, df.where("id > 0"), 0.9, replaced=True).collect()}
+    assert pairs == {(0, int(b)) for b in np.flatnonzero(sim[700] >= 0.9) if b} and index.held == 1500 and len(index.parts) == 2
+
+
 def test_small_parts_share_blocks(spark):
     """20 000 rows of parents with eight sections each fill their blocks; one large parent has several."""
     m = clustered(20_000, 4)
