@@ -121,15 +121,25 @@ class Templates:
         self.h, self.of = self.h[order], self.of[order]
 
 
-#: Starts of windows looked at together.
-STARTS = 4096
+#: Windows whose bigrams are looked at together, and how many times the bigrams of the largest set that can match a window may have.
+CELLS, REPEATS = 1 << 21, 2
+
+
+def _before(h: np.ndarray) -> np.ndarray:
+    """Place of the last equal value before each; -1 if there is none."""
+    order = np.argsort(h, kind="stable")
+    out = np.full(len(h), -1)
+    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
 
 
 def _windows(h: np.ndarray, free: np.ndarray, t: Templates, threshold: float) -> list[tuple[float, int, int, int]]:
     """(dice, first, last, template): the best window of each template that reaches threshold, over bigrams h of one text that are free.
 
-    A window begins and ends with a bigram of its template and holds no bigram that isn't free.  Of windows that
-    overlap, those of the largest Dice stay.
+    A window begins and ends with a bigram of its template and holds no bigram that isn't free; with repeats it has up to
+    REPEATS times the bigrams of the largest set that can match.  Its Dice is exact: of equal bigrams in a window the
+    first counts.  Ties go to the earliest, then the shortest.  Of windows that overlap, those of the largest Dice stay.
     """
     low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     at = np.flatnonzero(free & np.isin(h, t.h))
@@ -142,26 +152,30 @@ def _windows(h: np.ndarray, free: np.ndarray, t: Templates, threshold: float) ->
     # of a window of a bigrams, threshold * (a + b) / 2 are the template's, and a >= low * b
     found = []
     barrier = np.concatenate([[0], np.cumsum(~free)])
+    before = _before(h)
     for k in np.flatnonzero((distinct_hits >= np.ceil(threshold * t.size * (1 + low) / 2 - 1e-9)) & (t.size > 0)).tolist():
         pos, b = hit[which == k], int(t.size[k])
-        reach = np.searchsorted(pos, pos + int(high * b) + 1)  # distinct bigrams are no more than bigrams
+        limit = int(REPEATS * high * b) + 1
+        reach = np.searchsorted(pos, pos + limit)
         wide = int((reach - np.arange(len(pos))).max())
+        own_before = _before(h[pos])
         best: tuple[float, int, int, int] | None = None
-        for a in range(0, len(pos), STARTS):
-            i = np.arange(a, min(a + STARTS, len(pos)))
-            ends = np.minimum(i[:, None] + np.arange(wide), len(pos) - 1)
-            length = pos[ends] - pos[i][:, None] + 1
-            score = 2 * np.arange(1, wide + 1) / (length + b)
-            bad = (i[:, None] + np.arange(wide) >= reach[i][:, None]) | (barrier[pos[ends] + 1] != barrier[pos[i]][:, None]) | (length < low * b)
-            score = np.where(bad, 0, score)
-            to = score.argmax(1)
-            for x in np.flatnonzero(score[np.arange(len(i)), to] >= threshold - 1e-9).tolist():
-                first, last = int(pos[i[x]]), int(pos[ends[x, to[x]]])
-                own = np.unique(h[first : last + 1])
-                dice = 2 * len(np.intersect1d(own, t.sets[k], assume_unique=True)) / (len(own) + b)
-                if dice >= threshold - 1e-12:
-                    now = (-dice, first, last, k)
-                    best = now if best is None else min(best, now)
+        step = max(1, CELLS // (limit + wide))
+        for a in range(0, len(pos), step):
+            i = np.arange(a, min(a + step, len(pos)))[:, None]
+            m = np.minimum(i + np.arange(wide), len(pos) - 1)
+            ends = pos[m]
+            both = np.cumsum(own_before[m] < i, axis=1)
+            inside = np.minimum(pos[i] + np.arange(limit), len(h) - 1)
+            size = np.take_along_axis(np.cumsum(before[inside] < pos[i], axis=1), np.minimum(ends - pos[i], limit - 1), 1)
+            bad = (i + np.arange(wide) >= reach[i]) | (barrier[ends + 1] != barrier[pos[i]])
+            dice = np.where(bad, 0, 2 * both / (size + b))
+            to = dice.argmax(1)
+            top = dice[np.arange(len(i)), to]
+            x = int(top.argmax())
+            if top[x] >= threshold - 1e-12:
+                now = (-float(top[x]), int(pos[i[x, 0]]), int(ends[x, to[x]]), k)
+                best = now if best is None else min(best, now)
         if best:
             found.append(best)
     kept: list[tuple[float, int, int, int]] = []

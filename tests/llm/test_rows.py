@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from engram.llm.chat_format import ChatTemplate, chat_digests, format_chats
@@ -260,6 +261,35 @@ def test_notices_inside_longer_lines_equal_brute_force(spark):
     assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - want[k]) < 0.05 for k in want)
 
 
+def test_windows_equal_exhaustive_search():
+    """Notices with repeated, missing and strange words: the best window's Dice is that of a search over all windows."""
+    from engram.llm.arrays import utf8
+    from engram.llm.license_scans import Templates, _bigrams, _windows
+
+    rng = random.Random(21)
+    text = "permission to use copy modify and distribute this software for any purpose is hereby granted without fee to any person"
+    t = Templates({"A": (text,), "B": ("released under the terms of the open licence version two or any later version",)})
+    lost = 0
+    for _ in range(60):
+        words = text.split()
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[], [words[k], "odd"], [words[k], words[k]]])
+        tail = [rng.choice(text.split()) for _ in range(rng.randrange(0, 12))] + text.split()[: rng.randrange(0, 9)]
+        whole = " ".join(["intro", "words", *words, *tail, "end"])
+        h, _, _ = _bigrams(*utf8(pa.array([whole], pa.large_string())))
+        got = {k: (round(d, 9), a, b) for d, a, b, k in _windows(h, np.ones(len(h), bool), t, 0.8)}
+        own = set(t.sets[0].tolist())
+        every = [(-round(2 * len(own & (w := set(h[a : b + 1].tolist()))) / (len(w) + len(own)), 9), a, b) for a in range(len(h)) for b in range(a, len(h)) if int(h[a]) in own and int(h[b]) in own]
+        d, a, b = min(every)
+        if -d >= 0.8:
+            assert got[0] == (-d, a, b), whole
+        else:
+            lost += 1
+            assert 0 not in got
+    assert lost < 40
+
+
 def test_two_and_three_clause_licences_are_apart(spark):
     texts = {k: TEMPLATES[k][1] for k in ("BSD-2-Clause", "BSD-3-Clause")}
     docs = spark.createDataFrame([(i, "Copyright 2020 someone.\n\n" + t) for i, t in enumerate(texts.values())] + [(9, texts["BSD-2-Clause"])] * 2, "doc_id long, text string")
