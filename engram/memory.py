@@ -64,23 +64,33 @@ class Memory:
         save_state(shaped, f"{self.folder}/v{self.version + 1}")
         self.version += 1
 
-    def index(self, docs: DataFrame, rebuild: bool = False) -> None:
+    def index(self, docs: DataFrame, rebuild: bool = False, replace: bool = False) -> None:
         """Add documents (id, title, text), ids distinct.
 
-        Sections: known documents are replaced, sections they no longer have stay.  Documents: known ones are
+        Sections: sections of known documents are replaced by id; those that a document no longer has stay, unless
+        replace is set: then they go, with the edges and triggers that they had.  Documents: known ones are
         skipped; rebuild makes the edges of all pairs anew, which wipes what these have learned.
         """
         docs = require_valid_ids(docs.select(F.col("id").cast("string"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")), "id")
-        (self._index_sections if self.level == "section" else self._index_documents)(docs, rebuild)
+        (self._index_sections if self.level == "section" else self._index_documents)(docs, replace if self.level == "section" else rebuild)
 
-    def _index_sections(self, docs: DataFrame, rebuild: bool) -> None:
+    def _index_sections(self, docs: DataFrame, replace: bool) -> None:
         docs = docs.withColumnRenamed("text", "content")
         sections = ingest.sections(docs, self.embed).checkpoint()
-        nodes = self.table("nodes")
+        nodes, known_edges, explicit, triggers = (self.table(x) for x in ("nodes", "edges", "explicit", "triggers"))
+        gone = None
+        if replace:
+            own = nodes.where("node_type = 'section'").join(docs.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+            gone = own.join(sections.select("id"), "id", "left_anti").select("id").checkpoint()
+            without = lambda df, c: df.join(gone.withColumnRenamed("id", c), c, "left_anti").select(*df.columns)
+            nodes, known_edges = without(nodes, "id"), without(without(known_edges, "source_id"), "target_id")
+            explicit, triggers = without(explicit, "associated_node_id"), without(triggers, "associated_node_id")
+            # explicit triggers of a section's former text
+            explicit = explicit.join(sections.select(F.col("id").alias("associated_node_id")), "associated_node_id", "left_anti").select(*explicit.columns)
         rest = nodes.where("node_type = 'section'").join(sections.select("id"), "id", "left_anti")
         new = sections.unionByName(ingest.containers(docs)).withColumn("access_count", F.lit(0))
         index = vector_index.VectorIndex.opened(self.spark, f"{self.folder}/vectors", self.table("cells"))
-        replaced = not nodes.where("node_type = 'section'").join(sections.select("id"), "id", "left_semi").isEmpty()
+        replaced = not nodes.where("node_type = 'section'").join(sections.select("id"), "id", "left_semi").isEmpty() or (gone is not None and not gone.isEmpty())
         near = index.link(sections, rest, self.cfg.cross_threshold, "parent_id", replaced)
         edges = graph.containment_edges(sections)
         for made in (graph.sibling_edges(sections, self.cfg), graph.cross_of_pairs(near, self.cfg)):
@@ -89,8 +99,9 @@ class Memory:
         self._write({
             "cells": index.row(),
             "nodes": learning.upsert(nodes, new, ["id"]),
-            "edges": learning.upsert(self.table("edges"), edges.withColumn("co_activation_count", F.lit(0)), ["source_id", "target_id"]),
-            "explicit": learning.upsert(self.table("explicit"), ingest.explicit_triggers(titled, self.embed), ["id"]),
+            "triggers": triggers,
+            "edges": learning.upsert(known_edges, edges.withColumn("co_activation_count", F.lit(0)), ["source_id", "target_id"]),
+            "explicit": learning.upsert(explicit, ingest.explicit_triggers(titled, self.embed), ["id"]),
         })
 
     def _index_documents(self, docs: DataFrame, rebuild: bool) -> None:

@@ -96,6 +96,27 @@ def test_indexing_again_keeps_one_row_an_id(spark, made):
     assert m.table("nodes").count() == 0
 
 
+def test_replaced_document_leaves_nothing_stale(spark, made):
+    """A section that a document no longer has goes, with its edges, its triggers and its vector; others stay."""
+    m = made()
+    schema = "id string, title string, text string"
+    pair = ["deploy::s1", "kitchen::s0"]
+    m.update(frame(spark, [(0, "mug", pair, [], pair)], "episode_seq long, context string, retrieved_ids array<string>, triggered_ids array<string>, useful_ids array<string>"))
+    assert m.table("edges").where("target_id = 'deploy::s1'").count() > 0
+    others = {r["id"] for r in m.table("nodes").collect() if not r["id"].startswith("deploy")}
+    m.index(frame(spark, [("deploy", "Deploying", "# Deploying\n\nOnly one plain section is left.")], schema), replace=True)
+    ids = {r["id"] for r in m.table("nodes").collect()}
+    assert "deploy::s0" in ids and "deploy::s1" not in ids and others <= ids
+    assert m.table("edges").where("source_id = 'deploy::s1' OR target_id = 'deploy::s1'").count() == 0
+    named = {r["associated_node_id"] for t in ("explicit", "triggers") for r in m.table(t).collect()}
+    assert "deploy::s1" not in named and named <= ids
+    words = [w for r in m.table("explicit").where("associated_node_id = 'deploy::s0'").collect() for w in r["pattern"]]
+    assert "canary" not in words
+    found = ranked(m.retrieve(frame(spark, QUERIES, "query_id string, text string"), 10))
+    assert all("deploy::s1" not in v for v in found.values())
+    assert m.table("edges").count() == m.table("edges").select("source_id", "target_id").distinct().count()
+
+
 def test_learning_and_consolidation(spark, made):
     m = made(cfg=MemoryConfig(promote_soft=2, promote_hard=3, promote_trigger=4))
     pair = ["deploy::s0", "kitchen::s0"]
