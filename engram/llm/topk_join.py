@@ -263,9 +263,9 @@ def topk_join(queries: DataFrame, base: DataFrame, k: int = 5, scale: int = 256,
                 vectors.append(x[:asked])
             if asked == len(x):
                 continue
+            if not rows:  # of a split cell, a group may have got no query
+                return
             if best is None:
-                if not rows:
-                    raise RuntimeError("a task without queries")
                 best = Best(np.concatenate(vectors), np.concatenate(ids), pivots, k)
             cell, dist = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             cuts = np.flatnonzero(np.diff(cell[asked:], prepend=-1)) + asked
