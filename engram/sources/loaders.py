@@ -89,14 +89,20 @@ def load_all(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return found
 
 
-def load_trigger_scenarios(spark: SparkSession, *paths: str) -> DataFrame:
-    """Scenarios of YAML files, in the order of the paths."""
+def _scenarios(path: str) -> list[dict]:
+    """The scenarios of a YAML file: a list, or a mapping that holds it under "scenarios"."""
     import yaml
 
+    data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or []
+    return (data.get("scenarios") or []) if isinstance(data, dict) else data
+
+
+def load_trigger_scenarios(spark: SparkSession, *paths: str) -> DataFrame:
+    """Scenarios of YAML files, in the order of the paths."""
     expect = "array<struct<memory:string,section:string,reason:string>>"
     rows = []
     for p in paths:
-        for s in yaml.safe_load(Path(p).read_text(encoding="utf-8")) or []:
+        for s in _scenarios(p):
             pick = lambda k, s=s: [(x.get("memory"), x.get("section"), x.get("reason")) for x in s.get(k) or []]
             rows.append((s["id"], s.get("name"), s.get("category"), s["context"], pick("expected_triggers"), pick("expected_non_triggers"), json.dumps(s.get("baseline_flat_rag")) if s.get("baseline_flat_rag") is not None else None))
     return spark.createDataFrame(rows, f"id string, name string, category string, context string, expected {expect}, non_expected {expect}, baseline string")
@@ -104,17 +110,14 @@ def load_trigger_scenarios(spark: SparkSession, *paths: str) -> DataFrame:
 
 def load_promotion_scenarios(spark: SparkSession, path: str) -> DataFrame:
     """One row a step: the context, and all other fields as a map of JSON texts."""
-    import yaml
-
-    rows = [(s["id"], s.get("name"), s.get("category"), i, step.get("context"), {k: json.dumps(v) for k, v in step.items() if k != "context"}) for s in yaml.safe_load(Path(path).read_text(encoding="utf-8")) or [] for i, step in enumerate(s.get("sequence") or [])]
-    return spark.createDataFrame(rows, "id string, name string, category string, step int, context string, expectations map<string,string>")
+    rows = [(s["id"], s.get("name"), s.get("category"), s.get("description"), i, step.get("context"), {k: json.dumps(v) for k, v in step.items() if k != "context"}) for s in _scenarios(path) for i, step in enumerate(s.get("sequence") or [])]
+    return spark.createDataFrame(rows, "id string, name string, category string, description string, step int, context string, expectations map<string,string>")
 
 
 def load_memories(spark: SparkSession, folder: str) -> DataFrame:
-    """name, text of the Markdown files of a folder, by file name."""
+    """name, text of the Markdown files of a folder, by file name: scenarios name memories by their files."""
     df = spark.read.text(f"{folder}/*.md", wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "")
-    return df.select(name.alias("name"), F.col("value").alias("text")).orderBy("name")
+    return df.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text")).orderBy("name")
 
 
 def sessions_from_turns(turns: DataFrame) -> DataFrame:

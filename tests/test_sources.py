@@ -41,7 +41,13 @@ def test_scenarios_and_memories(spark, tmp_path):
     (tmp_path / "p.yaml").write_text("- id: p1\n  sequence:\n    - {context: a, expect_edge: soft}\n    - {context: b}\n")
     assert [x["expectations"] for x in loaders.load_promotion_scenarios(spark, str(tmp_path / "p.yaml")).orderBy("step").collect()] == [{"expect_edge": '"soft"'}, {}]
     (tmp_path / "b.md").write_text("two"), (tmp_path / "a.md").write_text("one")
-    assert [tuple(x) for x in loaders.load_memories(spark, str(tmp_path)).collect()] == [("a", "one"), ("b", "two")]
+    assert [tuple(x) for x in loaders.load_memories(spark, str(tmp_path)).collect()] == [("a.md", "one"), ("b.md", "two")]
+    (tmp_path / "q.yaml").write_text("scenarios:\n  - id: p2\n    description: d\n    sequence:\n      - {context: a, marked_useful: false}\n")
+    row = loaders.load_promotion_scenarios(spark, str(tmp_path / "q.yaml")).first()
+    assert (row["id"], row["description"], row["expectations"]) == ("p2", "d", {"marked_useful": "false"})
+    (tmp_path / "t.yaml").write_text("scenarios:\n  - {id: s2, context: x, expected_non_triggers: [{memory: a.md}]}\n")
+    both = loaders.load_trigger_scenarios(spark, str(tmp_path / "r.yaml"), str(tmp_path / "t.yaml")).collect()
+    assert [r["id"] for r in both] == ["s1", "s2"] and both[1]["non_expected"][0]["memory"] == "a.md"
 
 
 def test_ingest(spark):
