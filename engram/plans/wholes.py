@@ -50,20 +50,37 @@ def _by_document(examples: DataFrame, *more: str) -> DataFrame:
     return df.select(*[x for x in df.columns if x != "d"], F.col("d.id").alias("doc_id"), F.col("d.title").alias("title"), F.col("d.text").alias("text"), F.col("d.is_supporting").alias("is_supporting"))
 
 
-@register(f"""WITH t AS ({_CONV}), n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS k FROM t GROUP BY conv_id)
-  SELECT '2hop__' || conv_id AS id, 'musique' AS benchmark, 'about ' || conv_id AS query, n::VARCHAR AS answer, '2hop' AS category, k AS n_supporting, CASE WHEN conv_id % 2 = 0 THEN 'true' ELSE 'false' END AS answerable,
-    'musique_2hop__' || conv_id || '_p' || turn AS doc_id, role AS title, text, role = 'assistant' AS is_supporting, 'musique_2hop__' || conv_id || '_p0' AS first_step FROM t JOIN n USING (conv_id)""")
-def load_paragraph_examples(spark, sf_dir):
+def _paragraphs(spark, sf_dir):
+    """Conversations as questions over paragraphs, in the fields of a file; id is the conversation's."""
     t = _turns(spark, sf_dir)
     p = F.struct(F.col("turn").alias("idx"), F.col("role").alias("title"), F.col("text").alias("paragraph_text"), (F.col("role") == "assistant").alias("is_supporting"))
     rows = t.groupBy("conv_id").agg(F.collect_list(p).alias("paragraphs"), F.count("*").cast("string").alias("answer"))
     step = F.array(F.struct(F.lit("who").alias("question"), F.lit("x").alias("answer"), F.lit(0).alias("paragraph_support_idx")))
-    raw = rows.select(F.concat(F.lit("2hop__"), "conv_id").alias("id"), F.concat(F.lit("about "), "conv_id").alias("question"), "answer", (F.col("conv_id") % 2 == 0).alias("answerable"), "paragraphs", step.alias("question_decomposition"))
+    return rows.select(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("about "), "conv_id").alias("question"), "answer", (F.col("conv_id") % 2 == 0).alias("answerable"), "paragraphs", step.alias("question_decomposition"))
+
+
+@register(f"""WITH t AS ({_CONV}), n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS k FROM t GROUP BY conv_id)
+  SELECT '2hop__' || conv_id AS id, 'musique' AS benchmark, 'about ' || conv_id AS query, n::VARCHAR AS answer, '2hop' AS category, k AS n_supporting, CASE WHEN conv_id % 2 = 0 THEN 'true' ELSE 'false' END AS answerable,
+    'musique_2hop__' || conv_id || '_p' || turn AS doc_id, role AS title, text, role = 'assistant' AS is_supporting, 'musique_2hop__' || conv_id || '_p0' AS first_step FROM t JOIN n USING (conv_id)""")
+def load_paragraph_examples(spark, sf_dir):
+    raw = _paragraphs(spark, sf_dir).withColumn("id", F.concat(F.lit("2hop__"), "id"))
     got = loaders.load_paragraph_qa(spark, _jsonl(raw))
     got = got.withColumns({"answerable": F.col("metadata")["answerable"], "first_step": F.get("reasoning_chain", F.lit(0))["supporting_doc_id"]})
     return _by_document(got, "answerable", "first_step")
 
 
+@register(f"""WITH t AS ({_CONV}), n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS k FROM t GROUP BY conv_id)
+  SELECT k || 'hop__' || conv_id AS id, k || 'hop' AS category, n AS n_documents, k AS n_supporting FROM n WHERE k >= 2""")
+def load_all_answerable(spark, sf_dir):
+    """All files of a folder by kind, and of one kind the examples that can be answered: here, those with two supporting paragraphs."""
+    folder = _folder(spark)
+    k = F.size(F.filter("paragraphs", lambda p: p["is_supporting"]))
+    raw = _paragraphs(spark, sf_dir).withColumns({"id": F.concat(k, F.lit("hop__"), "id"), "answerable": k >= 2})
+    raw.write.json(f"{folder}/musique_dev.jsonl")
+    found = loaders.load_all(spark, folder)["musique"].where(F.col("metadata")["answerable"] == "true")
+    return found.select("id", "category", F.size("documents").cast("long").alias("n_documents"), F.size("supporting_doc_ids").cast("long").alias("n_supporting"))
+
+
 @register(f"""WITH t AS ({_CONV}), n AS (SELECT conv_id, count(*) FILTER (role = 'assistant') AS k FROM t GROUP BY conv_id)
   SELECT 'h' || conv_id AS id, 'hotpotqa' AS benchmark, 'about ' || conv_id AS query, 'yes' AS answer, 'bridge' AS category, k AS n_supporting,
     'hotpotqa_h' || conv_id || '_p' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS doc_id, role || turn AS title, replace(text, '. ', ' ') AS text, role = 'assistant' AS is_supporting FROM t JOIN n USING (conv_id)""")
