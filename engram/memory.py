@@ -1,7 +1,8 @@
 """A memory: its state tables as Parquet snapshots, and the calls that index, retrieve, learn and consolidate.
 
 Each call that changes the state reads the newest version below the folder and writes the next, so one
-that fails half way is repeated without harm; older versions stay until they are deleted.
+that fails half way is repeated without harm; older versions stay until they are deleted.  Tables lie in
+hash buckets (sources/buckets.py), and a version shares those that a call doesn't change with the one before.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from engram.config import MemoryConfig
 from engram.functions.text import document_text
 from engram.operators import gate, graph, ingest, learning, search, vector_index
 from engram.schema import require_valid_ids
-from engram.sources.loaders import load_state, save_state
+from engram.sources.buckets import Buckets, Change, differing
 
 TABLES = {
     "nodes": "id string, title string, content string, node_type string, parent_id string, embedding array<double>, access_count int",
@@ -28,6 +29,7 @@ TABLES = {
     "consolidated": "episode_seq bigint",
     "cells": vector_index.SCHEMA,
 }
+KEYS = {"nodes": ["id"], "edges": ["source_id", "target_id"], "explicit": ["id"], "triggers": ["id"], "episodes": ["episode_seq"], "consolidated": ["episode_seq"], "cells": ["generation"]}
 #: A count that no edge reaches: promotion switched off.
 NEVER = 1 << 30
 
@@ -46,6 +48,7 @@ class Memory:
         self.spark, self.folder, self.level, self.cfg, self.embed, self.gate, self.ask = spark, folder, level, cfg, embed, gate, ask
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(f"{folder}/cuts")
+        self.state = Buckets(spark, folder, TABLES, KEYS)
         self.version = 0 if version is None else version
         if version is None:
             self.reset()
@@ -54,15 +57,13 @@ class Memory:
         """Forget everything: an empty version follows."""
         self._write({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()})
 
-    def table(self, name: str) -> DataFrame:
-        return load_state(self.spark, f"{self.folder}/v{self.version}", name)[name]
+    def table(self, name: str, keys: DataFrame | None = None) -> DataFrame:
+        """A table of the state; keys: only rows whose first key column is among these, read from their buckets."""
+        return self.state.table(name, self.version, keys)
 
-    def _write(self, changed: dict[str, DataFrame]) -> None:
-        """The next version: changed tables by name, the others as they are; columns by the schemas above."""
-        every = {n: changed[n] if n in changed else self.table(n) for n in TABLES}
-        shaped = {n: df.to(self.spark.createDataFrame([], TABLES[n]).schema) for n, df in every.items()}
-        save_state(shaped, f"{self.folder}/v{self.version + 1}")
-        self.version += 1
+    def _write(self, changed: dict[str, DataFrame | Change]) -> None:
+        """The next version: changed tables by name, whole or as changes, the others as they are; columns by the schemas above."""
+        self.version = self.state.write(self.version, changed)
 
     def index(self, docs: DataFrame, rebuild: bool = False, replace: bool = False) -> None:
         """Add documents (id, title, text), ids distinct.
@@ -96,12 +97,16 @@ class Memory:
         for made in (graph.sibling_edges(sections, self.cfg), graph.cross_of_pairs(near, self.cfg)):
             edges = edges.unionByName(made)
         titled = sections.select("id", F.concat_ws("\n", "title", "content").alias("content"))
+        edges, asked = edges.withColumn("co_activation_count", F.lit(0)), ingest.explicit_triggers(titled, self.embed)
+        if gone is None:
+            self._write({"cells": index.row(), "nodes": Change(new), "edges": Change(edges), "explicit": Change(asked)})
+            return
         self._write({
             "cells": index.row(),
             "nodes": learning.upsert(nodes, new, ["id"]),
             "triggers": triggers,
-            "edges": learning.upsert(known_edges, edges.withColumn("co_activation_count", F.lit(0)), ["source_id", "target_id"]),
-            "explicit": learning.upsert(explicit, ingest.explicit_triggers(titled, self.embed), ["id"]),
+            "edges": learning.upsert(known_edges, edges, ["source_id", "target_id"]),
+            "explicit": learning.upsert(explicit, asked, ["id"]),
         })
 
     def _index_documents(self, docs: DataFrame, rebuild: bool) -> None:
@@ -114,11 +119,7 @@ class Memory:
         if not rebuild:
             edges = edges.unionByName(graph.similarity_edges(new, self.cfg, others=nodes))
         content = new.select("id", F.concat("title", F.lit("\n\n"), "content").alias("content"))
-        self._write({
-            "nodes": every,
-            "edges": learning.upsert(self.table("edges"), edges.withColumn("co_activation_count", F.lit(0)), ["source_id", "target_id"]),
-            "explicit": learning.upsert(self.table("explicit"), ingest.explicit_triggers(content, self.embed), ["id"]),
-        })
+        self._write({"nodes": Change(new), "edges": Change(edges.withColumn("co_activation_count", F.lit(0))), "explicit": Change(ingest.explicit_triggers(content, self.embed))})
 
     def queries(self, queries: DataFrame) -> DataFrame:
         """queries (query_id, text) with their vectors, each made once and checkpointed, as plans use them many times."""
@@ -138,11 +139,16 @@ class Memory:
         """Learn from episodes (episode_seq, context, retrieved_ids, triggered_ids, useful_ids), numbered on from those before."""
         e = episodes.withColumn("context_embedding", self.embed(F.coalesce("context", F.lit("")))).checkpoint()
         cfg = self.cfg if self.cfg.enable_hebbian else replace(self.cfg, promote_soft=NEVER, promote_hard=NEVER, promote_trigger=NEVER)
-        nodes, before = self.table("nodes"), self.table("episodes")
-        edges, triggers = learning.learn(self.table("edges"), self.table("triggers"), e, lambda df: df.checkpoint(), cfg, nodes, before, before.agg(F.max("episode_seq")).first()[0])
-        uses = nodes.join(learning.access_counts(e), "id", "left").withColumn("access_count", (F.col("access_count") + F.coalesce("accesses", F.lit(0))).cast("int"))
+        nodes, before, triggers = self.table("nodes"), self.table("episodes"), self.table("triggers")
+        after = before.agg(F.max("episode_seq")).first()[0]
+        done, until = learning.due(e, after, cfg)
+        # a decay cycle changes all edges; between two, only those of the episodes' nodes can change
+        own = e.select(F.explode(F.array_union("retrieved_ids", "useful_ids"))).distinct().where("col IS NOT NULL").checkpoint()
+        edges, learned = learning.learn(self.table("edges", own if done == until else None), triggers, e, lambda df: df.checkpoint(), cfg, nodes, before, after)
+        counts = learning.access_counts(e)
+        uses = self.table("nodes", counts.select("id")).join(counts, "id").withColumn("access_count", (F.col("access_count") + F.col("accesses")).cast("int"))
         log = learning.retain(before.unionByName(e.select(*before.columns)), cfg)
-        self._write({"nodes": uses.drop("accesses"), "edges": edges, "triggers": triggers, "episodes": log})
+        self._write({"nodes": Change(uses.drop("accesses")), "edges": Change(edges) if done == until else edges, "triggers": Change(differing(learned, triggers, "id")), "episodes": log})
 
     def consolidate(self) -> None:
         """The offline pass over episodes since the last one: decay, replay, promotion, bridges, mining."""

@@ -405,6 +405,14 @@ def fold_triggers(triggers: DataFrame, episodes: DataFrame, done: int, until: in
     return df.select(*triggers.columns)
 
 
+def due(episodes: DataFrame, after: int | None = None, cfg: MemoryConfig = MemoryConfig()) -> tuple[int, int]:
+    """How many decay cycles are behind a batch of episodes, and how many there are in its end; after as in learn()."""
+    first, last = episodes.agg(F.min("episode_seq"), F.max("episode_seq")).first()
+    if first is None:
+        return 0, 0
+    return (first if after is None else after + 1) // cfg.tick_every, (last + 1) // cfg.tick_every
+
+
 def learn(edges: DataFrame, triggers: DataFrame, episodes: DataFrame, checkpoint, cfg: MemoryConfig = MemoryConfig(), nodes: DataFrame | None = None, history: DataFrame | None = None, after: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges and learned triggers after a batch of episodes, with a decay cycle after every tick_every of them.
 
@@ -414,11 +422,9 @@ def learn(edges: DataFrame, triggers: DataFrame, episodes: DataFrame, checkpoint
     made up for: then any split of the episodes into batches gives the same state.  A trigger gets feedback from the
     episode after the one that it was learned in; one that is learned again starts anew.
     """
-    span = episodes.agg(F.min("episode_seq"), F.max("episode_seq")).first()
-    if span[0] is None:
+    if episodes.isEmpty():
         return edges, triggers
-    done = span[0] // cfg.tick_every if after is None else (after + 1) // cfg.tick_every
-    until = (span[1] + 1) // cfg.tick_every
+    done, until = due(episodes, after, cfg)
     seen = episodes if history is None else history.unionByName(episodes, allowMissingColumns=True)
     folded = checkpoint(fold_ticks(edges, episodes, done, until, nodes, cfg))
     made = learned_triggers(folded, seen, cfg, since=True).select(*triggers.columns, "learned_seq")
