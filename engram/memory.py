@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from engram.config import MemoryConfig
 from engram.functions.text import document_text
 from engram.operators import gate, graph, ingest, learning, search, vector_index
+from engram.operators.vector_cache import VectorCache
 from engram.schema import require_valid_ids
 from engram.sources.buckets import Buckets, Change, differing
 
@@ -34,20 +35,27 @@ KEYS = {"nodes": ["id"], "edges": ["source_id", "target_id"], "explicit": ["id"]
 NEVER = 1 << 30
 
 
+def _as_text(text: Column) -> Column:
+    """In place of an embedding: the text, which _vectors() turns into one."""
+    return text
+
+
 class Memory:
     """level "section": documents are split, and sections retrieved; "document": whole documents.
 
     version: the snapshot to open; by default a new, empty memory is made.  embed: a column function from
     text to a vector.  gate: a function over guarded candidates (query_id, id, score), used if cfg enables it; or ask: a
-    model that answers a batch of the gate's prompts.
+    model that answers a batch of the gate's prompts.  cache: a folder for vectors by text, so that over all calls, and all
+    memories with the same embed that share it, each text is encoded once; worth it where embed is a model.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, level: str = "section", cfg: MemoryConfig = MemoryConfig(), embed: Callable[[Column], Column] = ingest.hashed_embedding, gate: Callable[[DataFrame], DataFrame] | None = None, version: int | None = None, ask: Callable[[pd.Series], pd.Series] | None = None) -> None:
+    def __init__(self, spark: SparkSession, folder: str, level: str = "section", cfg: MemoryConfig = MemoryConfig(), embed: Callable[[Column], Column] = ingest.hashed_embedding, gate: Callable[[DataFrame], DataFrame] | None = None, version: int | None = None, ask: Callable[[pd.Series], pd.Series] | None = None, cache: str | None = None) -> None:
         if level not in ("section", "document"):
             raise ValueError("level must be section or document")
         self.spark, self.folder, self.level, self.cfg, self.embed, self.gate, self.ask = spark, folder, level, cfg, embed, gate, ask
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(f"{folder}/cuts")
+        self.cache = VectorCache(spark, cache, embed) if cache else None
         self.state = Buckets(spark, folder, TABLES, KEYS)
         self.version = 0 if version is None else version
         if version is None:
@@ -65,6 +73,14 @@ class Memory:
         """The next version: changed tables by name, whole or as changes, the others as they are; columns by the schemas above."""
         self.version = self.state.write(self.version, changed)
 
+    def _vectors(self, df: DataFrame, column: str) -> DataFrame:
+        """df with the vectors of a column's texts in their place."""
+        return self.cache.vectors(df, column) if self.cache else df.withColumn(column, self.embed(F.col(column)))
+
+    def _asked(self, docs: DataFrame) -> DataFrame:
+        """Explicit triggers of docs (id, content)."""
+        return self._vectors(ingest.explicit_triggers(docs, _as_text), "pattern_embedding")
+
     def index(self, docs: DataFrame, rebuild: bool = False, replace: bool = False) -> None:
         """Add documents (id, title, text), ids distinct.
 
@@ -77,7 +93,7 @@ class Memory:
 
     def _index_sections(self, docs: DataFrame, replace: bool) -> None:
         docs = docs.withColumnRenamed("text", "content")
-        sections = ingest.sections(docs, self.embed).checkpoint()
+        sections = self._vectors(ingest.sections(docs, _as_text), "embedding").checkpoint()
         nodes, known_edges, explicit, triggers = (self.table(x) for x in ("nodes", "edges", "explicit", "triggers"))
         gone = None
         if replace:
@@ -97,7 +113,7 @@ class Memory:
         for made in (graph.sibling_edges(sections, self.cfg), graph.cross_of_pairs(near, self.cfg)):
             edges = edges.unionByName(made)
         titled = sections.select("id", F.concat_ws("\n", "title", "content").alias("content"))
-        edges, asked = edges.withColumn("co_activation_count", F.lit(0)), ingest.explicit_triggers(titled, self.embed)
+        edges, asked = edges.withColumn("co_activation_count", F.lit(0)), self._asked(titled)
         if gone is None:
             self._write({"cells": index.row(), "nodes": Change(new), "edges": Change(edges), "explicit": Change(asked)})
             return
@@ -112,18 +128,18 @@ class Memory:
     def _index_documents(self, docs: DataFrame, rebuild: bool) -> None:
         nodes = self.table("nodes")
         docs = docs.join(nodes.select("id"), "id", "left_anti")
-        vector = self.embed(document_text(F.col("title"), F.col("text")))
-        new = docs.select("id", "title", F.col("text").alias("content"), F.lit("document").alias("node_type"), F.lit(None).cast("string").alias("parent_id"), vector.alias("embedding"), F.lit(0).alias("access_count")).checkpoint()
+        vector = document_text(F.col("title"), F.col("text"))
+        new = self._vectors(docs.select("id", "title", F.col("text").alias("content"), F.lit("document").alias("node_type"), F.lit(None).cast("string").alias("parent_id"), vector.alias("embedding"), F.lit(0).alias("access_count")), "embedding").checkpoint()
         every = nodes.unionByName(new)
         edges = graph.similarity_edges(every if rebuild else new, self.cfg)
         if not rebuild:
             edges = edges.unionByName(graph.similarity_edges(new, self.cfg, others=nodes))
         content = new.select("id", F.concat("title", F.lit("\n\n"), "content").alias("content"))
-        self._write({"nodes": Change(new), "edges": Change(edges.withColumn("co_activation_count", F.lit(0))), "explicit": Change(ingest.explicit_triggers(content, self.embed))})
+        self._write({"nodes": Change(new), "edges": Change(edges.withColumn("co_activation_count", F.lit(0))), "explicit": Change(self._asked(content))})
 
     def queries(self, queries: DataFrame) -> DataFrame:
         """queries (query_id, text) with their vectors, each made once and checkpointed, as plans use them many times."""
-        return queries.withColumn("embedding", self.embed(F.coalesce("text", F.lit("")))).checkpoint()
+        return self._vectors(queries.withColumn("embedding", F.coalesce("text", F.lit(""))), "embedding").checkpoint()
 
     def retrieve(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """The k best nodes for each of queries (query_id, text), with id, score, rank, and is_triggered or channel."""
@@ -137,7 +153,7 @@ class Memory:
 
     def update(self, episodes: DataFrame) -> None:
         """Learn from episodes (episode_seq, context, retrieved_ids, triggered_ids, useful_ids), numbered on from those before."""
-        e = episodes.withColumn("context_embedding", self.embed(F.coalesce("context", F.lit("")))).checkpoint()
+        e = self._vectors(episodes.withColumn("context_embedding", F.coalesce("context", F.lit(""))), "context_embedding").checkpoint()
         cfg = self.cfg if self.cfg.enable_hebbian else replace(self.cfg, promote_soft=NEVER, promote_hard=NEVER, promote_trigger=NEVER)
         nodes, before, triggers = self.table("nodes"), self.table("episodes"), self.table("triggers")
         after = before.agg(F.max("episode_seq")).first()[0]

@@ -138,6 +138,38 @@ def state_edge_lookup(spark, sf_dir):
     return loaders.load_state(spark, folder, "edges")["edges"].where(F.col("source_id") % EVERY == 0)
 
 
+@register("""WITH {0}, {1}, k AS (SELECT source_id FROM e GROUP BY source_id HAVING count(*) >= 100)
+  SELECT version, source_id, target_id, round(CASE WHEN version = 2 AND source_id IN (FROM k) THEN weight / 2 ELSE weight END, 6) AS weight, edge_type FROM e CROSS JOIN (VALUES (1), (2)) v(version)
+  WHERE version = 1 OR (target_id NOT IN (FROM k) OR source_id IN (FROM k))""".format(c._S, c._E))
+def state_changes(spark, sf_dir):
+    """Two versions of the edges in buckets: in the second, edges out of nodes of 100 and more are halved, and other edges to those go."""
+    from engram.sources.buckets import Buckets, Change
+
+    state = Buckets(spark, _folder(spark), {"edges": "source_id long, target_id long, weight double, edge_type string"}, {"edges": ["source_id", "target_id"]}, 10_000)
+    state.write(0, {"edges": edges(spark, sf_dir)})
+    first = state.table("edges", 1)
+    large = cut(first.groupBy("source_id").count().where("count >= 100").select("source_id"))
+    rows = first.join(large, "source_id", "left_semi").withColumn("weight", F.col("weight") / 2)
+    gone = first.join(large.toDF("target_id"), "target_id", "left_semi").join(large, "source_id", "left_anti")
+    state.write(1, {"edges": Change(rows, gone)})
+    both = [state.table("edges", v).withColumn("version", F.lit(v)) for v in (1, 2)]
+    return both[0].unionByName(both[1]).withColumn("weight", F.round("weight", 6))
+
+
+@register(f"""WITH t1 AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), {c._HASH.format(1)},
+  n AS (SELECT count(DISTINCT text) AS n FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark))
+  SELECT d.doc_id, array_to_string([x::BIGINT for x in v1.e], ' ') AS vector, n.n AS n_encoded FROM documents d LEFT JOIN v1 ON v1.id = d.doc_id CROSS JOIN n""")
+def cached_vectors(spark, sf_dir):
+    """Vectors of all documents through a cache that has the benchmark's texts from a call before; each text is encoded once."""
+    from engram.operators.vector_cache import VectorCache
+
+    cache = VectorCache(spark, _folder(spark), ingest.hashed_embedding, "hashed")
+    cache.fill(table(spark, sf_dir, "benchmark"), "text")
+    out = cache.vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    whole = F.array_join(F.transform("text", lambda x: x.cast("long").cast("string")), " ")
+    return out.select("doc_id", whole.alias("vector"), F.lit(cache.stored().count()).alias("n_encoded"))
+
+
 # ---- ids, texts, settings, decisions
 
 @register(r"""SELECT page_id, coalesce(length(url) BETWEEN 1 AND 256, false) AS ok, coalesce(length(substr(html, 1, 300)) BETWEEN 1 AND 256, false) AS html_ok FROM pages""")
