@@ -419,3 +419,15 @@ def test_label_model_equals_brute_force_em(spark):
     patterns, n = np.unique(v, axis=0, return_counts=True)
     m = LabelModel.fit(patterns, n.astype(float))
     assert abs(m.prior - prior) < 1e-5 and all(abs(m.table[j, c, k] - t[j][c][k]) < 1e-5 for j in range(3) for c in (0, 1) for k in (GOOD, BAD))
+
+
+def test_machines_of_many_rows_are_solved_in_the_features():
+    """More rows than features give the weights that a system in the rows gives; no side of the solved matrix grows with the rows."""
+    from engram.llm.language_id import _ridge
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 9, 40, 200):
+        x, y, cost = rng.random((n, 12)).astype(np.float32), rng.choice([-1.0, 1.0], n), rng.random(n) + 0.01
+        a = np.hstack([x.astype(np.float64), np.ones((n, 1))])
+        want = a.T @ np.linalg.solve(a @ a.T + np.diag(cost), y)
+        assert np.allclose(_ridge(x, y, cost), want, atol=1e-9)
