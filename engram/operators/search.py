@@ -16,6 +16,7 @@ from engram.config import MemoryConfig
 from engram.functions.vector import blocks, bucket_count, cosine_to_matrix, vector_topk
 from engram.operators import graph, pivots, retrieval
 from engram.operators.cuts import cut
+from engram.operators.similarity_graph import SimilarityGraph, TriggerIndex
 
 
 def similarities(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,13 +40,20 @@ def nearest(queries: DataFrame, nodes: DataFrame, k: int, scope: str | None = No
     return vector_topk(blocks(queries, "query_id", "embedding", scope, buckets=n), blocks(nodes, "id", "embedding", scope, buckets=n), k, exclude_self=False, same_part=True)
 
 
-def retrieve_documents(queries: DataFrame, docs: DataFrame, edges: DataFrame, triggers: DataFrame, k: int, cfg: MemoryConfig = MemoryConfig(), scope: str | None = None) -> DataFrame:
+def retrieve_documents(queries: DataFrame, docs: DataFrame, edges: DataFrame | SimilarityGraph, triggers: DataFrame, k: int, cfg: MemoryConfig = MemoryConfig(), scope: str | None = None) -> DataFrame:
     """query_id, id, score, rank, is_triggered: k documents a query at most, by the parts that cfg switches on.
 
     queries: query_id, text, embedding; docs: id, embedding, access_count; edges: source_id, target_id, weight;
-    triggers: rows of the trigger table.  Without the graph the base is plain similarity.
+    triggers: rows of the trigger table.  Without the graph the base is plain similarity.  edges may be a SimilarityGraph
+    over all docs, if nothing is scoped or walked at random: then no edges are written.
     """
-    if cfg.enable_graph:
+    implicit = isinstance(edges, SimilarityGraph)
+    if implicit and (scope or (cfg.enable_graph and cfg.enable_diffuse)):
+        raise ValueError("scopes and random walks need edges as rows")
+    if cfg.enable_graph and implicit:
+        entries = cut(nearest(queries, docs, cfg.focused_top_k).select("query_id", "id", "score", "rank"))
+        base = edges.merged(queries, entries, k)
+    elif cfg.enable_graph:
         entries = cut(nearest(queries, docs, cfg.focused_top_k, scope).select("query_id", "id", "score", "rank"))
         focused, diffuse = cut(graph.focused_bfs(entries, edges, cfg)), None
         found = focused.select("query_id", "id")
@@ -57,13 +65,26 @@ def retrieve_documents(queries: DataFrame, docs: DataFrame, edges: DataFrame, tr
         base = nearest(queries, docs, k, scope)
     if not cfg.enable_triggers:
         return base.select("query_id", "id", "score", "rank", F.lit(False).alias("is_triggered"))
+    if implicit:
+        found = TriggerIndex(scannable(triggers), docs, cfg).best(queries, cfg.trigger_max_injections)
+        return retrieval.inject(found, base, k, cfg).select("query_id", "id", "score", "rank", "is_triggered")
     fired = retrieval.fire_triggers(queries, scannable(triggers), cfg, scope).groupBy("query_id", F.col("node_id").alias("id")).agg(F.max("score").alias("score"))
     return retrieval.inject(fired.join(docs.select("id"), "id", "left_semi"), base, k, cfg).select("query_id", "id", "score", "rank", "is_triggered")
 
 
-def retrieve_sections(queries: DataFrame, nodes: DataFrame, edges: DataFrame, triggers: DataFrame, k: int, cfg: MemoryConfig = MemoryConfig(), gate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """query_id, id, score, rank, channel: k sections a query at most, of three channels (semantic, trigger, graph)."""
+def retrieve_sections(queries: DataFrame, nodes: DataFrame, edges: DataFrame | SimilarityGraph, triggers: DataFrame, k: int, cfg: MemoryConfig = MemoryConfig(), gate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, id, score, rank, channel: k sections a query at most, of three channels (semantic, trigger, graph).
+
+    edges may be a SimilarityGraph over the sections: then no edges are written.
+    """
     sections = nodes.where((F.col("node_type") == "section") & F.col("embedding").isNotNull())
+    if isinstance(edges, SimilarityGraph):
+        semantic = cut(nearest(queries, sections, k))
+        triggered = semantic.select("query_id", "id").where(F.lit(False))
+        if cfg.enable_triggers:
+            index = TriggerIndex(scannable(triggers), sections, cfg)
+            triggered = cut(index.guarded(queries, semantic, edges, sections.count(), gate if cfg.enable_gate else None))
+        return fused(queries, semantic, triggered, edges, k, cfg)
     inner = edges.join(sections.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     semantic = cut(nearest(queries, sections, k))
     none = semantic.select("query_id", "id").where(F.lit(False))
@@ -76,6 +97,13 @@ def retrieve_sections(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tr
     return retrieval.fuse(semantic, triggered, hops, similarities(hops, queries, sections), k, cfg)
 
 
+def fused(queries: DataFrame, semantic: DataFrame, triggered: DataFrame, graph: SimilarityGraph, k: int, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
+    """The last step of retrieve_sections(): the three channels as one ranking."""
+    none = triggered.select("query_id", "id").where(F.lit(False)).withColumns({"path": F.lit(0.0), "sim": F.lit(0.0)})
+    hops = cut(graph.fused_hops(queries, semantic, triggered, k)) if cfg.enable_graph else none
+    return retrieval.fuse(semantic, triggered, hops.drop("sim"), hops.drop("path"), k, cfg)
+
+
 def channel_counts(results: DataFrame) -> DataFrame:
     """query_id, n_results, and by channel the number and the ids, in order of rank, of what retrieve_sections() found."""
     own = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("channel") == c, F.struct("rank", "id")))), lambda x: x["id"])
