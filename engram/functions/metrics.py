@@ -67,3 +67,8 @@ def trigger_precision(fired: Column, unexpected: Column) -> Column:
 def suppression(fired: Column, gold: Column) -> Column:
     """Without gold 1 if nothing fired, else 0; null with gold."""
     return F.when(F.size(gold) == 0, (F.size(fired) == 0).cast("double"))
+
+
+def trigger_shares(fired: Column, gold: Column, hit: Column) -> tuple[Column, Column, Column]:
+    """Recall, precision with all but gold ruled out, and suppression, from the numbers of fired, gold and common ids."""
+    return F.when(gold == 0, 1.0).otherwise(hit / gold), F.when(fired == 0, 1.0).otherwise(1 - (fired - hit) / fired), F.when(gold == 0, (fired == 0).cast("double"))
