@@ -115,3 +115,14 @@ def test_small_parts_share_blocks(spark):
     few = df.where("id < 4000")
     got = graph.sibling_edges(few)
     assert got.count() == 4000 * 7 and got.where("source_id = 9").count() == 7
+
+
+def test_a_block_goes_to_tiles_not_to_pairs(spark):
+    """Of 40 blocks that all meet, 8 copies of each side's blocks cross the network, not 40."""
+    left = spark.range(40).selectExpr("id AS block", "array(id) AS ids", "array(0L) AS parts", "array(0L) AS marks", "cast('x' AS binary) AS matrix")
+    pairs = left.selectExpr("block AS la").crossJoin(left.selectExpr("block AS lb"))
+    df = pivots.fetched(pairs, left, left)
+    got = [(r["a"]["ids"][0], r["b"]["ids"][0]) for r in df.collect()]
+    assert sorted(got) == [(i, j) for i in range(40) for j in range(40)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(lb" in plan and "Aggregate [lb" in plan
