@@ -1,12 +1,14 @@
 """Groups that meet all blocks in one task, against the operators over written edges."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from engram.config import MemoryConfig
-from engram.operators import graph, retrieval, search, similarity_graph
+from engram.operators import graph, learning, retrieval, search, similarity_graph
 from engram.operators.cuts import cut
 
 
@@ -65,3 +67,23 @@ def test_hops_write_no_edges(spark, monkeypatch, name):
     forbid(monkeypatch, graph, "similarity_edges", "two_hop")
     forbid(monkeypatch, retrieval, "two_hop")
     assert entry.queries()[name](spark, entry.DATA).count() > 0
+
+
+LEARNED = ["neighbors_filtered", "decay_cycle", "hebbian_fold", "replay_episodes", "updated_edges", "updated_triggers", "learned_triggers", "state_edge_lookup"]
+
+
+@pytest.mark.parametrize("name", LEARNED)
+def test_learning_joins_and_ranks_only_edges_of_named_nodes(spark, monkeypatch, name):
+    forbid(monkeypatch, graph, "similarity_edges")
+    assert entry.queries()[name](spark, entry.DATA).count() > 0
+
+
+def test_ranks_and_cycles_by_source(nodes):
+    cfg = replace(CFG, out_degree_cap=4)
+    edges = cut(graph.similarity_edges(nodes, cfg))
+    similar = similarity_graph.SimilarityGraph(nodes, cfg)
+    assert rows(similar.neighbors(0.4, "soft")) == rows(graph.neighbors(edges, 0.4, "soft").select("source_id", "target_id", "weight", "edge_type", "rank"))
+    counted = edges.withColumn("co_activation_count", F.length(F.col("target_id").cast("string")) * 7)
+    own = lambda source, targets: np.array([len(str(x)) for x in targets.tolist()]) * 7
+    got = learning.decayed_sources(similar, own, 3, 4, None, cfg)
+    assert rows(got) == rows(learning.decay_cycle(counted, cfg).select(*got.columns))
