@@ -87,3 +87,20 @@ def test_ranks_and_cycles_by_source(nodes):
     own = lambda source, targets: np.array([len(str(x)) for x in targets.tolist()]) * 7
     got = learning.decayed_sources(similar, own, 3, 4, None, cfg)
     assert rows(got) == rows(learning.decay_cycle(counted, cfg).select(*got.columns))
+
+
+def test_consolidated_edges(spark, nodes):
+    cfg = replace(CFG, out_degree_cap=4)
+    edges = graph.similarity_edges(nodes, cfg).withColumn("co_activation_count", F.length(F.col("target_id").cast("string")) * 7)
+    own = lambda source, targets: np.array([len(str(x)) for x in targets.tolist()]) * 7
+    pick = lambda *x: F.array(*[F.lit(i).cast(nodes.schema["id"].dataType) for i in x])
+    said = spark.range(3).select(F.col("id").alias("episode_seq"), F.lit("words of it").alias("context"), F.array(F.lit(1.0)).alias("context_embedding"), pick(3, 150, 151, 9).alias("retrieved_ids"), pick(3).alias("triggered_ids"), pick(3, 150, 151).alias("useful_ids"))
+    none = spark.createDataFrame([], f"id string, pattern array<string>, pattern_embedding array<float>, associated_node_id {nodes.schema['id'].dataType.simpleString()}, confidence double, fire_count int, useful_count int, origin string")
+    want, _ = learning.consolidate(cut(edges), none, said, cut, -1, cfg)
+    got = learning.consolidated_edges(similarity_graph.SimilarityGraph(nodes, cfg), own, said, cut, -1, cfg)
+    assert want.where("co_activation_count = 0").count() > 0 and rows(got) == rows(want.select(*got.columns))
+
+
+def test_consolidation_checkpoints_no_rows_of_all_edges(spark, monkeypatch):
+    forbid(monkeypatch, graph, "similarity_edges")
+    assert entry.queries()["consolidated_edges"](spark, entry.DATA).count() > 0
