@@ -104,3 +104,9 @@ def test_consolidated_edges(spark, nodes):
 def test_consolidation_checkpoints_no_rows_of_all_edges(spark, monkeypatch):
     forbid(monkeypatch, graph, "similarity_edges")
     assert entry.queries()["consolidated_edges"](spark, entry.DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", ["promote_edges", "decay_edges"])
+def test_plain_passes_take_edges_from_sweeps(spark, monkeypatch, name):
+    forbid(monkeypatch, graph, "similarity_edges")
+    assert entry.queries()[name](spark, entry.DATA).count() > 0
