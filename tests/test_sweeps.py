@@ -110,3 +110,19 @@ def test_consolidation_checkpoints_no_rows_of_all_edges(spark, monkeypatch):
 def test_plain_passes_take_edges_from_sweeps(spark, monkeypatch, name):
     forbid(monkeypatch, graph, "similarity_edges")
     assert entry.queries()[name](spark, entry.DATA).count() > 0
+
+
+@pytest.mark.parametrize("least, floor", [(0.35, 0.15), (0.5, 0.15), (0.35, 0.45)])
+def test_bridges(nodes, monkeypatch, least, floor):
+    monkeypatch.setattr(similarity_graph, "TILE", 70)
+    monkeypatch.setattr(similarity_graph, "BETWEEN", 64)
+    cfg = replace(CFG, bridge_min_weight=least, bridge_mean_floor=floor)
+    want = learning.discover_bridges(cut(graph.similarity_edges(nodes, cfg)), cfg)
+    got = rows(learning.discover_bridges(similarity_graph.SimilarityGraph(nodes, cfg), cfg))
+    assert len(got) > 100 and got == rows(want)
+
+
+def test_bridge_discovery_writes_no_edges(spark, monkeypatch):
+    forbid(monkeypatch, graph, "similarity_edges")
+    forbid(monkeypatch, learning, "_wedges")
+    assert entry.queries()["bridge_discovery"](spark, entry.DATA).count() > 0
