@@ -126,3 +126,20 @@ def test_bridge_discovery_writes_no_edges(spark, monkeypatch):
     forbid(monkeypatch, graph, "similarity_edges")
     forbid(monkeypatch, learning, "_wedges")
     assert entry.queries()["bridge_discovery"](spark, entry.DATA).count() > 0
+
+
+def test_degrees_and_changed_edges(nodes):
+    edges = cut(graph.similarity_edges(nodes, CFG))
+    similar = similarity_graph.SimilarityGraph(nodes, CFG)
+    n = edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("degree"))
+    assert rows(similar.degrees()) == rows(n)
+    changes = nodes.where("i % 4 = 0").select("id", F.when(F.col("i") % 8 == 0, 0.5).otherwise(3.0).alias("factor"), (F.col("i") % 3 == 0).alias("closed"))
+    own = lambda end: changes.toDF(f"{end}_id", f"{end}_factor", f"{end}_closed")
+    want = edges.join(own("source"), "source_id", "left").join(own("target"), "target_id", "left")
+    want = want.where("coalesce(source_closed, false) OR NOT coalesce(target_closed, false)").select("source_id", "target_id", (F.col("weight") * F.coalesce("source_factor", F.lit(1.0))).alias("weight"), "edge_type")
+    assert want.count() < edges.count() and rows(similar.changed_edges(changes)) == rows(want)
+
+
+def test_state_changes_stores_no_edges(spark, monkeypatch):
+    forbid(monkeypatch, graph, "similarity_edges")
+    assert entry.queries()["state_changes"](spark, entry.DATA).count() > 0
