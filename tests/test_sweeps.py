@@ -143,3 +143,23 @@ def test_degrees_and_changed_edges(nodes):
 def test_state_changes_stores_no_edges(spark, monkeypatch):
     forbid(monkeypatch, graph, "similarity_edges")
     assert entry.queries()["state_changes"](spark, entry.DATA).count() > 0
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+@pytest.mark.parametrize("threshold", [0.0, 0.1, 0.15])
+def test_fired_triggers_as_the_join_gives_them(spark, monkeypatch, kind, threshold):
+    monkeypatch.setattr(similarity_graph, "BLOCK", 30)
+    monkeypatch.setattr(similarity_graph, "GROUP", 2)
+    monkeypatch.setattr(similarity_graph, "OUT", 50)
+    cfg = MemoryConfig(trigger_threshold=threshold)
+    rng = np.random.default_rng(9)
+    v = lambda i: [float(x) for x in rng.normal(size=6)] if i % 13 != 5 else None
+    words = ["red", "green", "blue", "grey"]
+    t = [(i, [words[i % 4], words[i % 3], words[i % 4]] if i % 7 else None, v(i), i // 2, (i % 11) / 10) for i in range(90)]
+    q = [(i, [None, "Red and blue", "a green, a RED one", "none of it", ""][i % 5], v(i)) for i in range(25)]
+    triggers = cut(spark.createDataFrame(t, "id long, pattern array<string>, embedding array<double>, node_id long, confidence double").withColumns({"id": F.col("id").cast(kind), "node_id": F.col("node_id").cast(kind), "s": F.lit(1)}))
+    asks = cut(spark.createDataFrame(q, "query_id long, text string, embedding array<double>").withColumn("s", F.lit(1)))
+    want = rows(retrieval.fire_triggers(asks, triggers, cfg, "s"))
+    forbid(monkeypatch, retrieval, "vector_join", "keyword_scores")
+    got = retrieval.fire_triggers(asks, triggers, cfg)
+    assert len(want) > 100 and rows(got.select("query_id", "trigger_id", "node_id", "score")) == want
