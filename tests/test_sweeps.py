@@ -163,3 +163,25 @@ def test_fired_triggers_as_the_join_gives_them(spark, monkeypatch, kind, thresho
     forbid(monkeypatch, retrieval, "vector_join", "keyword_scores")
     got = retrieval.fire_triggers(asks, triggers, cfg)
     assert len(want) > 100 and rows(got.select("query_id", "trigger_id", "node_id", "score")) == want
+
+
+@pytest.mark.parametrize("cfg", [CFG, replace(CFG, diffuse_temperature=0.6, diffuse_top_k=3, seed=-7)])
+def test_walks(nodes, monkeypatch, cfg):
+    monkeypatch.setattr(similarity_graph, "WALKS", 40)
+    edges = cut(graph.similarity_edges(nodes, cfg))
+    similar = similarity_graph.SimilarityGraph(nodes, cfg)
+    queries = nodes.where("i % 7 = 0 AND embedding IS NOT NULL").select(F.col("id").alias("query_id"), "embedding")
+    entries = cut(search.nearest(queries, nodes, 3).select("query_id", "id"))
+    if nodes.schema["id"].dataType.simpleString() == "string":
+        with pytest.raises(ValueError):
+            similar.diffuse_walk(entries, entries)
+        return
+    access = nodes.where("i % 2 = 0").select("id", (F.col("i") % 5).cast("int").alias("access_count"))
+    for own in (None, access):
+        want = rows(graph.diffuse_walk(entries, edges, entries, own, cfg))
+        assert len(want) > 40 and rows(similar.diffuse_walk(entries, entries, own)) == want
+
+
+def test_diffuse_walk_writes_no_edges(spark, monkeypatch):
+    forbid(monkeypatch, graph, "similarity_edges")
+    assert entry.queries()["diffuse_walk"](spark, entry.DATA).count() > 0
