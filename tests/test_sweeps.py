@@ -185,3 +185,15 @@ def test_walks(nodes, monkeypatch, cfg):
 def test_diffuse_walk_writes_no_edges(spark, monkeypatch):
     forbid(monkeypatch, graph, "similarity_edges")
     assert entry.queries()["diffuse_walk"](spark, entry.DATA).count() > 0
+
+
+def test_siblings_of_many_blocks_are_dealt_to_tiles(nodes, monkeypatch):
+    from engram.functions import vector
+
+    want = {}
+    for a in nodes.where("embedding IS NOT NULL").collect():
+        want.setdefault(a["parent_id"], []).append(a["id"])
+    monkeypatch.setattr(vector, "BLOCK", 17)
+    monkeypatch.setattr(graph, "vector_join", None)
+    got = [(r["source_id"], r["target_id"]) for r in graph.sibling_edges(nodes, CFG).collect()]
+    assert sorted(got) == sorted((a, b) for x in want.values() for a in x for b in x if a != b)
