@@ -128,6 +128,16 @@ def test_bridge_discovery_writes_no_edges(spark, monkeypatch):
     assert entry.queries()["bridge_discovery"](spark, entry.DATA).count() > 0
 
 
+def test_bridges_leave_in_order_of_weight(nodes):
+    got = learning.discover_bridges(similarity_graph.SimilarityGraph(nodes, CFG), CFG).withColumns({"task": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).collect()
+    by_task = {}
+    for r in sorted(got, key=lambda r: r["at"]):
+        by_task.setdefault(r["task"], []).append(r["weight"])
+    # a task that holds several tiles starts again with each
+    falls = sum(b < a for x in by_task.values() for a, b in zip(x, x[1:]))
+    assert len(got) > 1000 and falls < 50
+
+
 def test_degrees_and_changed_edges(nodes):
     edges = cut(graph.similarity_edges(nodes, CFG))
     similar = similarity_graph.SimilarityGraph(nodes, CFG)
