@@ -58,6 +58,13 @@ def attribution(gold: DataFrame, triggered: DataFrame, graph: DataFrame, semanti
     return df.select(*key, channel.alias("channel"), (F.col("s").isNull() & (F.col("t").isNotNull() | F.col("g").isNotNull())).alias("rescued"))
 
 
+def by_channel(found: DataFrame) -> DataFrame:
+    """What attribution() gives, of SimilarityGraph.channels()."""
+    has = lambda bits: F.col("found").bitwiseAND(bits) != 0
+    channel = F.when(has(1), "trigger").when(has(2), "graph").when(has(4), "semantic").otherwise("MISS")
+    return found.select("query_id", "id", channel.alias("channel"), (~has(4) & has(3)).alias("rescued"))
+
+
 def compare_runs(base: DataFrame, trained: DataFrame) -> DataFrame:
     """metric, base, trained, delta of two results of ranking_metrics."""
     m = lambda df, name: df.groupBy("metric").agg(F.avg("value").alias(name))

@@ -54,6 +54,21 @@ def test_two_hops(nodes):
     assert rows(similar.two_hop(entries, queries.select("query_id", "mark"), mark)) == rows(own)
 
 
+def test_channels_of_all_ends_without_rows_of_hops(nodes, monkeypatch):
+    from engram.operators import evaluation
+
+    edges = cut(graph.similarity_edges(nodes, CFG))
+    queries = nodes.where("i % 7 = 0").select(F.col("id").alias("query_id"), "embedding", F.col("parent_id").alias("mark"))
+    sem = cut(search.nearest(queries.where("embedding IS NOT NULL"), nodes, 6))
+    trig = cut(sem.where("rank IN (1, 6)").select("query_id", "id"))
+    ends = nodes.select("id", F.col("parent_id").alias("mark"))
+    gold = queries.select("query_id", "mark").join(ends, "mark").where("id <> query_id").select("query_id", "id")
+    want = evaluation.attribution(gold, trig, cut(retrieval.section_graph(sem, trig, edges, CFG)), sem)
+    monkeypatch.setattr(similarity_graph.SimilarityGraph, "two_hop", None)
+    got = rows(evaluation.by_channel(similarity_graph.SimilarityGraph(nodes, CFG).channels(queries.select("query_id", "mark"), ends, sem, trig)))
+    assert {r[2] for r in got} == {"trigger", "graph", "semantic", "MISS"} and got == rows(want)
+
+
 def test_edges_of_sources(nodes):
     edges = cut(graph.similarity_edges(nodes, CFG))
     similar = similarity_graph.SimilarityGraph(nodes, CFG)
