@@ -77,6 +77,12 @@ def test_edges_of_sources(nodes):
     assert rows(similar.edges(some)) == rows(edges.join(some.toDF("source_id"), "source_id", "left_semi").select(*edges.columns))
 
 
+def test_edges_leave_in_order_of_weight(nodes):
+    got = sorted(similarity_graph.SimilarityGraph(nodes, CFG).edges().withColumn("at", F.monotonically_increasing_id()).collect(), key=lambda r: r["at"])
+    # each group of sources starts again
+    assert len(got) > 1000 and sum(b["weight"] < a["weight"] for a, b in zip(got, got[1:])) < 30
+
+
 @pytest.mark.parametrize("name", ["section_two_hop", "channel_attribution"])
 def test_hops_write_no_edges(spark, monkeypatch, name):
     forbid(monkeypatch, graph, "similarity_edges", "two_hop")
